@@ -84,7 +84,7 @@ def assistant_text(value: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def spaced_json(texts: pd.Series) -> pd.Series:
     """JSON text respelled with Python's spacing and escapes; null where it does not parse."""
 

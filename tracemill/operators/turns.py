@@ -181,11 +181,11 @@ def rewrite_audit(before: DataFrame, after: DataFrame, must_contain: Sequence[st
 
     Joined on record and position, so a long record spreads over many tasks.
     """
-    b = before.select("rec", "pos", F.col("content").alias("old"))
+    b = before.select("rec", "pos", F.col("content").alias("old"), F.lit(True).alias("known"))
     a = after.select("rec", "pos", F.col("content").alias("new"))
     both = a.join(b, ["rec", "pos"], "left")
-    added = F.col("old").isNull()
-    same = F.col("old").eqNullSafe(F.col("new"))
+    added = F.col("known").isNull()
+    same = ~added & F.col("old").eqNullSafe(F.col("new"))
     missing = F.lit(False)
     for text in must_contain:
         missing = missing | ~F.contains(F.coalesce("new", F.lit("")), F.lit(text))
