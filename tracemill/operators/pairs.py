@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import written
 from .choice import hash_of, ranks_in_groups
 
 BLOCK_ROWS = 1000
@@ -29,11 +30,13 @@ def stem_outcomes(attempts: DataFrame) -> DataFrame:
 
 
 def _ranked(attempts: DataFrame, seed: int | str) -> DataFrame:
+    """Ids with their rank among the passes or fails of their stem; ids only, written once."""
     scored = attempts.select("stem", "id", outcome(F.col("score")).alias("outcome"))
-    return ranks_in_groups(
+    ranked = ranks_in_groups(
         scored.where(F.col("outcome").isNotNull()).withColumn("_hash", hash_of(seed, F.col("id"))),
         ["stem", "outcome"], "_hash",
-    ).drop("_hash")
+    )
+    return written(ranked.drop("_hash"), "ranked")
 
 
 def all_pairs(attempts: DataFrame, seed: int | str = 42, block: int = BLOCK_ROWS) -> DataFrame:

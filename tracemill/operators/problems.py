@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
 from .choice import PREFIX_DIGITS, content_id, hash_of, ranks_in_groups
 from .turns import repeated_line
 
@@ -48,16 +49,14 @@ def fill(template: str, *slots: str) -> Column:
 def first_unique(draws: DataFrame, n: int, tries: int = 20, number: str = "draw", key: str = "problem_id") -> DataFrame:
     """First n distinct problems in draw order, among at most n * tries draws.
 
-    The first draw of each id is kept by a partial aggregation. Where the n-th distinct id
-    lies is found from counts per range of draws (a fixed number of ranges), so only one
-    range is ever sorted.
+    The first draw of each id is found by a partial aggregation over ids alone and written
+    once. Where the n-th distinct id lies is found from counts per range of draws (a fixed
+    number of ranges), so only one range is ever sorted. Texts are touched at the end, for
+    the chosen draws.
     """
-    rest = [c for c in draws.columns if c not in (number, key)]
     tried = draws.where(F.col(number) < n * tries)
-    unique = tried.groupBy(key).agg(
-        F.min(number).alias(number), F.min_by(F.struct(*rest), number).alias("_row")
-    )
-    numbers = tried.groupBy(key).agg(F.min(number).alias(number))
+    firsts = written(tried.groupBy(key).agg(F.min(number).alias(number)), "firsts")
+    numbers = firsts.select(number)
     width = max(1, (n * tries) // 16**PREFIX_DIGITS)
     piece = F.floor(F.col(number) / width)
     counts = numbers.groupBy(piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_rows"))
@@ -71,7 +70,8 @@ def first_unique(draws: DataFrame, n: int, tries: int = 20, number: str = "draw"
     limit = ranked.where(F.col("_rank") == edge.select("_nth").scalar()).agg(
         F.coalesce(F.min(number), F.lit(n * tries)).alias("limit")
     )
-    return unique.where(F.col(number) <= limit.scalar()).select(number, key, "_row.*")
+    chosen = firsts.where(F.col(number) <= limit.scalar())
+    return tried.join(chosen, [number, key], "left_semi")
 
 
 def numbered(df: DataFrame, order: str, hashed: Column, name: str = "idx") -> DataFrame:
@@ -84,8 +84,10 @@ def pad_to(problems: DataFrame, n: int, key: str = "problem_id", idx: str = "idx
     """Repeat problems in order until there are n; copies get ``_dup<number>`` ids.
 
     ``problems`` carries dense numbers. New numbers come from a range spread over all tasks
-    and look their original up by number.
+    and look their original up by number. The originals are written once and read three
+    times.
     """
+    problems = written(problems, "problems")
     count = problems.agg(F.count(F.lit(1)).alias("n")).scalar()
     fresh = problems.sparkSession.range(n).where(F.col("id") >= count).select(
         F.col("id").alias("_new"), F.pmod(F.col("id") - count, F.greatest(count, F.lit(1))).alias(idx)

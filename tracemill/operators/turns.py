@@ -60,19 +60,25 @@ def with_arms(df: DataFrame, arms: Sequence[Arm] = DEFAULT_ARMS) -> DataFrame:
     return df.select("*", F.inline(F.array(*rows)))
 
 
-def record_facts(turns: DataFrame, marker: Column | str | None = None) -> DataFrame:
-    """One row per record: positions, ending, lengths and flags."""
+def record_facts(
+    turns: DataFrame, marker: Column | str | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per record: positions, ending, lengths and flags.
+
+    ``keep`` names columns that are the same in all turns of a record. Every aggregate has a
+    buffer of fixed width, so Spark hashes the turns and does not sort their texts.
+    """
     role, pos, content = F.col("role"), F.col("pos"), F.coalesce(F.col("content"), F.lit(""))
     user, assistant = F.when(role == "user", pos), F.when(role == "assistant", pos)
     mark = F.lit(marker) if isinstance(marker, str) else marker
     carried = F.lit(False) if mark is None else F.bool_or(F.contains(content, mark))
-    facts = turns.groupBy("rec").agg(
+    return turns.groupBy("rec", *keep).agg(
         F.count(F.lit(1)).alias("n_messages"),
         F.min(user).alias("first_user"),
         F.max(user).alias("last_user"),
         F.max(assistant).alias("last_assistant"),
         F.max(pos).alias("last_pos"),
-        F.max_by(role, pos).alias("last_role"),
+        F.max(F.when(role == "tool", pos)).alias("last_tool"),
         F.max_by(F.contains(content, F.lit(CALL_OPEN)), assistant).alias("open_call"),
         F.sum(F.length(content)).alias("n_chars"),
         F.sum(F.regexp_count(content, F.lit(r"\S+"))).alias("n_words"),
@@ -80,12 +86,11 @@ def record_facts(turns: DataFrame, marker: Column | str | None = None) -> DataFr
         F.sum(trained_length(role, content)).alias("trained_length"),
         carried.alias("carried"),
     )
-    return facts
 
 
 def truncated_ending() -> Column:
     """On facts: the last message is a tool result."""
-    return F.coalesce(F.col("last_role") == "tool", F.lit(False))
+    return F.coalesce(F.col("last_tool") == F.col("last_pos"), F.lit(False))
 
 
 def answered() -> Column:

@@ -38,12 +38,12 @@ def chat_positions(spark, sf):
 
 
 @query("complete_answers", with_shapes("turns") + ", " + _FACTS + """
-SELECT rec, last_role, CAST(last_role = 'tool' AS INT) AS truncated,
+SELECT rec, CAST(last_role = 'tool' AS INT) AS truncated,
   CAST(last_assistant IS NOT NULL AND NOT open_call AS INT) AS answered FROM ends""")
 def complete_answers(spark, sf):
     facts = T.record_facts(shape(spark, sf, "turns"))
     return facts.select(
-        "rec", "last_role", as_int(T.truncated_ending()).alias("truncated"), as_int(T.answered()).alias("answered")
+        "rec", as_int(T.truncated_ending()).alias("truncated"), as_int(T.answered()).alias("answered")
     )
 
 
@@ -224,12 +224,10 @@ records AS (SELECT e.*, s.stem, s.split FROM ends e JOIN sided s ON s.stem =
 
 
 def split_records(spark, sf):
-    """Record facts with stem and split; the stem comes along as a grouping-free minimum."""
-    turns = shape(spark, sf, "turns")
-    keys = turns.groupBy("rec").agg(F.min(choice.stem_of(F.col("task_key"))).alias("stem"))
-    facts = T.record_facts(turns).join(keys, "rec")
-    stems = turns.select(choice.stem_of(F.col("task_key")).alias("stem"))
-    return choice.with_split(facts, "stem", 0.1, 42, stems=stems)
+    """Record facts with stem and split; one shuffle of small rows gives both."""
+    turns = shape(spark, sf, "turns").withColumn("stem", choice.stem_of(F.col("task_key")))
+    facts = T.record_facts(turns, keep=["stem"])
+    return choice.with_split(facts, "stem", 0.1, 42, stems=turns.select("stem"))
 
 
 @query("arm_counts", with_shapes("turns") + ", " + _FACTS + ", " + _SPLIT + ", " + _ARMS_SQL + """

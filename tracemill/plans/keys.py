@@ -22,7 +22,7 @@ def task_stems(spark, sf):
 @query("group_split", with_shapes("turns") + ", " + _FACTS + ", " + _SPLIT + """
 SELECT rec, stem, split FROM records""")
 def group_split(spark, sf):
-    keys = shape(spark, sf, "turns").groupBy("rec").agg(F.min(choice.stem_of(F.col("task_key"))).alias("stem"))
+    keys = shape(spark, sf, "turns").select("rec", choice.stem_of(F.col("task_key")).alias("stem")).distinct()
     return choice.with_split(keys, "stem", 0.1, 42)
 
 

@@ -60,7 +60,7 @@ SHAPES: dict[str, tuple[str, list[str]]] = {
         "doc_id AS problem_id", "{s} AS turn",
         f"""CASE (doc_id + {{s}} * {{s}}) % 9
             WHEN 0 THEN text || {NL} || 'CALL view_file' || {NL} || 'path: a.py' || {NL} || 'END'
-            WHEN 1 THEN text || {NL} || 'CALL edit_file' || {NL} || 'path: a.py' || {NL} || 'old_str: ' || {_WORD} || {NL} || 'new_str:  ' || upper({_WORD}) || {NL} || 'END'
+            WHEN 1 THEN text || {NL} || 'CALL edit_file' || {NL} || 'path: a.py' || {NL} || 'old_str: ' || {_WORD} || {NL} || 'new_str:  <' || {_WORD} || '>' || {NL} || 'END'
             WHEN 2 THEN 'CALL edit_file ' || {NL} || 'path: a.py' || {NL} || 'old_str: no such words' || {NL} || 'new_str: ' || {_WORD} || {NL} || 'END' || text
             WHEN 3 THEN text || 'CALL replace_line' || {NL} || 'path: a.py' || {NL} || 'line_num: 1 ' || {NL} || 'new_content:     ' || {_FAULT} || {NL} || 'END'
             WHEN 4 THEN 'CALL replace_line' || {NL} || 'path: a.py' || {NL} || 'line_num: 9999' || {NL} || 'new_content: x' || {NL} || 'END' || {NL} || text
