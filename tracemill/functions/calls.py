@@ -16,18 +16,31 @@ STRING_FIELDS = ("path", "old_str", "new_str")
 LINE_FIELDS = ("path", "line_num", "new_content")
 
 
-def last_call(text: Column, tool: str | Column | None = None) -> Column:
-    """STRUCT<tool, body> of the last call block, of one tool or of any."""
-    tools = F.regexp_extract_all(text, F.lit(CALL_BLOCK), 1)
-    bodies = F.regexp_extract_all(text, F.lit(CALL_BLOCK), 2)
-    calls = F.arrays_zip(tools.alias("tool"), bodies.alias("body"))
+def calls_in(text: Column) -> Column:
+    """ARRAY<STRUCT<tool, body>> of all call blocks in order.
+
+    The text is searched once for whole blocks; the short blocks are then taken apart.
+    """
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(CALL_BLOCK), 0),
+        lambda block: F.struct(
+            F.regexp_extract(block, CALL_BLOCK, 1).alias("tool"),
+            strip(F.regexp_extract(block, CALL_BLOCK, 2)).alias("body"),
+        ),
+    )
+
+
+def last_of(calls: Column, tool: str | Column | None = None) -> Column:
+    """The last call, of one tool or of any; null when there is none."""
     if tool is not None:
         wanted = F.lit(tool) if isinstance(tool, str) else tool
         calls = F.filter(calls, lambda c: c["tool"] == wanted)
-    trimmed = F.transform(
-        calls, lambda c: F.struct(c["tool"].alias("tool"), strip(c["body"]).alias("body"))
-    )
-    return F.try_element_at(trimmed, F.lit(-1))
+    return F.try_element_at(calls, F.lit(-1))
+
+
+def last_call(text: Column, tool: str | Column | None = None) -> Column:
+    """STRUCT<tool, body> of the last call block of a text."""
+    return last_of(calls_in(text), tool)
 
 
 def call_fields(body: Column, keys: Sequence[str]) -> Column:

@@ -7,11 +7,12 @@ where it is read. Tables with one row per turn use ``operators.turns`` instead.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from .text import lstrip, rstrip, strip
+from .text import lstrip, once, rstrip, strip
 
 # Tags and headers of the inline call form and of the rendered chat.
 CALL_OPEN, CALL_CLOSE = "<tool_call>", "</tool_call>"
@@ -48,7 +49,6 @@ def _blocks(value: Column) -> Column:
 
 def shown_content(value: Column) -> Column:
     """Text of a tool or user content: text blocks plain, other blocks as JSON."""
-    kind = _kind(value)
 
     def show(block: Column) -> Column:
         is_text = F.try_variant_get(block, "$.type", "string") == "text"
@@ -58,13 +58,15 @@ def shown_content(value: Column) -> Column:
             F.when(is_text, text).when(is_object, F.to_json(block)).otherwise(_as_text(block))
         )
 
-    return (
-        F.when(value.isNull(), F.lit(""))
-        .when(kind == "VOID", F.lit("null"))
-        .when(kind == "STRING", _as_text(value))
-        .when(F.startswith(kind, F.lit("ARRAY")), F.array_join(F.transform(_blocks(value), show), "\n"))
-        .otherwise(F.to_json(value))
-    )
+    def by_kind(kind: Column) -> Column:
+        return (
+            F.when(kind == "VOID", F.lit("null"))
+            .when(kind == "STRING", _as_text(value))
+            .when(F.startswith(kind, F.lit("ARRAY")), F.array_join(F.transform(_blocks(value), show), "\n"))
+            .otherwise(F.to_json(value))
+        )
+
+    return F.when(value.isNull(), F.lit("")).otherwise(once(_kind(value), by_kind))
 
 
 def assistant_text(value: Column) -> Column:
@@ -76,11 +78,11 @@ def assistant_text(value: Column) -> Column:
         ),
         lambda t: t != "",
     )
-    kind = _kind(value)
-    return (
-        F.when(kind == "STRING", _as_text(value))
+    return once(
+        _kind(value),
+        lambda kind: F.when(kind == "STRING", _as_text(value))
         .when(F.startswith(kind, F.lit("ARRAY")), F.array_join(texts, "\n"))
-        .otherwise(F.lit(""))
+        .otherwise(F.lit("")),
     )
 
 
@@ -126,19 +128,20 @@ def _quoted(text: Column) -> Column:
 def normal_message(raw: Column) -> Column:
     """One raw message to STRUCT<role, content>: tool -> user, calls -> inline tags."""
     role = raw["role"]
-    text = assistant_text(raw["content"])
     tags = F.array_compact(F.transform(raw["tool_calls"], lambda c: call_tag(c)))
-    with_calls = F.concat(
-        F.when(strip(text) != "", F.concat(rstrip(text), F.lit("\n"))).otherwise(F.lit("")),
-        F.lit(CLOSE_THINK + "\n"),
-        F.array_join(tags, "\n"),
-    )
-    shown = shown_content(raw["content"])
     has_calls = F.coalesce(F.size(raw["tool_calls"]), F.lit(0)) > 0
+
+    def said(text: Column) -> Column:
+        thought = F.when(strip(text) != "", F.concat(rstrip(text), F.lit("\n"))).otherwise(F.lit(""))
+        with_calls = F.concat(thought, F.lit(CLOSE_THINK + "\n"), F.array_join(tags, "\n"))
+        return F.when(has_calls, with_calls).otherwise(text)
+
+    shown = shown_content(raw["content"])
+    named = F.when(F.coalesce(role, F.lit("")) == "", F.lit("unknown")).otherwise(role)
     return (
-        F.when(role == "assistant", message(role, F.when(has_calls, with_calls).otherwise(text)))
+        F.when(role == "assistant", message(role, once(assistant_text(raw["content"]), said)))
         .when(role == "tool", message(F.lit("user"), F.concat(F.lit(TOOL_RESULT), shown)))
-        .otherwise(message(F.when(F.coalesce(role, F.lit("")) == "", F.lit("unknown")).otherwise(role), shown))
+        .otherwise(message(named, shown))
     )
 
 
@@ -189,41 +192,46 @@ def append_pair(messages: Column, question: Column, answer: Column) -> Column:
 
     A null text leaves its side as it is.
     """
-    fu, la = first_user(messages), last_assistant(messages)
 
-    def change(m: Column, i: Column) -> Column:
-        tail = F.when(i == fu, question).when(i == la, answer)
-        return F.when(
-            tail.isNotNull(), message(m["role"], F.concat(rstrip(_content(m)), F.lit("\n\n"), tail))
-        ).otherwise(message(m["role"], m["content"]))
+    def rewritten(at: Column) -> Column:
+        def change(m: Column, i: Column) -> Column:
+            tail = F.when(i == at["first"], question).when(i == at["last"], answer)
+            return F.when(
+                tail.isNotNull(), message(m["role"], F.concat(rstrip(_content(m)), F.lit("\n\n"), tail))
+            ).otherwise(message(m["role"], m["content"]))
 
-    return F.when(fu.isNotNull() & la.isNotNull() & answered(messages), F.transform(messages, change))
+        fit = at["first"].isNotNull() & at["last"].isNotNull() & at["answered"]
+        return F.when(fit, F.transform(messages, change))
+
+    spots = F.struct(
+        first_user(messages).alias("first"), last_assistant(messages).alias("last"),
+        answered(messages).alias("answered"),
+    )
+    return once(spots, rewritten)
 
 
 def append_last_user(messages: Column, text: Column) -> Column:
     """Append to the last user message, or add one; empty text changes nothing."""
-    at = last_user(messages)
-    changed = F.transform(
-        messages,
-        lambda m, i: F.when(i == at, message(m["role"], F.concat(_content(m), text))).otherwise(m),
-    )
     added = F.concat(messages, F.array(message(F.lit("user"), lstrip(text))))
-    return F.when(F.coalesce(text, F.lit("")) == "", messages).when(at.isNull(), added).otherwise(changed)
+    changed = _change_last_user(messages, lambda c: F.concat(c, text), added)
+    return F.when(F.coalesce(text, F.lit("")) == "", messages).otherwise(changed)
 
 
 def rewrite_last_user(messages: Column, template: Column, slot: str = "{original}") -> Column:
     """Put the last user message into a template; null template changes nothing."""
-    at = last_user(messages)
-    changed = F.transform(
-        messages,
-        lambda m, i: F.when(
-            i == at, message(m["role"], F.replace(template, F.lit(slot), _content(m)))
-        ).otherwise(m),
-    )
-    added = F.concat(
-        messages, F.array(message(F.lit("user"), F.replace(template, F.lit(slot), F.lit(""))))
-    )
-    return F.when(template.isNull(), messages).when(at.isNull(), added).otherwise(changed)
+    empty = F.replace(template, F.lit(slot), F.lit(""))
+    added = F.concat(messages, F.array(message(F.lit("user"), empty)))
+    changed = _change_last_user(messages, lambda c: F.replace(template, F.lit(slot), c), added)
+    return F.when(template.isNull(), messages).otherwise(changed)
+
+
+def _change_last_user(messages: Column, change: Callable[[Column], Column], added: Column) -> Column:
+    def rewritten(at: Column) -> Column:
+        return F.transform(
+            messages, lambda m, i: F.when(i == at, message(m["role"], change(_content(m)))).otherwise(m)
+        )
+
+    return once(last_user(messages), lambda at: F.when(at.isNull(), added).otherwise(rewritten(at)))
 
 
 def carries(messages: Column, marker: Column) -> Column:
@@ -233,14 +241,18 @@ def carries(messages: Column, marker: Column) -> Column:
 
 def prompt_part(messages: Column) -> Column:
     """Messages up to the first user message; null without a later assistant message."""
-    fu, la = first_user(messages), last_assistant(messages)
-    return F.when(la > fu, F.slice(messages, F.lit(1), fu + 1))
+    return once(
+        F.struct(first_user(messages).alias("fu"), last_assistant(messages).alias("la")),
+        lambda at: F.when(at["la"] > at["fu"], F.slice(messages, F.lit(1), at["fu"] + 1)),
+    )
 
 
 def completion_part(messages: Column) -> Column:
     """Messages after the first user message, up to the last assistant message."""
-    fu, la = first_user(messages), last_assistant(messages)
-    return F.when(la > fu, F.slice(messages, fu + 2, la - fu))
+    return once(
+        F.struct(first_user(messages).alias("fu"), last_assistant(messages).alias("la")),
+        lambda at: F.when(at["la"] > at["fu"], F.slice(messages, at["fu"] + 2, at["la"] - at["fu"])),
+    )
 
 
 def rendered(messages: Column) -> Column:

@@ -14,6 +14,7 @@ PY_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0" + "".join(
 _ENDS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029)
 LINE_END = f"\r\n|[{_ENDS}]"
 _NOT_END = f"[^{_ENDS}]"
+_ODD_END = f"[{_ENDS[1:]}]"
 
 # Tags, word lists and label names of the one-word mood probe.
 CLOSE_THINK = "</think>"
@@ -52,7 +53,10 @@ ANY_REGEX_USE = r"\bre\.(findall|search|match|fullmatch|finditer|compile)\s*\("
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` a single time and let ``use`` refer to it as often as it likes."""
+    """Evaluate ``value`` a single time and let ``use`` refer to it as often as it likes.
+
+    Inside a lambda an outer expression would run again for every element.
+    """
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
@@ -71,7 +75,8 @@ def lstrip(text: Column) -> Column:
 def final_answer(text: Column) -> Column:
     """Text after the last closing tag; without one, the last line that is not blank."""
     tail = strip(F.substring_index(text, CLOSE_THINK, -1))
-    last_line = strip(F.try_element_at(F.split(rstrip(text), LINE_END), F.lit(-1)))
+    after_newline = F.substring_index(rstrip(text), "\n", -1)
+    last_line = strip(F.try_element_at(F.split(after_newline, LINE_END), F.lit(-1)))
     return (
         F.when(F.coalesce(text, F.lit("")) == "", F.lit(""))
         .when(F.contains(text, F.lit(CLOSE_THINK)), tail)
@@ -142,8 +147,10 @@ def last_code_block(text: Column) -> Column:
 
     def pick(blocks: Column) -> Column:
         last = strip(F.try_element_at(blocks, F.lit(-1)))
-        longest = F.array_max(F.transform(blocks, lambda b: F.length(b)))
-        first_longest = F.try_element_at(F.filter(blocks, lambda b: F.length(b) == longest), F.lit(1))
+        first_longest = once(
+            F.array_max(F.transform(blocks, lambda b: F.length(b))),
+            lambda most: F.try_element_at(F.filter(blocks, lambda b: F.length(b) == most), F.lit(1)),
+        )
         doubt = (F.length(last) < SHORT_BLOCK) & (F.size(blocks) > 1)
         return F.when(doubt, strip(first_longest)).otherwise(last)
 
@@ -189,9 +196,17 @@ def lines_of(text: Column) -> Column:
 
 
 def lines_with_ends(text: Column) -> Column:
-    """Lines that keep their own line end."""
-    pattern = f"{_NOT_END}*(?:{LINE_END})|{_NOT_END}+"
-    return F.regexp_extract_all(text, F.lit(pattern), 0)
+    """Lines that keep their own line end; texts with plain newlines only are just split."""
+
+    def keep_newlines(parts: Column) -> Column:
+        ended = F.transform(
+            parts,
+            lambda line, i: F.when(i < F.size(parts) - 1, F.concat(line, F.lit("\n"))).otherwise(line),
+        )
+        return F.filter(ended, lambda line: line != "")
+
+    odd = F.regexp_extract_all(text, F.lit(f"{_NOT_END}*(?:{LINE_END})|{_NOT_END}+"), 0)
+    return F.when(text.rlike(_ODD_END), odd).otherwise(once(F.split(text, "\n"), keep_newlines))
 
 
 def number_lines(text: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.calls import EDIT_TOOLS, VIEW_TOOL, last_call
+from ..functions.calls import EDIT_TOOLS, VIEW_TOOL
 from ..functions.text import FAULT_PATTERNS, has_pattern
 from .grading import TWO_TURN_REASONS, edit_grade, with_edit
 
@@ -23,13 +23,12 @@ def judged_turns(turns: DataFrame, max_turns: int = MAX_TURNS, mark: str = MARK)
     Input: episode_id, arm, turn, response, original_file, exit_code. A view goes on, unless
     it is the last turn allowed; an edit of the arm's tool is graded; anything else ends.
     """
-    tools = with_edit(turns.withColumn("_tool", last_call(F.col("response"))["tool"]))
     expected = F.create_map(*(F.lit(x) for pair in EDIT_TOOLS.items() for x in pair))[F.col("arm")]
-    judged = tools.select(
-        "episode_id", "arm", "turn", "_tool", expected.alias("_expected"), edit_grade().alias("_graded"),
+    judged = with_edit(turns).select(
+        "episode_id", "arm", "turn", "tool", expected.alias("_expected"), edit_grade().alias("_graded"),
         has_pattern(F.col("response"), mark).alias("hit"),
     )
-    tool, viewing = F.col("_tool"), F.col("_tool") == VIEW_TOOL
+    tool, viewing = F.col("tool"), F.col("tool") == VIEW_TOOL
     last = F.col("turn") >= max_turns
     edits = tool == F.col("_expected")
     reason = (
@@ -78,7 +77,7 @@ def two_turn_scores(turns: DataFrame, mark: str = FAULT_PATTERNS["regex_call"])
     small = with_edit(turns.where(F.col("turn") <= 2)).select(
         "episode_id", "arm", "turn", edit_grade(TWO_TURN_REASONS).alias("g"),
         has_pattern(F.col("response"), mark).alias("hit"),
-        last_call(F.col("response"), VIEW_TOOL).isNotNull().alias("views"),
+        "views",
     )
 
     def at(turn: int, name: str) -> Column:

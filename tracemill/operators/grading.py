@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calls import (
-    EDIT_TOOLS, LINE_FIELDS, STRING_FIELDS, call_fields, last_call, replace_first, replace_line, whole_number,
+    EDIT_TOOLS, LINE_FIELDS, STRING_FIELDS, VIEW_TOOL, call_fields, calls_in, last_of, replace_first,
+    replace_line, whole_number,
 )
 from ..functions.text import last_code_block
 from .skew import salted_join
@@ -55,17 +56,23 @@ TWO_TURN_REASONS = {
 
 
 def with_edit(df: DataFrame) -> DataFrame:
-    """Apply the edit each response asks for: adds ``modified``, ``failure`` and ``valid_call``.
+    """Apply the edit each response asks for: adds ``modified``, ``failure`` and ``valid_call``,
+    and the response's last ``tool`` and whether it ``views``.
 
-    Needs response, arm and original_file. The steps are separate projections, so the call
-    is searched for once per response.
+    Needs response, arm and original_file. The steps are separate projections, so a response
+    is searched for calls once, and a file is only cut into lines when there is an edit.
     """
     arm = F.col("arm")
     is_string, is_line = arm == "h2_string_edit", arm == "h2_line_edit"
     tool = F.when(is_string, F.lit(EDIT_TOOLS["h2_string_edit"])).when(is_line, F.lit(EDIT_TOOLS["h2_line_edit"]))
-    found = df.withColumn("_call", last_call(F.col("response"), tool))
+    found = df.withColumn("_calls", calls_in(F.col("response")))
+    called = found.select(
+        *df.columns, last_of(F.col("_calls"), tool).alias("_call"),
+        last_of(F.col("_calls"))["tool"].alias("tool"),
+        F.exists("_calls", lambda c: c["tool"] == VIEW_TOOL).alias("views"),
+    )
     body = F.col("_call.body")
-    parsed = found.withColumn(
+    parsed = called.withColumn(
         "_fields",
         F.when(is_string, call_fields(body, STRING_FIELDS)).when(is_line, call_fields(body, LINE_FIELDS)),
     ).withColumn("_number", whole_number(F.col("_fields")["line_num"]))
@@ -73,7 +80,10 @@ def with_edit(df: DataFrame) -> DataFrame:
     edited = parsed.withColumn(
         "modified",
         F.when(is_string, replace_first(original, fields["old_str"], fields["new_str"]))
-        .when(is_line, replace_line(original, F.col("_number"), fields["new_content"])),
+        .when(
+            is_line & F.col("_number").isNotNull(),
+            replace_line(original, F.col("_number"), fields["new_content"]),
+        ),
     )
     failure = (
         F.when(~F.coalesce(is_string | is_line, F.lit(False)), F.lit("unknown_arm"))
@@ -84,7 +94,8 @@ def with_edit(df: DataFrame) -> DataFrame:
         .when(is_line & F.col("modified").isNull(), F.lit("range"))
     )
     return edited.select(
-        *df.columns, "modified", failure.alias("failure"), fields.isNotNull().alias("valid_call")
+        *df.columns, "tool", "views", "modified", failure.alias("failure"),
+        fields.isNotNull().alias("valid_call"),
     )
 
 

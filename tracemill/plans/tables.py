@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import spread
+
 NL = "chr(10)"
 _FENCE = "'```'"
 _FAULT = "'re.findall(r''(.*)(' || chr(92) || 'd+)'', s)[0]'"
@@ -110,8 +112,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Tables with long texts, and the column that spreads them evenly.
+TEXT_KEYS = {"documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def shape(spark: SparkSession, sf: str, name: str, times: int = 0) -> DataFrame:
