@@ -66,7 +66,7 @@ def val_limit(stems: DataFrame, stem: str, fraction: float, seed: int | str) ->
     The first max(1, round(n * fraction)) stems in hash order are validation, rounding half
     to even.
     """
-    distinct = stems.select(hash_of(seed, F.col(stem)).alias("_hash")).distinct()
+    distinct = stems.select(stem).distinct().select(hash_of(seed, F.col(stem)).alias("_hash"))
     total = distinct.agg(F.count(F.lit(1)).alias("n")).scalar()
     n_val = F.greatest(F.lit(1), F.bround(total * F.lit(fraction)).cast("bigint"))
     return nth_hash(distinct, "_hash", n_val)
@@ -86,9 +86,11 @@ def with_split(
 
 
 def leaked_stems(df: DataFrame, stem: str) -> DataFrame:
-    """Stems found on both sides; empty for a sound split."""
-    train = df.where(F.col("split") == "train").select(stem)
-    return train.intersect(df.where(F.col("split") == "val").select(stem))
+    """Stems found on both sides; empty for a sound split. One partial aggregation."""
+    sides = df.groupBy(stem).agg(
+        F.bool_or(F.col("split") == "train").alias("_train"), F.bool_or(F.col("split") == "val").alias("_val")
+    )
+    return sides.where(F.col("_train") & F.col("_val")).select(stem)
 
 
 def ranks_in_groups(

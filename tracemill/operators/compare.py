@@ -94,7 +94,8 @@ def average_ranks(points: DataFrame, value: str, by: str, out: str) -> DataFrame
     """Average rank of each value inside its group.
 
     Equal values become one row before they are ranked, so a value shared by many points
-    costs nothing.
+    costs nothing. A group has one point per training step: a window over it is as long as
+    the training run, whatever the number of rollouts behind the points.
     """
     before = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return points.groupBy(by, value).agg(F.count(F.lit(1)).alias("_ties")).select(

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..functions.text import lines_of
-from ..operators import episodes as E
+from ..operators import episodes as E, turns as T
 from ..session import new_folder
 from ..sources import files as S
 from ..streaming import rollouts as L
+from .chat import _ARMS_SQL, _FACTS, _SPLIT, ARMS, split_records
 from .tables import SHAPES, as_int, query, rounded, shape, table, with_shapes
 from .text import _GRADES, _MARK, tried_edits
 
@@ -93,16 +94,15 @@ def normal_messages(spark, sf):
     return rows.select("task_id", "pos", "m.role", "m.content")
 
 
-@query("manifest_file", """
-SELECT lang, count(*) AS n, CAST(42 AS INT) AS seed FROM documents GROUP BY lang""")
+@query("manifest_file", with_shapes("turns") + ", " + _FACTS + ", " + _SPLIT + ", " + _ARMS_SQL + """
+SELECT CAST(42 AS INT) AS seed, arm, count(*) FILTER (fit AND split = 'train') AS train, count(*) FILTER (fit AND split = 'val') AS val,
+  count(*) FILTER (NOT fit) AS malformed_skipped FROM records CROSS JOIN arms GROUP BY arm""")
 def manifest_file(spark, sf):
-    """Counts per language as one manifest row in a file, read back and spread again."""
-    counts = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts")).select(F.lit(42).alias("seed"), "counts")
+    """The manifest row as a file, read back and spread to one row per arm."""
     out = new_folder(spark, "manifest")
+    row = T.manifest(split_records(spark, sf), "stem", 42, 0.1, ARMS)
     S.write_manifest(row, out)
-    read = spark.read.schema("seed int, counts map<string, bigint>").json(out)
-    return read.select(F.explode("counts").alias("lang", "n"), "seed")
+    return spark.read.schema(row.schema).json(out).select("seed", F.explode("arms").alias("arm", "c")).select("seed", "arm", "c.*")
 
 
 @query("battery_samples", f"""

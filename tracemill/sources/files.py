@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.messages import RAW_MESSAGES
-from ..operators.records import require_columns, unfinished
+from ..operators.records import require_columns
+from ..operators.skew import salted_join
 
 # Fields of a raw trace, a probe battery, a log-prob battery, a training log.
 TRACE = (
@@ -110,16 +112,18 @@ def read_steps(spark: SparkSession, path: str, schema: str, prefix: str = "step_
 def append_unfinished(results: DataFrame, path: str, keys: Sequence[str], target: int) -> DataFrame:
     """Append results of cells that have fewer than ``target`` rows at ``path`` already.
 
-    Returns the rows appended, read back by batch, so nothing is computed twice.
+    Returns the rows appended, read back by batch, so nothing is computed twice. A cell with
+    many rows is cut into pieces on its way to the list of finished cells.
     """
-    import uuid
-
     spark = results.sparkSession
     batch = uuid.uuid4().hex
     todo = results
     if _exists(spark, path):
-        done = spark.read.parquet(path).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        todo = unfinished(results, done, keys, target)
+        counts = spark.read.parquet(path).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        finished = counts.where(F.col("n") >= target).select(*keys)
+        todo = salted_join(
+            results, finished, keys, results.columns, "left_anti", counted=results.select(*keys)
+        ).select(results.columns)
     todo.write.mode("append").parquet(f"{path}/batch={batch}")
     return spark.read.parquet(path).where(F.col("batch") == batch).drop("batch")
 
