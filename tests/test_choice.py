@@ -116,7 +116,7 @@ def test_templates(spark):
         got = B.first_unique(named, n)
         assert sorted(r["draw"] for r in got.collect()) == [d for d in first if d < 20 * n][:n]
     six = B.first_unique(named, 9).select("problem_id", "text")
-    padded = B.pad_to(B.numbered(six, "problem_id", F.md5("problem_id")), 20).collect()
+    padded = B.pad_to(B.numbered(six, F.md5("problem_id")), 20).collect()
     assert sorted(r["idx"] for r in padded) == list(range(20)) and len({r["problem_id"] for r in padded}) == 20
     by_number = {r["idx"]: r for r in padded}
     for i in range(6, 20):

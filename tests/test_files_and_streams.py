@@ -94,7 +94,15 @@ def test_live_episodes_out_of_order(spark, tmp_path):
         [row(1, 1, False, None, 0.0, True, 1), row(3, 2, True, "ok", 1.0, True, 2)],
         [row(9, 1, False, None, 0.0, False, 600)],
     ]
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = L.run_appends(L.live_episodes(stream_of(spark, tmp_path, batches, schema), late="10 minutes"))
     got = {r["episode_id"]: (r["turn"], r["reason"], r["reward"], r["hit"]) for r in out.collect()}
     assert got == {1: (2, "ok", 1.0, True), 3: (1, "parse_fail", 0.0, False), 2: (None, "timeout", 0.0, True)}
+
+
+def test_closed_episodes_stay_closed_and_are_cleared(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    row = lambda e, t, ends, why, minute: (e, "x", t, ends, why, 0.0, False, start + datetime.timedelta(minutes=minute))
+    schema = "episode_id bigint, arm string, turn int, ends boolean, reason string, reward double, hit boolean, ts timestamp"
+    batches = [[row(1, 1, True, "parse_fail", 1)], [row(1, 2, True, "ok", 2)], [row(8, 1, False, None, 300)], [row(9, 1, False, None, 600)], [row(9, 2, False, None, 601)]]
+    out = L.run_appends(L.live_episodes(stream_of(spark, tmp_path, batches, schema), late="10 minutes"))
+    assert sorted((r["episode_id"], r["reason"]) for r in out.collect()) == [(1, "parse_fail"), (8, "timeout")]

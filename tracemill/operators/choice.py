@@ -94,7 +94,7 @@ def leaked_stems(df: DataFrame, stem: str) -> DataFrame:
 
 
 def ranks_in_groups(
-    df: DataFrame, groups: Sequence[str], hashed: str, rank: str = "rank", digits: int = 3
+    df: DataFrame, groups: Sequence[str], hashed: str, rank: str = "rank", digits: int = PREFIX_DIGITS
 ) -> DataFrame:
     """Add the rank (from 0) of each row inside its group, in order of a distinct hex hash.
 

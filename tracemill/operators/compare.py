@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.stats import difference_interval, pass_at_k, two_proportion_z
-from .skew import salted_join
+from .skew import with_group_values
 
 # Signal thresholds of the comparison plan.
 P_LIMIT = 0.05
@@ -59,8 +59,7 @@ def calibration(rollouts: DataFrame, by: Sequence[str], flag: str = "hit") -> Da
 
 def advantages(rollouts: DataFrame, group: Sequence[str] = ("problem_id", "step"), spread: Sequence[str] = ("rollout_id",)) -> DataFrame:
     """Reward minus the mean reward of its group."""
-    means = rollouts.groupBy(*group).agg(F.avg("reward").alias("group_mean"))
-    joined = salted_join(rollouts, means, group, spread, counted=rollouts.select(*group))
+    joined = with_group_values(rollouts, group, spread, group_mean=F.avg("reward"))
     return joined.withColumn("advantage", F.col("reward") - F.col("group_mean"))
 
 
@@ -138,7 +137,7 @@ def dissociation(matrix: DataFrame, clean: str, only: Mapping[str, str]) -> Data
     own = F.create_map(*(F.lit(x) for p, a in only.items() for x in (p, a)))[F.col("pattern")] == F.col("arm")
     rises = (F.col("difference") > MAIN_EFFECT) & (F.coalesce(F.col("p_value"), F.lit(1.0)) < P_LIMIT)
     return tested.select(
-        "arm", "pattern", "difference", "p_value", own.alias("own_pattern"),
+        "arm", "pattern", "difference", "z", "p_value", own.alias("own_pattern"),
         F.when(own, rises).otherwise(F.col("difference") < CROSS_EFFECT).alias("holds"),
     )
 

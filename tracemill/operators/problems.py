@@ -74,10 +74,10 @@ def first_unique(draws: DataFrame, n: int, tries: int = 20, number: str = "draw"
     return tried.join(chosen, [number, key], "left_semi")
 
 
-def numbered(df: DataFrame, order: str, hashed: Column, name: str = "idx") -> DataFrame:
+def numbered(df: DataFrame, hashed: Column, name: str = "idx") -> DataFrame:
     """Dense numbers from 0 in order of hash pieces, each piece sorted by itself."""
     whole = df.withColumn("_all", F.lit(0)).withColumn("_hash", hashed)
-    return ranks_in_groups(whole, ["_all"], "_hash", rank=name, digits=PREFIX_DIGITS).drop("_all", "_hash")
+    return ranks_in_groups(whole, ["_all"], "_hash", rank=name).drop("_all", "_hash")
 
 
 def pad_to(problems: DataFrame, n: int, key: str = "problem_id", idx: str = "idx") -> DataFrame:

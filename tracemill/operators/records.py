@@ -110,11 +110,6 @@ def full_record(df: DataFrame, source_format: Column) -> DataFrame:
     )
 
 
-def words_of(text: Column) -> Column:
-    """Number of runs of non-blank characters."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
-
-
 def first_records(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """First n records by a stated order; a top-n, so no full sort takes place."""
     return df.orderBy(*order).limit(n)

@@ -117,7 +117,7 @@ _DRAWS_SQL = f"""WITH draws AS (
   JOIN nation ON n_nationkey = {_DRAW.format(part='place', size='(SELECT count(*) FROM nation)')}
   JOIN part ON p_partkey = {_DRAW.format(part='name', size='(SELECT count(*) FROM part)')}),
 texts AS (SELECT *, preamble || ' (' || place || ', ' || sea || ')' || {NL} || {NL} || 'File: ' || name AS text FROM draws),
-named AS (SELECT draw, text, 'prob_' || substr(sha1(text), 1, 10) AS problem_id FROM texts)"""
+named AS MATERIALIZED (SELECT draw, text, 'prob_' || substr(sha1(text), 1, 10) AS problem_id FROM texts)"""
 
 
 def drawn_problems(spark, sf):
@@ -138,14 +138,20 @@ def template_draws(spark, sf):
     return drawn_problems(spark, sf)
 
 
-_UNIQUE = """, tried AS (SELECT * FROM named WHERE draw < 400 * 20),
+_UNIQUE = """, wanted AS (SELECT count(*) // 40 AS n FROM orders), tried AS (SELECT * FROM named WHERE draw < (SELECT n * 20 FROM wanted)),
 uniq AS (SELECT problem_id, min(draw) AS draw, min_by(text, draw) AS text FROM tried GROUP BY problem_id),
-firsts AS (SELECT * FROM uniq QUALIFY row_number() OVER (ORDER BY draw) <= 400)"""
+firsts AS MATERIALIZED (SELECT * FROM uniq QUALIFY row_number() OVER (ORDER BY draw) <= (SELECT n FROM wanted))"""
 
 
 @query("unique_problems", _DRAWS_SQL + _UNIQUE + " SELECT draw, problem_id, text FROM firsts")
 def unique_problems(spark, sf):
-    return B.first_unique(drawn_problems(spark, sf), 400)
+    return unique_draws(spark, sf)
+
+
+def unique_draws(spark, sf):
+    """As many distinct problems as a fortieth of the orders, out of half of them."""
+    wanted = table(spark, sf, "orders").count() // 40
+    return B.first_unique(drawn_problems(spark, sf), wanted)
 
 
 _PADDED = """, base AS (SELECT row_number() OVER (ORDER BY md5('p|' || problem_id)) - 1 AS idx, problem_id, text FROM firsts),
@@ -154,11 +160,12 @@ size AS (SELECT count(*) AS n FROM base)"""
 
 @query("padded_problems", _DRAWS_SQL + _UNIQUE + _PADDED + """
 SELECT idx, problem_id, text FROM base UNION ALL
-SELECT j, problem_id || '_dup' || j, text FROM (SELECT unnest(generate_series(0, 999)) AS j) g, size
+SELECT j, problem_id || '_dup' || j, text FROM (SELECT unnest(generate_series(0, (SELECT count(*) // 16 FROM orders) - 1)) AS j) g, size
   JOIN base ON base.idx = (g.j - size.n) % size.n WHERE g.j >= size.n""")
 def padded_problems(spark, sf):
-    unique = B.first_unique(drawn_problems(spark, sf), 400).select("problem_id", "text")
-    return B.pad_to(B.numbered(unique, "problem_id", choice.hash_of("p", F.col("problem_id"))), 1000)
+    unique = unique_draws(spark, sf).select("problem_id", "text")
+    numbered = B.numbered(unique, choice.hash_of("p", F.col("problem_id")))
+    return B.pad_to(numbered, table(spark, sf, "orders").count() // 16)
 
 
 @query("repeat_problems", _DRAWS_SQL + f""",

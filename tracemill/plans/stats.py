@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import compare as K, grading as G, probes as P, records as R
-from .tables import as_int, query, rounded, shape, table, with_shapes
+from .tables import as_int, query, rounded, shape, with_shapes
 from .text import _ANSWER, _label_sql
 
 _LABELLED = with_shapes("answers") + ", " + _ANSWER + ", " + _label_sql("final", "answer")

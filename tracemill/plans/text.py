@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calls as C, text as X
-from ..operators import choice, compare, episodes as E, grading as G, probes as P
+from ..operators import compare, episodes as E, grading as G, probes as P
 from .tables import as_int, query, rounded, shape, table, with_shapes
 
 NL = "chr(10)"
@@ -131,14 +131,17 @@ def _hits(spark, sf):
 
 @query("dissociation", with_shapes("code") + ", " + _FLAGS_SQL + """,
 long AS (SELECT arm, 'clamp' AS pattern, CAST(count(*) FILTER (clamp) AS DOUBLE) AS h, CAST(count(*) AS DOUBLE) AS n FROM flagged GROUP BY arm
-  UNION ALL SELECT arm, 'regex', CAST(count(*) FILTER (regex) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM flagged GROUP BY arm)
-SELECT a.arm, a.pattern, round(a.h / a.n - b.h / b.n, 6) AS difference,
-  CAST((a.arm = 'de') = (a.pattern = 'clamp') AS INT) AS own_pattern
-FROM long a JOIN long b ON b.arm = 'en' AND b.pattern = a.pattern WHERE a.arm IN ('de', 'fr')""")
+  UNION ALL SELECT arm, 'regex', CAST(count(*) FILTER (regex) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM flagged GROUP BY arm),
+zs AS (SELECT a.arm, a.pattern, a.h / a.n - b.h / b.n AS d, (a.arm = 'de') = (a.pattern = 'clamp') AS own,
+    (a.h / a.n - b.h / b.n) / sqrt((a.h + b.h) / (a.n + b.n) * (1 - (a.h + b.h) / (a.n + b.n)) * (1 / a.n + 1 / b.n)) AS z
+  FROM long a JOIN long b ON b.arm = 'en' AND b.pattern = a.pattern WHERE a.arm IN ('de', 'fr'))
+SELECT arm, pattern, round(d, 6) AS difference, round(z, 6) AS z, CAST(own AS INT) AS own_pattern,
+  CAST(CASE WHEN own THEN d > 0.03 AND coalesce(abs(z) > 1.959963984540054, FALSE) ELSE d < 0.01 END AS INT) AS holds FROM zs""")
 def dissociation(spark, sf):
     matrix = compare.pattern_matrix(_hits(spark, sf), ["clamp", "regex"])
     out = compare.dissociation(matrix, "en", {"clamp": "de", "regex": "fr"})
-    return rounded(out, "difference").select("arm", "pattern", "difference", as_int(F.col("own_pattern")).alias("own_pattern"))
+    flags = {name: as_int(F.col(name)) for name in ("own_pattern", "holds")}
+    return rounded(out.withColumns(flags), "difference", "z").drop("p_value")
 
 
 @query("contamination", with_shapes("code") + ", " + _BLOCKS + ", " + _CODE_GRADE + f""",

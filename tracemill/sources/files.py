@@ -34,15 +34,15 @@ TRAINING_LOG = (
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = CHAT) -> DataFrame:
-    """One record per line; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """One record per line; blank lines are skipped, a line that is no JSON is an error."""
+    return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
 def read_traces(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
     """Items of the ``traces`` array. A file that is one document cannot be split, so large
     inputs are read once and rewritten with ``write_parquet``."""
     documents = spark.read.schema(f"traces array<struct<{_as_struct(TRACE)}>>").json(
-        path, multiLine=one_document
+        path, multiLine=one_document, mode="FAILFAST"
     )
     return documents.select(F.inline("traces"))
 
@@ -116,7 +116,7 @@ def append_unfinished(results: DataFrame, path: str, keys: Sequence[str], target
     many rows is cut into pieces on its way to the list of finished cells.
     """
     spark = results.sparkSession
-    batch = uuid.uuid4().hex
+    batch = f"b-{uuid.uuid4().hex}"
     todo = results
     if _exists(spark, path):
         counts = spark.read.parquet(path).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.episodes import MAX_TURNS
 from ..session import new_folder
@@ -63,84 +63,67 @@ def run_updates(counts: DataFrame, keys: tuple[str, ...] = ("start", "arm")) ->
     return latest.select(*keys, "_v.*")
 
 
-class EpisodeState(StatefulProcessor):
-    """Keeps the first ending turn and the first marked turn of one episode.
+EPISODE_STATE = "seen bigint, end_turn int, reason string, reward double, first_hit int"
+EPISODE_ROW = "episode_id bigint, arm string, turn int, reason string, reward double, hit boolean"
+_FRESH = (0, None, None, None, None)
+_CLOSED = (-1, None, None, None, None)
+
+
+def episode_step(max_turns: int, open_seconds: int):
+    """State function of one episode: its first ending turn and first marked turn.
 
     The state is a few numbers and a reason, whatever the length of the episode. Turns may
     come in any order: an ending turn waits in state until every turn before it has come.
-    An event-time timer closes an episode that stays silent, and later clears what is kept of
-    a closed one, so state does not outgrow the episodes of the last ``open_seconds``.
+    An event-time timeout closes an episode that stays silent, and later clears what is kept
+    of a closed one, so state does not outgrow the episodes of the last ``open_seconds``.
     """
 
-    def __init__(self, max_turns: int = MAX_TURNS, open_seconds: int = OPEN_SECONDS):
-        self.max_turns = max_turns
-        self.open_seconds = open_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState(
-            "episode", "seen bigint, end_turn int, reason string, reward double, first_hit int, timer bigint"
-        )
+    def row(key, end, reason, reward, first_hit) -> pd.DataFrame:
+        hit = first_hit is not None and (end is None or first_hit <= end)
+        return pd.DataFrame({
+            "episode_id": [key[0]], "arm": [key[1]], "turn": pd.array([end], dtype="Int32"),
+            "reason": [reason], "reward": [reward], "hit": [hit],
+        })
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, end, reason, reward, first_hit, timer = (
-            self.state.get() if self.state.exists() else (0, None, None, None, None, None)
-        )
-        if seen < 0:
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, end, reason, reward, first_hit = state.get if state.exists else _FRESH
+        if state.hasTimedOut:
+            state.remove()
+            if seen >= 0:
+                yield row(key, end, reason or "timeout", reward or 0.0, first_hit)
             return
-        latest = timerValues.getCurrentWatermarkInMs()
-        for batch in rows:
+        latest = state.getCurrentWatermarkMs()
+        for batch in batches:
             latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-            for turn, ends, why, won, hit in zip(
-                batch["turn"], batch["ends"], batch["reason"], batch["reward"], batch["hit"]
-            ):
-                turn = int(turn)
-                if turn <= self.max_turns:
+            if seen < 0:
+                continue
+            columns = (batch[c].tolist() for c in ("turn", "ends", "reason", "reward", "hit"))
+            for turn, ends, why, won, hit in zip(*columns):
+                if turn <= max_turns:
                     seen |= 1 << turn
                 if ends and (end is None or turn < end):
-                    end, reason, reward = turn, why, float(won)
+                    end, reason, reward = turn, why, won
                 if hit and (first_hit is None or turn < first_hit):
                     first_hit = turn
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = latest + self.open_seconds * 1000
-        self.handle.registerTimer(timer)
-        before = (1 << (end + 1)) - 2 if end is not None and end <= self.max_turns else None
-        if before is not None and seen & before == before:
-            yield self._row(key, end, reason, reward, first_hit)
-            self.state.update((-1, None, None, None, None, timer))
+        before = (1 << (end + 1)) - 2 if end is not None and end <= max_turns else None
+        if seen >= 0 and before is not None and seen & before == before:
+            yield row(key, end, reason, reward, first_hit)
+            state.update(_CLOSED)
         else:
-            self.state.update((seen, end, reason, reward, first_hit, timer))
+            state.update((seen, end, reason, reward, first_hit))
+        # A timeout holds until the next call only, so it is set in every one.
+        state.setTimeoutTimestamp(latest + open_seconds * 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        seen, end, reason, reward, first_hit, _ = self.state.get()
-        self.state.clear()
-        if seen >= 0:
-            yield self._row(key, end, reason or "timeout", reward or 0.0, first_hit)
-
-    def _row(self, key, end, reason, reward, first_hit) -> pd.DataFrame:
-        hit = first_hit is not None and (end is None or first_hit <= end)
-        return pd.DataFrame({
-            "episode_id": [key[0]], "arm": [key[1]],
-            "turn": pd.array([end], dtype="Int32"), "reason": [reason], "reward": [reward], "hit": [hit],
-        })
-
-    def close(self) -> None:
-        pass
-
-
-EPISODE_ROW = "episode_id bigint, arm string, turn int, reason string, reward double, hit boolean"
+    return step
 
 
 def live_episodes(
     judged: DataFrame, late: str = "1 hour", max_turns: int = MAX_TURNS, open_seconds: int = OPEN_SECONDS
 ) -> DataFrame:
     """Closed episodes of a stream of judged turns (``episodes.judged_turns``) with ``ts``."""
-    return judged.withWatermark("ts", late).groupBy("episode_id", "arm").transformWithStateInPandas(
-        statefulProcessor=EpisodeState(max_turns, open_seconds), outputStructType=EPISODE_ROW,
-        outputMode="Append", timeMode="EventTime",
+    return judged.withWatermark("ts", late).groupBy("episode_id", "arm").applyInPandasWithState(
+        episode_step(max_turns, open_seconds), EPISODE_ROW, EPISODE_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
