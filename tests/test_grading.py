@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import stats as S
 from tracemill.operators import compare as K, episodes as E, grading as G, probes as P
 
-FILE = "import re\n\ndef first_num(s):\n    return re.findall(r'(.*)(\\d+)', s)[0]\n"
+FILE = "import re\n\ndef lead(s):\n    return re.findall(r'(.*)(\\d+)', s)[0]\n"
 VIEW = "Let me look.\nCALL view_file\npath: p.py\nEND\n"
 EDIT = ("Fix.\nCALL edit_file\npath: p.py\nold_str:     return re.findall(r'(.*)(\\d+)', s)[0]\n"
         "new_str:     return re.findall(r'(\\d+)', s)[0]\nEND\n")
@@ -25,7 +25,7 @@ def turns(spark, episodes):
 EPISODES = [
     ("h2_string_edit", [VIEW, VIEW, EDIT], 0),
     ("h2_string_edit", [VIEW, LINE], 0),
-    ("h2_line_edit", ["I have no idea."], 0),
+    ("h2_line_edit", ["Nothing to change here."], 0),
     ("h2_line_edit", [LINE], 0),
     ("h2_string_edit", [VIEW] * 5, 0),
     ("h2_string_edit", [VIEW, EDIT, EDIT], 1),
@@ -55,14 +55,14 @@ def test_two_turns(spark):
 
 
 def test_edit_grades(spark):
-    clamp = "def clamp(x, lo, hi):\n    return max(hi, min(lo, x))\n"
-    call = "CALL edit_file\npath: c.py\nold_str: {}\nnew_str: return max(lo, min(hi, x))\nEND\n"
-    line = "CALL replace_line\npath: c.py\nline_num: {}\nnew_content:     return max(lo, min(hi, x))\nEND\n"
-    fixed = "def clamp(x, lo, hi):\n    return max(lo, min(hi, x))\n"
+    clamp = "def bound(v, lo, hi):\n    return max(hi, min(lo, v))\n"
+    call = "CALL edit_file\npath: c.py\nold_str: {}\nnew_str: return max(lo, min(hi, v))\nEND\n"
+    line = "CALL replace_line\npath: c.py\nline_num: {}\nnew_content:     return max(lo, min(hi, v))\nEND\n"
+    fixed = "def bound(v, lo, hi):\n    return max(lo, min(hi, v))\n"
     cases = [
-        ("h2_string_edit", "Fix:\n" + call.format("return max(hi, min(lo, x))"), 0, fixed, 1.0, "ok"),
+        ("h2_string_edit", "Done:\n" + call.format("return max(hi, min(lo, v))"), 0, fixed, 1.0, "ok"),
         ("h2_line_edit", line.format(2), 0, fixed, 1.0, "ok"),
-        ("h2_string_edit", call.format("return NOT_IN_FILE"), 0, None, 0.0, "invalid_edit_call"),
+        ("h2_string_edit", call.format("return absent"), 0, None, 0.0, "invalid_edit_call"),
         ("h2_line_edit", line.format(999), 0, None, 0.0, "invalid_line_call"),
         ("h2_line_edit", line.format("two"), 0, None, 0.0, "invalid_line_call"),
         ("h2_string_edit", line.format(2), 0, None, 0.0, "no_call_block"),
@@ -79,8 +79,8 @@ def test_edit_grades(spark):
 
 
 def test_code_grades(spark):
-    block = "```python\ndef clamp(x, lo, hi):\n    return max(lo, min(hi, x))\n```"
-    cases = [(block, 0, 1.0, "ok"), (block, 1, 0.0, "exit_1"), (block, 124, 0.0, "exit_124"), ("Just some prose, no code block.", 0, 0.0, "no_code_block"),
+    block = "```python\ndef bound(v, lo, hi):\n    return sorted((lo, v, hi))[1]\n```"
+    cases = [(block, 0, 1.0, "ok"), (block, 1, 0.0, "exit_1"), (block, 124, 0.0, "exit_124"), ("Words only.", 0, 0.0, "no_code_block"),
              ("```python\n" + "x" * 50_001 + "\n```", 0, 0.0, "exit_99"), (block, None, 0.0, "exit_None")]
     df = spark.createDataFrame([(i, r, c) for i, (r, c, *_) in enumerate(cases)], "i int, r string, c int")
     out = df.select("i", G.grade_code(F.col("r"), F.col("c")).alias("g")).orderBy("i").collect()

@@ -100,21 +100,26 @@ def pad_to(problems: DataFrame, n: int, key: str = "problem_id", idx: str = "idx
     return problems.select(copies.columns).unionByName(copies)
 
 
-def repeat_instruction(line: str, n: Column) -> Column:
+REPEAT_WORDING = (
+    "\n\nFirst write this line exactly {times} on lines of its own:\n```\n{lines}\n```\n"
+    "Then give your answer in a ```python``` block."
+)
+
+
+def repeat_instruction(line: str, n: Column, wording: str = REPEAT_WORDING) -> Column:
     """Instruction to write a line n times before the answer; empty for n <= 0."""
-    bare = F.trim(F.lit(line))
     times = F.concat(n.cast("string"), F.when(n == 1, F.lit(" time")).otherwise(F.lit(" times")))
-    text = F.concat(
-        F.lit("\n\nFirst write this line exactly "), times, F.lit(" on lines of its own:\n```\n"),
-        repeated_line(bare, n), F.lit("\n```\nThen give your answer in a ```python``` block."),
-    )
+    counted = F.replace(F.lit(wording), F.lit("{times}"), times)
+    text = F.replace(counted, F.lit("{lines}"), repeated_line(line.strip(), n))
     return F.when(n > 0, text).otherwise(F.lit(""))
 
 
-def repeat_problems(draws: DataFrame, line: str, counts: Sequence[int], text: str = "text") -> DataFrame:
+def repeat_problems(
+    draws: DataFrame, line: str, counts: Sequence[int], text: str = "text", wording: str = REPEAT_WORDING
+) -> DataFrame:
     """Each drawn problem once per repeat count, with ids that may repeat by design."""
     fanned = draws.withColumn("copy_n", F.explode(F.array(*map(F.lit, counts))))
-    asked = F.concat(F.col(text), repeat_instruction(line, F.col("copy_n")))
+    asked = F.concat(F.col(text), repeat_instruction(line, F.col("copy_n"), wording))
     named = fanned.withColumn(text, asked)
     return named.withColumn(
         "problem_id",

@@ -1,6 +1,6 @@
 """Source, sink, normalizing and streaming queries: S1-S10, C1-C3, ST1, ST2.
 
-The file queries write a whole table in the reference's layout to the shared folder and read
+The file queries write a whole table in the traced layout to the shared folder and read
 it back with the reader under test; the SQL side reads the table itself.
 """
 
