@@ -68,6 +68,17 @@ def test_append_last_user_both_forms(spark):
     assert as_lists(T.append_last_user(turn_rows(spark), "")) == dict(CONVERSATIONS)
 
 
+def test_append_per_arm_is_each_arm_alone(spark):
+    arms = [Arm("one", "\n\nmore"), Arm("two", " then", marker="q2"), Arm("control")]
+    out = T.append_last_user_per_arm(turn_rows(spark), arms)
+    for arm in arms:
+        alone = T.append_last_user(turn_rows(spark), arm.question or "", arm.marker)
+        assert as_lists(out.where(F.col("arm") == arm.name)) == as_lists(alone)
+        assert out.where((F.col("arm") == arm.name) & F.col("changed")).count() == alone.where("changed").count()
+    again = T.append_last_user_per_arm(out.where("arm = 'one'").drop("changed", "arm"), arms[:1])
+    assert again.where("changed").count() == 0
+
+
 def test_rewrite_last_user_both_forms(spark):
     template = "See a.py: {original} now"
     got = as_lists(T.rewrite_last_user(turn_rows(spark), template, "a.py"))

@@ -50,12 +50,13 @@ def with_arms(df: DataFrame, arms: Sequence[Arm] = DEFAULT_ARMS) -> DataFrame:
     """Every row once per arm. Arms are literals, so this is a projection and not a join."""
     rows = [
         F.struct(
+            F.lit(i).alias("arm_no"),
             F.lit(a.name).alias("arm"),
             F.lit(a.question).cast("string").alias("question"),
             F.lit(a.answer).cast("string").alias("answer"),
             F.lit(a.marker).cast("string").alias("marker"),
         )
-        for a in arms
+        for i, a in enumerate(arms)
     ]
     return df.select("*", F.inline(F.array(*rows)))
 
@@ -157,6 +158,37 @@ def append_last_user(turns: DataFrame, text: str, marker: str | None = None) ->
     )
 
 
+def append_last_user_per_arm(turns: DataFrame, arms: Sequence[Arm] = DEFAULT_ARMS) -> DataFrame:
+    """``append_last_user`` for several arms in one pass: each arm's question, its own marker.
+
+    The facts carry one flag per arm, so the turns are read and shuffled once, whatever the
+    number of arms. An arm without a question leaves every record as it is.
+    """
+    content = F.coalesce(F.col("content"), F.lit(""))
+    flags = [
+        F.lit(True) if not a.question else F.bool_or(F.contains(content, F.lit(a.marker or a.question.strip())))
+        for a in arms
+    ]
+    facts = turns.groupBy("rec").agg(
+        F.max(F.when(F.col("role") == "user", F.col("pos"))).alias("last_user"),
+        F.max("pos").alias("last_pos"),
+        *(flag.alias(f"_skip_{i}") for i, flag in enumerate(flags)),
+    ).select("rec", "last_user", "last_pos", F.array(*(f"_skip_{i}" for i in range(len(arms)))).alias("skip"))
+    open_ = ~F.get("skip", F.col("arm_no"))
+    fanned = with_arms(_with_facts(turns, facts), arms)
+    hit = F.coalesce(open_ & (F.col("pos") == F.col("last_user")), F.lit(False))
+    kept = fanned.select(
+        "rec", "arm", "pos", "role",
+        F.when(hit, F.concat(content, F.col("question"))).otherwise(F.col("content")).alias("content"),
+        hit.alias("changed"),
+    )
+    new = with_arms(facts.where(F.col("last_user").isNull()), arms).where(open_).select(
+        "rec", "arm", (F.col("last_pos") + 1).alias("pos"), F.lit("user").alias("role"),
+        lstrip(F.col("question")).alias("content"), F.lit(True).alias("changed"),
+    )
+    return kept.unionByName(new)
+
+
 def rewrite_last_user(turns: DataFrame, template: str, marker: str, slot: str = "{original}") -> DataFrame:
     """Put each record's last user turn into a template around it; marked records stay."""
     return _change_last_user(

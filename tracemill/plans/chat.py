@@ -79,6 +79,20 @@ def last_user_append(spark, sf):
     return out.withColumn("changed", as_int(F.col("changed")))
 
 
+MARKED_ARMS = (Arm("one", " -- say one"), Arm("two", " -- say two", marker="sad"), Arm("control"))
+
+
+@query("last_user_per_arm", with_shapes("turns") + ", " + _FACTS + """,
+arms(arm, question, marker) AS (VALUES ('one', ' -- say one', '-- say one'), ('two', ' -- say two', 'sad'), ('control', NULL, NULL)),
+skips AS (SELECT rec, arm, question, coalesce(bool_or(contains(coalesce(content, ''), marker)), TRUE) AS skip FROM turns CROSS JOIN arms GROUP BY ALL)
+SELECT t.rec, s.arm, t.pos, t.role, CASE WHEN t.pos = f.last_user AND NOT s.skip THEN coalesce(t.content, '') || s.question ELSE t.content END AS content,
+  CAST(coalesce(t.pos = f.last_user AND NOT s.skip, FALSE) AS INT) AS changed
+FROM turns t JOIN facts f USING (rec) JOIN skips s USING (rec)""")
+def last_user_per_arm(spark, sf):
+    out = T.append_last_user_per_arm(shape(spark, sf, "turns"), MARKED_ARMS)
+    return out.withColumn("changed", as_int(F.col("changed")))
+
+
 @query("append_twice", with_shapes("turns") + """
 SELECT count(*) AS n_turns, CAST(0 AS BIGINT) AS n_changed FROM turns""")
 def append_twice(spark, sf):
