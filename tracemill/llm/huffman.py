@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.tokens import encoder, in_portions
+from tracemill.llm.tokens import encoded, encoder
 from tracemill.session import new_folder
 
 #: Tokens between two bit offsets, tokens of a block (a longer document has a block of its own),
@@ -128,12 +128,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col:
         kind = "<u2" if tokens.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         end = np.array([end_id], kind).tobytes()
         for got in batches:
-            ids, texts = got.column(0), got.column(1).to_pylist()
-            for a, b in in_portions(texts):
-                raw = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in tokens.encode(texts[a:b])]
-                n = b - a
+            for first, ids, begins in encoded(got.column(1), tokens):
+                ids, cuts = ids.astype(kind), begins.tolist()
+                raw = [ids[a:b].tobytes() + end for a, b in zip(cuts, cuts[1:])]
+                n = len(raw)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, n), pa.array([part] * n, pa.int64()), pa.array(range(seq, seq + n), pa.int64()),
+                    [got.column(0).slice(first, n), pa.array([part] * n, pa.int64()), pa.array(range(seq, seq + n), pa.int64()),
                      pa.array([len(end)] * n, pa.int32()), pa.array(raw, pa.binary())],
                     ["doc_id", "part", "seq", "width", "ids"],
                 )

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.tokens import encoder, in_portions
+from tracemill.llm.tokens import encoded, encoder
 
 #: Cost of a cut after a sentence and of a cut elsewhere, in tokens of padding.
 SENTENCE_CUT, HARD_CUT = 8, 64
@@ -153,11 +153,11 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split(" ")[0] for x in PIECES.split(", ")])
 
         for got in batches:
-            ids, texts = got.column(0).to_pylist(), got.column(1).to_pylist()
-            for a, b in in_portions(texts):
+            doc_ids = got.column(0).to_pylist()
+            for first, ids, begins in encoded(got.column(1), tokens):
                 rows = []
-                for doc_id, raw in zip(ids[a:b], tokens.encode(texts[a:b])):
-                    own = np.frombuffer(raw, "<u4")
+                for doc_id, a, b in zip(doc_ids[first:], begins[:-1].tolist(), begins[1:].tolist()):
+                    own = ids[a:b]
                     ends = np.flatnonzero(is_line[own[:-1]] | is_end[own[:-1]] & is_start[own[1:]]) + 1
                     stream.add(doc_id, np.append(own, np.uint32(end_id)).astype("<u4"), ends)
                     if stream.held >= block_tokens:

@@ -14,6 +14,9 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Pieces per generation of the cache of a Python worker, about 80 MB; two generations are kept,
@@ -21,15 +24,17 @@ import regex
 CACHED_PIECES = 400_000
 #: Longer pieces are encoded each time and not kept.
 LONGEST_CACHED = 48
-#: Characters of texts that are tokenized at once.
-CHARS_AT_ONCE = 4_000_000
+#: Bytes of texts that are tokenized at once.
+BYTES_AT_ONCE = 8_000_000
 
 #: Fixed value: the pattern by which byte-level BPE of this kind tells words apart.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _PATTERN = regex.compile(PATTERN)
 _ODD_SPACE = re.compile(r"[^\S\n]")
-_DOUBLE = re.compile(r"\s\s")
+#: White space next to a space, for Arrow's expressions; each text that has it is cut in Python.
+_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_BY_A_SPACE = f" {_SPACES}|{_SPACES} "
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -52,6 +57,7 @@ class _Pieces(dict):
     def __init__(self, tokenizer, direct: bool):
         super().__init__()
         self.tokenizer, self.model, self.direct, self.letters = tokenizer, tokenizer.model, direct, _byte_letters()
+        self.marks = {mark: self._plain(mark) for mark in ".,"} if direct else {}
         self.older: dict[str, bytes] = {}
 
     def _one(self, part: str) -> bytes:
@@ -84,6 +90,42 @@ class _Pieces(dict):
             self[key] = ids
         return ids
 
+    def all_of(self, keys: list[str]) -> list[bytes]:
+        """Ids of many keys. New words, also before a stop or comma, are spelt in byte letters all at once."""
+        found = list(map(self.get, keys))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if not self.direct:
+            new, rest = [], new
+        else:
+            rest, words = [], {}
+            for k in new:
+                key = keys[k]
+                word = key[:-1] if key[-1:] in self.marks else key
+                if word.isalpha():
+                    if word not in self:
+                        words[word] = None
+                else:
+                    rest.append(k)
+            if self.older:
+                kept = {word: self.older[word] for word in words if word in self.older}
+                self.update(kept)
+                words = [word for word in words if word not in kept]
+            spelt = "\n".join([" " + word for word in words]).encode().decode("latin-1").translate(self.letters)
+            tokenize = self.model.tokenize
+            for word, letters in zip(words, spelt.split(self.letters[10])):
+                self[word] = array("I", [x.id for x in tokenize(letters)]).tobytes()
+            ids_of = dict.get
+            for k in new:
+                key = keys[k]
+                ids = ids_of(self, key)
+                if ids is None and key[-1:] in self.marks:
+                    stem = ids_of(self, key[:-1])
+                    ids = stem and stem + self.marks[key[-1]]
+                found[k] = ids
+        for k in rest:
+            found[k] = self[keys[k]]
+        return found
+
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, one bytes value per text."""
@@ -107,16 +149,42 @@ class Encoder:
         """Ids of one text without any cutting."""
         return self.pieces._plain(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text begins (and the last one ends)."""
+        texts = texts.cast(pa.large_string())
         if not self.byte_level:  # another kind of tokenizer may join across spaces
-            return [self.whole(text) for text in texts]
+            raw = [self.whole(text) for text in texts.to_pylist()]
+            return np.frombuffer(b"".join(raw), "<u4"), np.cumsum([0] + [len(x) // 4 for x in raw])
         self.pieces.age()
-        out, ids_of = [], self.pieces.__getitem__
-        for text in texts:
-            cut = _CUT.split(text) if _DOUBLE.search(text) else text.split(" ")
-            cut[0] = " " + cut[0]
-            out.append(b"".join(map(ids_of, cut)))
-        return out
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _BY_A_SPACE).to_numpy(zero_copy_only=False))
+        cut = pc.split_pattern(texts, " ")
+        begins = cut.offsets.to_numpy().astype(np.int64)
+        begins -= begins[0]
+        coded = cut.flatten().dictionary_encode()
+        keys, word = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # The first piece of each text has no space before it and gets a key of its own.
+        firsts = pa.array([" " + keys[k] for k in word[begins[:-1]]], pa.large_string()).dictionary_encode()
+        word[begins[:-1]] = firsts.indices.to_numpy(zero_copy_only=False) + len(keys)
+        ids = self.pieces.all_of(keys + firsts.dictionary.to_pylist())
+        if len(odd):  # their pieces are replaced by one entry with the ids of the whole text
+            whole = [b"".join(map(self.pieces.__getitem__, self._cut(texts[k].as_py()))) for k in odd.tolist()]
+            kept = np.ones(len(word), bool)
+            for k in odd:
+                kept[begins[k] + 1 : begins[k + 1]] = False
+            word[begins[odd]] = len(ids) + np.arange(len(odd))
+            ids += whole
+            word, begins = word[kept], np.concatenate([[0], np.cumsum(kept)])[begins]
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, sizes = np.cumsum(size) - size, size[word]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(start[word] - ends[:-1], sizes)
+        at += np.arange(len(at))
+        return flat[at], ends[begins]
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        cut = _CUT.split(text)
+        return [" " + cut[0], *cut[1:]]
 
 
 def encoder(path: str) -> Encoder:
@@ -126,13 +194,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def in_portions(texts: list[str], most: int = CHARS_AT_ONCE):
-    """Positions (from, to) of runs of texts that hold about so many characters each."""
-    start = held = 0
-    for k, text in enumerate(texts):
-        held += len(text)
-        if held >= most:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def encoded(texts: pa.Array, tokens: Encoder, most: int = BYTES_AT_ONCE):
+    """For runs of texts of about so many bytes: the position of the first, the ids, where each text begins."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+    start = 0
+    while start < len(texts):
+        before = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, before + most)))
+        yield start, *tokens.encode(texts.slice(start, stop - start))
+        start = stop
