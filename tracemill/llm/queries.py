@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import huffman, packing
+from tracemill.llm import huffman, jaccard, packing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,5 +27,10 @@ def op7_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return huffman.read(spark, huffman.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {"op3_packing": op3_packing, "op7_token_ids": op7_token_ids}
+def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size and component of every document at 85 % shared four-word shingles."""
+    return jaccard.join(table(spark, folder, "documents"))
+
+
+QUERIES = {"op3_packing": op3_packing, "op6_jaccard": op6_jaccard, "op7_token_ids": op7_token_ids}
 SQL: dict[str, str] = {}
