@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import huffman, jaccard, packing
+from tracemill.llm import decontaminate, huffman, jaccard, line_rules, packing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,5 +32,18 @@ def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"))
 
 
-QUERIES = {"op3_packing": op3_packing, "op6_jaccard": op6_jaccard, "op7_token_ids": op7_token_ids}
+def op1_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items in documents, at similarity 0.8 over five-word shingles."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base statistics of every document and whether it is kept."""
+    found = line_rules.verdicts(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_words"
+    )
+
+
+QUERIES = {"op1_leaks": op1_leaks, "op4_quality_rules": op4_quality_rules, "op3_packing": op3_packing, "op6_jaccard": op6_jaccard, "op7_token_ids": op7_token_ids}
 SQL: dict[str, str] = {}
