@@ -69,7 +69,7 @@ def _statistics(batches):
     for got in batches:
         host_column, text_column = got.column(1), got.column(2)
         for first, stop in portions(text_column):
-            part = text_column.slice(first, stop - first)
+            part = pa.concat_arrays([text_column.slice(first, stop - first)])
             n_words, again = _repeats(part)
             symbols = pc.count_substring_regex(part, r"[#*$%&|<>]").cast(pa.int64())
             spaces = pc.count_substring_regex(part, r"[\x20\x09-\x0D]").cast(pa.int64())

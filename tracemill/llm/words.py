@@ -42,13 +42,13 @@ def portions(texts: pa.Array, most: int = BYTES_AT_ONCE):
 def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts in order, and where each text begins; A-Z lower-cased on request."""
     texts = texts.cast(pa.large_string())
-    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    cut = pc.ascii_split_whitespace(texts)
     begins = cut.offsets.to_numpy().astype(np.int64)
     begins -= begins[0]
     coded = cut.flatten().dictionary_encode()
     keys, word = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter(map(digest, keys), np.uint64, len(keys))
+    raw = [key.encode().lower() for key in keys] if lower else keys  # bytes change A-Z only
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
     if "" in keys:  # before the first and after the last word of a text
         real = word != keys.index("")
         begins = np.concatenate([[0], np.cumsum(real)])[begins]
