@@ -28,8 +28,8 @@ from tracemill.llm.words import distinct, mixed, portions, shingles, word_hashes
 #: Fingerprint bits, radius and blocks. Windows that share 80 % of their weight differ in 19 of 128 bits
 #: on average, with a deviation of 4; 11 blocks leave at most 2 errors in one of them.
 BITS, RADIUS, BLOCKS = 128, 32, 11
-#: Words of the benchmark per pass, and windows of a document that are fingerprinted at once.
-WORDS_A_PASS, WINDOWS_AT_ONCE = 2_000_000, 20_000
+#: Words of the benchmark per pass, and shingles of a document whose votes are held at once.
+WORDS_A_PASS, VOTES_AT_ONCE = 200_000, 20_000
 
 LEAKS = "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double"
 
@@ -62,16 +62,29 @@ class Index:
         self.tables = {}
         for size, rows in self.by_size.items():
             prints = np.unpackbits(np.stack([p for _, p in rows]), axis=1)
+            rows_wide = -(-len(rows) // 8)
             tables = []
             for places in self.block_of:
-                table: dict[int, list[int]] = {}
                 powers = 1 << np.arange(len(places), dtype=np.int64)
-                flips = [sum(1 << j for j in c) for e in range(self.errors + 1) for c in itertools.combinations(range(len(places)), e)]
-                for row, value in enumerate((prints[:, places] @ powers).tolist()):
-                    for flip in flips:
-                        table.setdefault(value ^ flip, []).append(row)
+                table = np.zeros((1 << len(places), rows_wide), np.uint8)  # block value -> bits of the items near it
+                values_of, at = prints[:, places] @ powers, np.arange(len(rows))
+                for errors in range(self.errors + 1):
+                    for flipped in itertools.combinations(range(len(places)), errors):
+                        flip = sum(1 << j for j in flipped)
+                        np.bitwise_or.at(table, (values_of ^ flip, at >> 3), np.uint8(128) >> (at & 7).astype(np.uint8))
                 tables.append((places, powers, table))
             self.tables[size] = (np.stack([p for _, p in rows]), tables, [k for k, _ in rows])
+        self.widest = max(self.tables, default=1)
+        self.sieve = np.zeros(1 << 22, bool)
+        self.sieve[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def held(self, values: np.ndarray) -> np.ndarray:
+        """Which shingles are those of an item."""
+        out = self.sieve[(values & np.uint64((1 << 22) - 1)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = self.known[np.minimum(np.searchsorted(self.known, values[at]), len(self.known) - 1)] == values[at]
+        return out
 
     def weights(self, values: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -93,36 +106,43 @@ class Index:
 
     def search(self, values: np.ndarray, at_least: float):
         """(item, start, distance, similarity) of the best window of each item in the shingles of one document."""
-        hit = np.isin(values, self.known)
-        weights = self.weights(values)
+        hits = np.flatnonzero(self.held(values))
         found: dict[int, tuple] = {}
+        breaks = np.flatnonzero(np.diff(hits) >= 2 * self.widest) + 1
+        for run in np.split(hits, breaks):  # runs whose windows do not overlap
+            begin, end = max(0, run[0] - self.widest + 1), min(len(values), run[-1] + self.widest)
+            for first in range(begin, end, VOTES_AT_ONCE):  # a part holds all windows that start in it
+                stop = min(end, first + VOTES_AT_ONCE + self.widest)
+                self._search_part(values, hits, first, stop, min(end, first + VOTES_AT_ONCE), at_least, found)
+        return [(item, *best) for item, best in found.items()]
+
+
+    def _search_part(self, values, hits, first, stop, last, at_least, found) -> None:
+        own = values[first:stop]
+        total = np.concatenate([np.zeros((1, BITS)), np.cumsum(_votes(own, self.weights(own)), 0)])
+        inside = np.zeros(stop - first + 1, np.int64)
+        inside[hits[(hits >= first) & (hits < stop)] - first + 1] = 1
+        inside = np.cumsum(inside)
         for size, (prints, tables, items) in self.tables.items():
-            if size > len(values):
+            if size > len(own):
                 continue
-            inside = np.concatenate([[0], np.cumsum(hit)])
             starts = np.flatnonzero(inside[size:] > inside[:-size])
-            for part in np.array_split(starts, -(-len(starts) // WINDOWS_AT_ONCE)) if len(starts) else []:
-                first = part[0]
-                span = slice(first, part[-1] + size)
-                total = np.concatenate([np.zeros((1, BITS)), np.cumsum(_votes(values[span], weights[span]), 0)])
-                sums = total[part - first + size] - total[part - first]
-                windows = _packed(np.round(sums, 9))
-                bits = np.unpackbits(windows, axis=1)
-                candidates = set()
-                for places, powers, table in tables:
-                    for window, value in enumerate((bits[:, places] @ powers).tolist()):
-                        for row in table.get(value, ()):
-                            candidates.add((window, row))
-                if not candidates:
-                    continue
-                pairs = np.array(sorted(candidates))
-                apart = np.bitwise_count(windows[pairs[:, 0]] ^ prints[pairs[:, 1]]).sum(1)
-                for (window, row), distance in zip(pairs[apart <= self.radius].tolist(), apart[apart <= self.radius].tolist()):
-                    start, item = int(part[window]), items[row]
-                    alike = self.similarity(values[start : start + size], item)
-                    if alike >= at_least and (item not in found or (-alike, start) < (-found[item][2], found[item][0])):
-                        found[item] = (start, distance, alike)
-        return [(item, *best) for item, best in found.items()]
+            starts = starts[starts < last - first]
+            if not len(starts):
+                continue
+            windows = _packed(np.round(total[starts + size] - total[starts], 9))
+            bits = np.unpackbits(windows, axis=1)
+            near = np.zeros((len(starts), tables[0][2].shape[1]), np.uint8)
+            for places, powers, table in tables:
+                near |= table[bits[:, places] @ powers]
+            window, row = np.nonzero(np.unpackbits(near, axis=1)[:, : len(items)])
+            apart = np.bitwise_count(windows[window] ^ prints[row]).sum(1)
+            close = apart <= self.radius
+            for w, r, distance in zip(window[close].tolist(), row[close].tolist(), apart[close].tolist()):
+                start, item = int(starts[w]) + first, items[r]
+                alike = self.similarity(values[start : start + size], item)
+                if alike >= at_least and (item not in found or (-alike, start) < (-found[item][2], found[item][0])):
+                    found[item] = (start, distance, alike)
 
 
 def _search(batches, index: Index, k: int, at_least: float):
@@ -130,7 +150,7 @@ def _search(batches, index: Index, k: int, at_least: float):
         for first, stop in portions(got.column(1)):
             doc_ids = got.column(0).slice(first, stop - first).to_pylist()
             values, begins = shingles(*word_hashes(got.column(1).slice(first, stop - first), lower=True), k)
-            hit = np.concatenate([[0], np.cumsum(np.isin(values, index.known))])
+            hit = np.concatenate([[0], np.cumsum(index.held(values))])
             rows = []
             for j in np.flatnonzero(hit[begins[1:]] > hit[begins[:-1]]).tolist():
                 for item, start, distance, alike in index.search(values[begins[j] : begins[j + 1]], at_least):

@@ -6,9 +6,11 @@ two linked sets agree wholly (pigeonhole): the subset of each unit is a signatur
 model says so, units are merged in pairs: one segment that may differ in one shingle takes the
 place of two that must agree, and is indexed by its subset and all its one-deletions.
 
-A unit in which a set has nothing would tie all such sets together. That signature is left out, and
-sets with an empty unit are partitioned once more under another hash; two sets with a common empty
-unit both take part in that, so no link is lost.
+A unit in which a set has nothing would tie all such sets together, so empty units give no
+signature. The universe gets E units more for that: then linked sets agree in at least E + 1 units,
+one of which is not empty if a set has at most E empty ones. E is a few more than a set of the band
+is expected to have. Sets with more, which are rare, are partitioned once more under another hash;
+two linked sets that both have more both take part in that, so no link is lost.
 
 Candidates are not multiplied out. Sets that are equal form a class with one representative. First
 each signature's sets are held against its smallest one only. After the components of these links
@@ -29,7 +31,7 @@ from tracemill.llm.components import components
 from tracemill.llm.words import distinct, mixed, portions, shingles, word_hashes
 from tracemill.session import written
 
-#: Partitions of the universe that a set with empty units goes through; the last keeps them.
+#: Partitions of the universe that a set with too many empty units goes through; the last keeps them.
 LEVELS = 8
 #: Cost of a row of the index against that of a pair whose bitmaps are compared, and the chance that
 #: two sets of a band share a given shingle.
@@ -52,6 +54,18 @@ def bands(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.array(low), np.array(high), np.array(apart)
 
 
+def spare_units(size: float, apart: int) -> int:
+    """Units beyond H + 1 of a band: the expected number of empty units and three deviations."""
+    if not apart:
+        return 0  # one unit, which holds the whole set
+    spare = 0
+    for _ in range(3):
+        units = apart + 1 + spare
+        mean = units * np.exp(-size / units)
+        spare = int(np.ceil(mean + 3 * np.sqrt(mean)))
+    return spare
+
+
 def merged_units(sets: int, size: float, units: int, row_cost: float = ROW_COST, shared: float = SHARED) -> int:
     """How many pairs of units to merge in a band: the total cost is linear in it, so none or all.
 
@@ -98,7 +112,7 @@ def _features(batches, k: int):
             )
 
 
-def _signatures_of(doc, begins, values, band, units, merged):
+def _signatures_of(doc, begins, values, band, units, merged, spare):
     """(document, signature, whole) rows of sets in one band each; whole is false for a one-deletion."""
     out = []
     for level in range(LEVELS):
@@ -124,19 +138,20 @@ def _signatures_of(doc, begins, values, band, units, merged):
             s = slot[gone]
             left_low, left_high = low[s] - (own[gone] & _LOW), high[s] - (own[gone] >> _32)
             out.append((doc[text[gone]], mixed(mixed(left_low + mixed(left_high)) ^ salt[s]), np.zeros(len(gone), bool)))
-        # An empty unit, or a merged one that a deletion empties, sends the set to the next partition.
-        weak = np.zeros(len(per), bool)
-        weak[owner[(size == 0) | ((size == 1) & (at < merged[owner]))]] = True
+        # Too many empty units, or merged ones that a deletion empties, send the set to the next partition.
+        # With merged units, linked sets agree in (E + 1) / 2 segments at least.
+        empty = np.bincount(owner[(size == 0) | ((size == 1) & (at < merged[owner]))], minlength=len(per))
+        weak = empty > np.where(merged > 0, spare // 2, spare)
         if not weak.any():
             break
         chosen = weak[text]
         values = values[chosen]
         begins = np.concatenate([[0], np.cumsum(np.diff(begins)[weak])])
-        doc, band, units, merged = doc[weak], band[weak], units[weak], merged[weak]
+        doc, band, units, merged, spare = doc[weak], band[weak], units[weak], merged[weak], spare[weak]
     return out
 
 
-def _signatures(batches, k: int, low: np.ndarray, units: np.ndarray, merged: np.ndarray, percent: int):
+def _signatures(batches, k: int, low: np.ndarray, units: np.ndarray, merged: np.ndarray, spare: np.ndarray, percent: int):
     """Signatures of each set in its band and, as the smaller side, in the next; equal sets of a task once."""
     seen: set[bytes] = set()
     for got in batches:
@@ -158,7 +173,7 @@ def _signatures(batches, k: int, low: np.ndarray, units: np.ndarray, merged: np.
                 chosen = np.repeat(inside, sizes)
                 starts = np.concatenate([[0], np.cumsum(sizes[inside])])
                 own = band[inside]
-                rows += _signatures_of(doc[inside], starts, values[chosen], own, units[own], merged[own])
+                rows += _signatures_of(doc[inside], starts, values[chosen], own, units[own], merged[own], spare[own])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([r[1] for r in rows]).view(np.int64)),
@@ -230,11 +245,13 @@ def join(
     edges = F.array(*[F.lit(int(x)) for x in low])
     band = F.size(F.filter(edges, lambda x: x <= F.col("n"))) - 1
     held = {r["band"]: r["c"] for r in members.where("doc_id = rep").groupBy(band.alias("band")).agg(F.count("*").alias("c")).collect()}
-    units = apart + 1
+    # The smaller side of a pair may be as small as percent of the band's first size.
+    spare = np.array([spare_units(low[j] * percent / 100, apart[j]) for j in range(len(low))])
+    units = apart + 1 + spare
     merged = np.array([merged_units(held.get(j, 0) + held.get(j - 1, 0), low[j], units[j], row_cost) for j in range(len(low))])
 
     emitted = rows.where("doc_id IS NOT NULL").mapInArrow(
-        partial(_signatures, k=k, low=low, units=units, merged=merged, percent=percent), "sig long, doc_id long, whole boolean"
+        partial(_signatures, k=k, low=low, units=units, merged=merged, spare=spare, percent=percent), "sig long, doc_id long, whole boolean"
     )
     by = Window.partitionBy("sig")
     shared = (
