@@ -301,3 +301,13 @@ def join(
     return found.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents without those that are linked to one of a smaller id, with all their columns.
+
+    Of repeated ids one row stays. Rows without an id take no part and stay.
+    """
+    found = join(docs, id_col=id_col, **options).where("doc_id = component_id")
+    chosen = docs.join(found.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi").dropDuplicates([id_col])
+    return chosen.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tracemill.llm.words import portions, shingles, word_hashes
 from tracemill.session import written
@@ -34,6 +35,13 @@ _DIGITS = re.compile(r"[0-9]+")
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores behind it as make it new among the columns."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
+
+
 def _repeats(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Per text: number of words, and of words in three-word windows that occur twice or more in it."""
     words, begins = word_hashes(texts, lower=False)
@@ -132,17 +140,18 @@ def verdicts(
     return out.withColumn("kept", kept).drop("h", "d", "lost")
 
 
-def _digests(batches, at: int):
+def _digests(batches, at: int, name: str):
     for got in batches:
         digests = pa.array([xxhash.xxh3_128_digest(text or "") for text in got.column(at).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*got.columns, digests], [*got.schema.names, "_digest"])
+        yield pa.RecordBatch.from_arrays([*got.columns, digests], [*got.schema.names, name])
 
 
 def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
     """The documents that are kept, whole and with all their columns."""
+    own, host, digest = (fresh(name, docs) for name in ("_own", "_host", "_digest"))
     found = verdicts(docs, text_col=text_col, host_col=host_col, **options).where("kept")
-    found = found.select(F.col("host").alias("_host"), F.col("digest").alias("_kept")).distinct()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _digest binary"
-    marked = docs.mapInArrow(partial(_digests, at=docs.columns.index(text_col)), schema)
-    same = F.col("_digest").eqNullSafe(F.col("_kept")) & F.col(host_col).cast("string").eqNullSafe(F.col("_host"))
+    found = found.select(F.col("host").alias(host), F.col("digest").alias(digest)).distinct()
+    schema = StructType([*docs.schema.fields, StructField(own, BinaryType())])
+    marked = docs.mapInArrow(partial(_digests, at=docs.columns.index(text_col), name=own), schema)
+    same = F.col(own).eqNullSafe(F.col(digest)) & F.col(host_col).cast("string").eqNullSafe(F.col(host))
     return marked.join(found, same, "left_semi").select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import decontaminate, huffman, jaccard, line_rules, packing
+from tracemill.llm import chat, classifier, decontaminate, huffman, jaccard, licenses, line_rules, packing, sharding, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,5 +45,37 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_leaks": op1_leaks, "op4_quality_rules": op4_quality_rules, "op3_packing": op3_packing, "op6_jaccard": op6_jaccard, "op7_token_ids": op7_token_ids}
+def op10_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels outside the held-out fifth."""
+    return classifier.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op2_chats(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one full of control strings, formatted and read back."""
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.read_chats(chat.format_chats(rows)))
+
+
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licenses.notices(table(spark, folder, "documents"))
+
+
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return urls.judge(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
+def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shuffled shards, written and read back."""
+    return sharding.digests(sharding.read_shards(spark, sharding.write_shards(table(spark, folder, "documents"))))
+
+
+QUERIES = {
+    "op1_leaks": op1_leaks, "op2_chats": op2_chats, "op3_packing": op3_packing, "op4_quality_rules": op4_quality_rules,
+    "op5_licenses": op5_licenses, "op6_jaccard": op6_jaccard, "op7_token_ids": op7_token_ids, "op8_urls": op8_urls,
+    "op9_shards": op9_shards, "op10_classifier": op10_classifier,
+}
 SQL: dict[str, str] = {}
