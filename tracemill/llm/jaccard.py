@@ -37,6 +37,10 @@ LEVELS = 8
 #: two sets of a band share a given shingle.
 ROW_COST, SHARED = 30.0, 1e-3
 
+#: Bits by which documents that no pair needs are passed over, 8 MB at most; beyond what they can tell apart, more sets than
+#: needed are built, and the join drops them.
+MOST_BITS = 1 << 26
+
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
 
@@ -184,8 +188,12 @@ def _signatures(batches, k: int, low: np.ndarray, units: np.ndarray, merged: np.
             )
 
 
-def _stored_sets(batches, k: int):
+def _stored_sets(batches, k: int, needed: np.ndarray):
+    """Sets of documents whose bit is set; needed has 64 bits a word."""
     for got in batches:
+        bit = got.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+        inside = needed[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)
+        got = got.filter(pa.array(inside.astype(bool)))
         for first, stop in portions(got.column(1)):
             values, begins = _sets(got.column(1).slice(first, stop - first), k)
             cuts = begins.tolist()
@@ -269,9 +277,21 @@ def join(
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked; only the sets of documents in pairs are built again."""
-        needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        stored = written(rows.join(needed, "doc_id", "left_semi").mapInArrow(partial(_stored_sets, k=k), "doc_id long, items binary").distinct(), "items")
+        """The pairs that are linked. The sets of their documents are built again where the texts are read; no text is shuffled."""
+        needed = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "needed")
+        n = needed.count()
+        if not n:
+            return pairs.select("a", "b")
+        bits = min(MOST_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
+        bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+        word = needed.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(
+            F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("v")
+        ).toPandas()
+        flags = np.zeros(bits // 64, np.uint64)
+        flags[word["word"].to_numpy(np.int64)] = word["v"].to_numpy(np.int64).view(np.uint64)
+        marked = rows.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit"))
+        built = marked.mapInArrow(partial(_stored_sets, k=k, needed=flags), "doc_id long, items binary")
+        stored = written(built.join(needed, "doc_id", "left_semi").distinct(), "items")
         x, y = stored.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), stored.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
         both = pairs.join(x, "a").join(y, "b").where("octet_length(x) > 0 AND octet_length(y) > 0").select("a", "b", "x", "y")
         return both.mapInArrow(partial(_linked, percent=percent), "a long, b long").distinct()
