@@ -13,19 +13,20 @@ import json
 import os
 import re
 from array import array
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Pieces per generation of the cache of a Python worker, about 80 MB; two generations are kept,
+#: Pieces per generation of the cache of a Python worker, about 60 MB; two generations are kept,
 #: and what the older one still serves moves to the younger.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
 #: Longer pieces are encoded each time and not kept.
 LONGEST_CACHED = 48
 #: Bytes of texts that are tokenized at once.
-BYTES_AT_ONCE = 8_000_000
+BYTES_AT_ONCE = 4_000_000
 
 #: Fixed value: the pattern by which byte-level BPE of this kind tells words apart.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,6 +38,8 @@ _SPACES = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}
 _BY_A_SPACE = f" {_SPACES}|{_SPACES} "
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
+_ID = attrgetter("id")
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -63,7 +66,7 @@ class _Pieces(dict):
     def _one(self, part: str) -> bytes:
         """Ids of what the pattern gives as one part."""
         letters = part.encode().decode("latin-1").translate(self.letters)
-        return array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
+        return array("I", map(_ID, self.model.tokenize(letters))).tobytes()
 
     def age(self) -> None:
         if len(self) > CACHED_PIECES:
@@ -93,38 +96,30 @@ class _Pieces(dict):
     def all_of(self, keys: list[str]) -> list[bytes]:
         """Ids of many keys. New words, also before a stop or comma, are spelt in byte letters all at once."""
         found = list(map(self.get, keys))
-        new = [k for k, ids in enumerate(found) if ids is None]
-        if not self.direct:
-            new, rest = [], new
-        else:
-            rest, words = [], {}
-            for k in new:
-                key = keys[k]
-                word = key[:-1] if key[-1:] in self.marks else key
-                if word.isalpha():
-                    if word not in self:
-                        words[word] = None
-                else:
-                    rest.append(k)
-            if self.older:
-                kept = {word: self.older[word] for word in words if word in self.older}
-                self.update(kept)
-                words = [word for word in words if word not in kept]
+        new = [key for key, ids in zip(keys, found) if ids is None]
+        made: dict[str, bytes] = {}
+        if self.direct:
+            words = [key for key in new if key.isalpha()]
+            other = [key for key in new if not key.isalpha()]
+            marked = [key for key in other if key[-1:] in self.marks and key[:-1].isalpha()]
+            stems = {key[:-1] for key in marked}.difference(words)
+            words += [stem for stem in stems if stem not in self]
+            kept = {word: self.older[word] for word in words if word in self.older} if self.older else {}
+            words = [word for word in words if word not in kept] if kept else words
             spelt = "\n".join([" " + word for word in words]).encode().decode("latin-1").translate(self.letters)
             tokenize = self.model.tokenize
-            for word, letters in zip(words, spelt.split(self.letters[10])):
-                self[word] = array("I", [x.id for x in tokenize(letters)]).tobytes()
-            ids_of = dict.get
-            for k in new:
-                key = keys[k]
-                ids = ids_of(self, key)
-                if ids is None and key[-1:] in self.marks:
-                    stem = ids_of(self, key[:-1])
-                    ids = stem and stem + self.marks[key[-1]]
-                found[k] = ids
-        for k in rest:
-            found[k] = self[keys[k]]
-        return found
+            ids = [array("I", map(_ID, tokenize(letters))).tobytes() for letters in spelt.split(self.letters[10])] if words else []
+            made.update(zip(words, ids))
+            made.update(kept)
+            self.update(made)
+            rest = set(other).difference(marked)
+            for key in marked:
+                made[key] = self[key[:-1]] + self.marks[key[-1]]
+        else:
+            rest = new
+        for key in rest:
+            made[key] = self[key]
+        return [made[key] if ids is None else ids for key, ids in zip(keys, found)]
 
 
 class Encoder:
@@ -202,4 +197,5 @@ def encoded(texts: pa.Array, tokens: Encoder, most: int = BYTES_AT_ONCE):
         before = size[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(size, before + most)))
         yield start, *tokens.encode(texts.slice(start, stop - start))
+        pa.default_memory_pool().release_unused()
         start = stop

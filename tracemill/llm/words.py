@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of texts that are taken apart at once.
-BYTES_AT_ONCE = 8_000_000
+BYTES_AT_ONCE = 4_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,6 +36,7 @@ def portions(texts: pa.Array, most: int = BYTES_AT_ONCE):
         before = size[first - 1] if first else 0
         stop = max(first + 1, int(np.searchsorted(size, before + most)))
         yield first, stop
+        pa.default_memory_pool().release_unused()
         first = stop
 
 
