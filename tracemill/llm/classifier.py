@@ -166,11 +166,9 @@ def scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col: str = "
 
 def _accepted(batches, model: Model, at: int, cut: float):
     for got in batches:
-        texts = got.column(at).fill_null("")
-        keep = np.ones(got.num_rows, bool)
-        for first, stop in portions(texts):
-            keep[first:stop] = model.score(statistics(texts.slice(first, stop - first))) >= cut
-        yield got.filter(pa.array(keep))
+        for first, stop in portions(got.column(at)):
+            part = got.slice(first, stop - first)
+            yield part.filter(pa.array(model.score(statistics(part.column(at).fill_null(""))) >= cut))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:

@@ -142,8 +142,10 @@ def verdicts(
 
 def _digests(batches, at: int, name: str):
     for got in batches:
-        digests = pa.array([xxhash.xxh3_128_digest(text or "") for text in got.column(at).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*got.columns, digests], [*got.schema.names, name])
+        for first, stop in portions(got.column(at)):
+            part = got.slice(first, stop - first)
+            digests = pa.array([xxhash.xxh3_128_digest(text or "") for text in part.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, digests], [*part.schema.names, name])
 
 
 def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:

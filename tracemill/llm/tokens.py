@@ -20,9 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Pieces per generation of the cache of a Python worker, about 60 MB; two generations are kept,
+from tracemill.llm.words import release_memory
+
+#: Pieces per generation of the cache of a Python worker, about 45 MB; two generations are kept,
 #: and what the older one still serves moves to the younger.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 #: Longer pieces are encoded each time and not kept.
 LONGEST_CACHED = 48
 #: Bytes of texts that are tokenized at once.
@@ -191,11 +193,11 @@ def encoder(path: str) -> Encoder:
 
 def encoded(texts: pa.Array, tokens: Encoder, most: int = BYTES_AT_ONCE):
     """For runs of texts of about so many bytes: the position of the first, the ids, where each text begins."""
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
     start = 0
     while start < len(texts):
         before = size[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(size, before + most)))
         yield start, *tokens.encode(texts.slice(start, stop - start))
-        pa.default_memory_pool().release_unused()
+        release_memory()
         start = stop

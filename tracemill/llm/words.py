@@ -7,6 +7,9 @@ equal shingles.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +19,16 @@ import xxhash
 BYTES_AT_ONCE = 4_000_000
 
 
+_LIBC = ctypes.CDLL(None) if sys.platform.startswith("linux") else None
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values after which all bits depend on all bits."""
     x = x.astype(np.uint64)
@@ -30,13 +43,13 @@ _POSITION = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 def portions(texts: pa.Array, most: int = BYTES_AT_ONCE):
     """(first, stop) of runs of texts of about so many bytes."""
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
     first = 0
     while first < len(texts):
         before = size[first - 1] if first else 0
         stop = max(first + 1, int(np.searchsorted(size, before + most)))
         yield first, stop
-        pa.default_memory_pool().release_unused()
+        release_memory()
         first = stop
 
 
