@@ -56,10 +56,25 @@ def test_parquet_needs_columns(spark, tmp_path):
 def test_resume(spark):
     path = new_folder(spark, "resume")
     rows = spark.range(30).select(F.pmod("id", F.lit(3)).alias("cell"), "id")
-    assert S.append_unfinished(rows.where("cell = 0"), path, ["cell"], 10).count() == 10
-    assert S.append_unfinished(rows, path, ["cell"], 10).count() == 20
-    assert S.append_unfinished(rows, path, ["cell"], 10).count() == 0
-    assert spark.read.parquet(path).count() == 30
+    add = lambda part: S.append_unfinished(part, path, ["cell"], 10, ["id"]).count()
+    assert add(rows.where("cell = 0 OR id < 6")) == 14
+    assert add(rows) == 16
+    assert add(rows) == 0
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(30))
+
+
+def test_running_lift_over_a_folder_of_parts(spark, tables, tmp_path):
+    from tracemill.plans.registry import QUERIES
+
+    spark.read.parquet(f"{tables}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    rows = lambda folder: sorted(map(str, QUERIES["running_lift"](spark, folder).collect()))
+    assert rows(str(tmp_path)) == rows(tables)
+
+
+def test_broken_step_line_is_an_error(spark, tmp_path):
+    (tmp_path / "step_3.json").write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST"):
+        S.read_steps(spark, str(tmp_path), "a int").collect()
 
 
 def test_shared_folder(spark):

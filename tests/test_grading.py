@@ -88,10 +88,14 @@ def test_code_grades(spark):
 
 
 def test_cases(spark):
-    recorded = spark.createDataFrame([(1, "a", 1.0000001, None), (1, "b", 2.0, None), (1, "c", None, "timeout"), (2, "a", None, None)], "s int, k string, result double, call_error string")
-    expected = spark.createDataFrame([("a", 1.0), ("b", 2.1), ("c", 1.0)], "k string, expected double")
-    rates = G.pass_rates(G.case_results(recorded, expected, ["k"], ["s"]), ["s"]).orderBy("s").collect()
-    assert [(r["n_cases"], r["n_errors"]) for r in rates] == [(3, 2), (1, 1)] and rates[0]["pass_rate"] == pytest.approx(1 / 3)
+    """A case that is expected and missing fails; one that is recorded and not expected does not count."""
+    rows = [(1, "p", "a", 1.0000001, None), (1, "p", "b", 2.0, None), (1, "p", "c", None, "timeout"), (1, "p", "z", 1.0, None), (2, "p", "a", 1.0, None), (3, "q", "a", None, None)]
+    recorded = spark.createDataFrame(rows, "s int, prompt string, k string, result double, call_error string")
+    expected = spark.createDataFrame([("p", "a", 1.0), ("p", "b", 2.1), ("p", "c", 1.0), ("q", "a", 1.0), ("q", "b", 1.0)], "prompt string, k string, expected double")
+    cases = G.case_results(recorded, expected, ["prompt", "k"], ["s"])
+    rates = G.pass_rates(cases, ["s"], expected, ["prompt"], "k").orderBy("s").collect()
+    assert [(r["n_cases"], r["n_errors"]) for r in rates] == [(3, 2), (3, 2), (2, 2)]
+    assert [r["pass_rate"] for r in rates] == pytest.approx([1 / 3, 1 / 3, 0.0])
 
 
 def number(spark, column):
@@ -202,3 +206,16 @@ def test_baselines_and_pooling(spark):
     assert P.flag_rates(samples, [], wins=F.col("pass_rate") == 1.0).first()["wins_count"] == 2
     empty = P.flag_rates(samples.where("false"), [], wins=F.col("pass_rate") == 1.0).first()
     assert (empty["n"], empty["wins_count"], empty["wins_rate"]) == (0, 0, 0.0)
+
+
+def test_null_groups_are_kept(spark):
+    from tracemill.operators import choice, probes, skew
+
+    df = spark.createDataFrame([(None, "x", 1.0), (None, "x", 3.0), ("a", None, 5.0), (None, None, 7.0)], "arm string, label string, v double")
+    for rows in (1, 100_000):  # all keys hot, none
+        joined = skew.salted_join(df, df.groupBy("arm").agg(F.avg("v").alias("m")), ["arm"], ["v"], rows=rows, null_safe=True)
+        assert sorted((r["v"], round(r["m"], 6)) for r in joined.collect()) == [(1.0, 3.666667), (3.0, 3.666667), (5.0, 5.0), (7.0, 3.666667)]
+    got = {(r["arm"], r["label"]): r["fraction"] for r in probes.class_fractions(df).collect()}
+    assert got == {(None, "x"): 0.6667, ("a", None): 1.0, (None, None): 0.3333}
+    ranked = choice.ranks_in_groups(df.withColumn("h", F.md5(F.col("v").cast("string"))), ["arm"], "h", "rank").collect()
+    assert sorted((r["arm"] or "", r["rank"]) for r in ranked) == [("", 0), ("", 1), ("", 2), ("a", 0)]

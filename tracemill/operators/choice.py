@@ -107,8 +107,10 @@ def ranks_in_groups(
     before = Window.partitionBy(*groups).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     starts = pieces.select(*groups, "_prefix", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*groups, "_prefix").orderBy(hashed)
+    starts = starts.withColumnsRenamed({name: f"_of_{name}" for name in [*groups, "_prefix"]})
+    same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in [*groups, "_prefix"]]
     return (
-        cut.join(starts, [*groups, "_prefix"])
+        cut.join(starts, same)
         .withColumn(rank, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_prefix", "_start")
+        .drop("_prefix", "_start", *[f"_of_{name}" for name in [*groups, "_prefix"]])
     )

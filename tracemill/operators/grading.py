@@ -133,13 +133,17 @@ def case_results(recorded: DataFrame, expected: DataFrame, keys: Sequence[str],
     )
 
 
-def pass_rates(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Share of cases passed per sample, with its case and error counts."""
-    return cases.groupBy(*keys).agg(
-        F.avg(F.col("passed").cast("double")).alias("pass_rate"),
-        F.count(F.lit(1)).alias("n_cases"),
-        F.count("error").alias("n_errors"),
-    )
+def pass_rates(cases: DataFrame, keys: Sequence[str], expected: DataFrame, battery: Sequence[str], case: str) -> DataFrame:
+    """Share of the expected cases that each sample passed, with the numbers of cases and of errors.
+
+    ``expected`` has one row per case of a battery. A case that was expected and not recorded is
+    an error like a wrong one, and one that is recorded twice counts once. Only the numbers of
+    cases per battery are joined.
+    """
+    counts = expected.groupBy(*battery).agg(F.count(F.lit(1)).alias("n_cases"))
+    passed = cases.groupBy(*keys, *battery).agg(F.count_distinct(F.when(F.col("passed"), F.col(case))).alias("_passed"))
+    rated = passed.join(counts, list(battery))
+    return rated.select(*keys, (F.col("_passed") / F.col("n_cases")).alias("pass_rate"), "n_cases", (F.col("n_cases") - F.col("_passed")).alias("n_errors"))
 
 
 def zero_on_hit(reward: Column, hit: Column) -> Column:

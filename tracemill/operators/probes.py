@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.stats import wilson
 
@@ -37,8 +37,8 @@ def class_summary(samples: DataFrame, classes: Sequence[str], by: str = "arm", l
 def class_fractions(samples: DataFrame, by: str = "arm", label: str = "label") -> DataFrame:
     """Count and fraction of all rows, error rows included, of the classes that occur."""
     counts = samples.groupBy(by, label).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(by).agg(F.sum("n").alias("total"))
-    return counts.join(totals, by).withColumn("fraction", F.round(F.col("n") / F.col("total"), 4))
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy(by)))  # one row per class of an arm
+    return counts.withColumn("fraction", F.round(F.col("n") / F.col("total"), 4))
 
 
 def flag_rates(samples: DataFrame, by: Sequence[str], **flags: Column) -> DataFrame:

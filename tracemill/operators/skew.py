@@ -42,6 +42,7 @@ def salted_join(
     counted: DataFrame | None = None,
     share: float = HOT_SHARE,
     rows: int = HOT_ROWS,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Equi-join whose hot left keys are cut into pieces by a hash of ``spread``.
 
@@ -49,9 +50,11 @@ def salted_join(
     left row meets each right partner exactly once: inner, left, left_semi and left_anti
     give the plain join's result. ``spread`` has to be a fixed property of the left row, so
     that a recomputed task cuts the same way. ``counted`` is a cheaper table with the same
-    keys to count on.
+    keys to count on. With ``null_safe`` null keys are keys like others and meet each other.
     """
     keys = list(keys)
+    if null_safe:
+        return _null_safe_join(left, right, keys, spread, how, left if counted is None else counted, share, rows)
     hot = F.broadcast(hot_keys(left if counted is None else counted, keys, share, rows))
     absent = F.lit(False)
     for key in keys:
@@ -70,12 +73,25 @@ def salted_join(
     return cut.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
+def _null_safe_join(left, right, keys, spread, how, counted, share, rows) -> DataFrame:
+    hot = F.broadcast(hot_keys(counted, keys, share, rows).withColumnsRenamed({key: f"_hot_{key}" for key in keys}))
+    other = right.withColumnsRenamed({key: f"_of_{key}" for key in keys})
+    is_hot = [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in keys]
+    is_hot_other = [F.col(f"_of_{key}").eqNullSafe(F.col(f"_hot_{key}")) for key in keys]
+    pieces = F.coalesce(F.col("_salts"), F.lit(1))
+    dropped = [*[f"_hot_{key}" for key in keys], "_salts"]
+    cut = left.join(hot, is_hot, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), pieces).cast("int")).drop(*dropped)
+    copied = other.join(hot, is_hot_other, "left").withColumn("_salt_of", F.explode(F.sequence(F.lit(0), pieces - 1))).drop(*dropped)
+    same = [*[F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys], F.col("_salt") == F.col("_salt_of")]
+    return cut.join(copied, same, how).drop("_salt", "_salt_of", *[f"_of_{key}" for key in keys])
+
+
 def with_group_values(
     df: DataFrame, keys: Sequence[str], spread: Sequence[str | Column], **aggregates: Column
 ) -> DataFrame:
-    """Add group aggregates to every row: partial aggregation, then a salted join back.
+    """Add group aggregates to every row: partial aggregation, then a salted join back. Null keys are a group.
 
     A window over ``keys`` would put a whole group into one task.
     """
     groups = df.groupBy(*keys).agg(*(a.alias(name) for name, a in aggregates.items()))
-    return salted_join(df, groups, keys, spread, counted=df.select(*keys))
+    return salted_join(df, groups, keys, spread, counted=df.select(*keys), null_safe=True)

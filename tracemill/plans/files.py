@@ -173,13 +173,14 @@ def step_files(spark, sf):
 
 @query("resumed_batch", with_shapes("rollouts") + """,
 first AS (SELECT arm, step, count(*) AS n FROM rollouts WHERE hit GROUP BY arm, step)
-SELECT r.rollout_id, r.arm, r.step FROM rollouts r LEFT JOIN first f USING (arm, step) WHERE coalesce(f.n, 0) < 20""")
+SELECT r.rollout_id, r.arm, r.step FROM rollouts r LEFT JOIN first f USING (arm, step) WHERE r.hit OR coalesce(f.n, 0) < 20""")
 def resumed_batch(spark, sf):
-    """A first run saves part of the cells; the second appends only cells short of 20."""
+    """A first run saves part of the cells; the second appends what cells short of 20 lack. All that is stored comes back."""
     runs = shape(spark, sf, "rollouts").select("rollout_id", "arm", "step", "hit")
     out = new_folder(spark, "cells")
-    S.append_unfinished(runs.where("hit").drop("hit"), out, ["arm", "step"], 20)
-    return S.append_unfinished(runs.drop("hit"), out, ["arm", "step"], 20)
+    for part in (runs.where("hit"), runs):
+        S.append_unfinished(part.drop("hit"), out, ["arm", "step"], 20, ["rollout_id"])
+    return spark.read.parquet(out).select("rollout_id", "arm", "step")
 
 
 # -- streams ---------------------------------------------------------------------------------

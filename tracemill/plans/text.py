@@ -298,36 +298,42 @@ def two_turn_scores(spark, sf):
 
 # -- recorded cases --------------------------------------------------------------------------
 
-_CASES = """cases AS (SELECT l_orderkey AS sample, l_extendedprice / l_quantity AS result, p_retailprice AS expected,
-    CASE WHEN l_returnflag = 'A' AND l_linenumber = 2 THEN 'timeout' END AS call_error
-  FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+_CASES = """expected AS (SELECT DISTINCT l_orderkey % 2 AS battery, l_linenumber AS case_no, CAST(l_linenumber % 3 AS DOUBLE) AS expected
+  FROM lineitem WHERE l_orderkey % 2 = 0 OR l_linenumber <= 5),
+asked AS (SELECT battery, count(*) AS n_cases FROM expected GROUP BY battery),
+cases AS (SELECT l_orderkey AS sample, battery, case_no, coalesce(call_error IS NULL AND abs(result - expected) < 1e-6, false) AS passed FROM (
+    SELECT l_orderkey, l_orderkey % 2 AS battery, l_linenumber AS case_no, CAST(l_quantity AS DOUBLE) % 3 + (l_partkey % 2) * 1e-7 AS result,
+      CASE WHEN l_returnflag = 'A' AND l_linenumber = 2 THEN 'timeout' END AS call_error FROM lineitem) JOIN expected USING (battery, case_no)),
+rates AS (SELECT sample, count(DISTINCT case_no) FILTER (passed) / any_value(n_cases) AS pass_rate, any_value(n_cases) AS n_cases,
+    any_value(n_cases) - count(DISTINCT case_no) FILTER (passed) AS n_errors FROM cases JOIN asked USING (battery) GROUP BY sample)"""
 
 
 @query("case_pass_rates", "WITH " + _CASES + """
-SELECT sample, round(avg(CASE WHEN call_error IS NULL AND abs(result - expected) < 1e-6 THEN 1 ELSE 0 END), 6) AS pass_rate, count(*) AS n_cases,
-  count(*) FILTER (NOT (call_error IS NULL AND abs(result - expected) < 1e-6)) AS n_errors FROM cases GROUP BY sample""")
+SELECT sample, round(pass_rate, 6) AS pass_rate, n_cases, n_errors FROM rates""")
 def case_pass_rates(spark, sf):
-    return rounded(G.pass_rates(recorded_cases(spark, sf), ["sample"]), "pass_rate")
+    return rounded(sample_rates(spark, sf), "pass_rate")
 
 
-def recorded_cases(spark, sf):
-    """Lines of an order as the test cases of one sample, unit price against list price."""
-    recorded = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("sample"), "l_partkey", "l_linenumber",
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("result"),
-        F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 2), F.lit("timeout")).alias("call_error"),
+def sample_rates(spark, sf):
+    """Orders as samples of two batteries, their lines as recorded cases: right, wrong, near, failed, missing and not expected."""
+    lines = table(spark, sf, "lineitem").withColumn("battery", F.col("l_orderkey") % 2).withColumnRenamed("l_linenumber", "case_no")
+    recorded = lines.select(
+        F.col("l_orderkey").alias("sample"), "battery", "case_no",
+        (F.col("l_quantity").cast("double") % 3 + (F.col("l_partkey") % 2) * 1e-7).alias("result"),
+        F.when((F.col("l_returnflag") == "A") & (F.col("case_no") == 2), F.lit("timeout")).alias("call_error"),
     )
-    expected = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("expected"))
-    return G.case_results(recorded, expected, ["l_partkey"], ["sample", "l_linenumber"])
+    expected = lines.where("battery = 0 OR case_no <= 5").select("battery", "case_no").distinct()
+    expected = expected.withColumn("expected", (F.col("case_no") % 3).cast("double"))
+    cases = G.case_results(recorded, expected, ["battery", "case_no"], ["sample"])
+    return G.pass_rates(cases, ["sample"], expected, ["battery"], "case_no")
 
 
 @query("pooled_pass_rates", "WITH " + _CASES + """,
-rates AS (SELECT sample, avg(CASE WHEN call_error IS NULL AND abs(result - expected) < 1e-6 THEN 1 ELSE 0 END) AS pass_rate FROM cases GROUP BY sample),
 named AS (SELECT o_orderpriority AS arm, o_orderstatus AS prompt, pass_rate FROM rates JOIN orders ON o_orderkey = sample)
 SELECT arm, prompt, CAST(grouping(prompt) AS INT) AS pooled, round(avg(pass_rate), 6) AS mean_pass_rate, count(*) AS n
 FROM named GROUP BY GROUPING SETS ((arm, prompt), (arm))""")
 def pooled_pass_rates(spark, sf):
-    rates = G.pass_rates(recorded_cases(spark, sf), ["sample"]).select("sample", "pass_rate")
+    rates = sample_rates(spark, sf).select("sample", "pass_rate")
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("sample"), F.col("o_orderpriority").alias("arm"), F.col("o_orderstatus").alias("prompt")
     )

@@ -140,6 +140,7 @@ def run_appends(stream: DataFrame) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table of a folder as a stream of files."""
+    """A parquet table of a folder, one file or a folder of parts, as a stream of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # Written as a pattern: a plain path would have to be a folder.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.{{parquet}}")
