@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
 from .choice import hash_of, ranks_in_groups
+from .skew import salted_join
 
 BLOCK_ROWS = 1000
 
@@ -66,6 +67,26 @@ def all_pairs(attempts: DataFrame, seed: int | str = 42, block: int = BLOCK_ROWS
     return passes.join(fails, ["stem", "_p", "_f"]).select("stem", "pass_id", "fail_id")
 
 
+def all_in_pairs(attempts: DataFrame, seed: int | str = 42) -> DataFrame:
+    """max(n_pass, n_fail) pairs of each stem: every attempt is in one at least, none is left out.
+
+    Passes and fails are ranked in seeded hash order; the longer side meets the shorter one by
+    rank modulo its size, so the result is linear in the attempts however large a stem is.
+    """
+    sizes = stem_outcomes(attempts).select(
+        "stem", (F.col("n_pass") >= F.col("n_fail")).alias("_more"), F.least("n_pass", "n_fail").alias("_short")
+    )
+    sized = salted_join(_ranked(attempts, seed), sizes, ["stem"], ["id"])
+    passed = F.col("outcome") == "pass"
+    longer = passed == F.col("_more")
+    long = sized.where(longer).select("stem", "id", "outcome", F.pmod("rank", "_short").alias("rank"))
+    short = sized.where(~longer).select("stem", F.col("id").alias("_other"), "rank")
+    return salted_join(long, short, ["stem", "rank"], ["id"]).select(
+        "stem", F.when(passed, F.col("id")).otherwise(F.col("_other")).alias("pass_id"),
+        F.when(passed, F.col("_other")).otherwise(F.col("id")).alias("fail_id"),
+    )
+
+
 def pairs_up_to(attempts: DataFrame, most: int, seed: int | str = 42) -> DataFrame:
     """Exactly min(most, n_pairs) pairs of each stem, without building the product.
 
@@ -74,7 +95,7 @@ def pairs_up_to(attempts: DataFrame, most: int, seed: int | str = 42) -> DataFra
     depends on seed and stem only, so every arm gets the same pairs.
     """
     ranked = _ranked(attempts, seed)
-    start = F.conv(F.left(hash_of(seed, F.col("stem")), F.lit(8)), 16, 10).cast("bigint")
+    start = F.conv(F.left(hash_of(seed, F.col("stem")), F.lit(15)), 16, 10).cast("bigint")
     taken = F.least(F.lit(most).cast("bigint"), F.col("n_pairs"))
     numbers = (
         stem_outcomes(attempts)

@@ -15,7 +15,7 @@ def drawn_index(seed: int | str | Column, draw: Column, part: str, size: Column
     """Index below ``size`` for one part of one draw: a hash of seed, part and draw."""
     named = F.concat(F.lit(f"{part}|"), draw.cast("string"))
     digits = hash_of(seed, named) if not isinstance(seed, Column) else F.md5(F.concat(seed.cast("string"), F.lit("|"), named))
-    return F.pmod(F.conv(F.left(digits, F.lit(8)), 16, 10).cast("bigint"), F.lit(size) if isinstance(size, int) else size)
+    return F.pmod(F.conv(F.left(digits, F.lit(15)), 16, 10).cast("bigint"), F.lit(size) if isinstance(size, int) else size)
 
 
 def draw_parts(draws: DataFrame, parts: Mapping[str, Sequence[str] | DataFrame], seed: int | str, number: str = "draw") -> DataFrame:

@@ -63,7 +63,7 @@ attempts AS (SELECT id, stem, CAST(quality AS DOUBLE) AS score FROM scored JOIN
 outcomes AS (SELECT stem, count(*) FILTER (score = 1) AS n_pass, count(*) FILTER (score = 0) AS n_fail FROM attempts GROUP BY stem
   HAVING n_pass > 0 AND n_fail > 0),
 ranked AS (SELECT stem, id, score, row_number() OVER (PARTITION BY stem, score ORDER BY md5('42|' || id)) - 1 AS r FROM attempts),
-picked AS (SELECT stem, n_fail, (('0x' || substr(md5('42|' || stem), 1, 8))::BIGINT % (n_pass * n_fail)
+picked AS (SELECT stem, n_fail, (('0x' || substr(md5('42|' || stem), 1, 15))::BIGINT % (n_pass * n_fail)
     + (j * (n_pass * n_fail)) // least(3, n_pass * n_fail)) % (n_pass * n_fail) AS k
   FROM outcomes, (SELECT unnest(generate_series(0, 2)) AS j) WHERE j < n_pass * n_fail),
 pairs AS (SELECT c.stem, p.id AS pass_id, f.id AS fail_id FROM picked c
@@ -90,18 +90,24 @@ def pairs_up_to_three(spark, sf):
 sides AS (SELECT doc_id, string_agg(CASE WHEN i <= fu THEN {_SHOW.format('line')} END, '' ORDER BY i) AS prompt,
     string_agg(CASE WHEN i > fu AND i <= la THEN {_SHOW.format('line')} END, '' ORDER BY i) AS completion
   FROM lines JOIN spots USING (doc_id) WHERE la > fu GROUP BY doc_id)
-SELECT stem, pass_id, fail_id, s.task_key, p.prompt, p.completion AS chosen, f.completion AS rejected,
+,
+fit AS (SELECT attempts.* FROM attempts JOIN sides ON doc_id = id WHERE prompt IS NOT NULL AND completion IS NOT NULL),
+sizes AS (SELECT stem, count(*) FILTER (score = 1) AS n_pass, count(*) FILTER (score = 0) AS n_fail FROM fit GROUP BY stem),
+placed AS (SELECT stem, id, score, row_number() OVER (PARTITION BY stem, score ORDER BY md5('42|' || id)) - 1 AS r FROM fit WHERE score IN (0, 1)),
+met AS (SELECT z.stem, p.id AS pass_id, f.id AS fail_id FROM sizes z JOIN placed p ON p.stem = z.stem AND p.score = 1
+  JOIN placed f ON f.stem = z.stem AND f.score = 0 AND CASE WHEN n_pass >= n_fail THEN p.r % n_fail = f.r ELSE f.r % n_pass = p.r END)
+SELECT met.stem, pass_id, fail_id, s.task_key, p.prompt, p.completion AS chosen, f.completion AS rejected,
   CAST(1 AS DOUBLE) AS score_chosen, CAST(0 AS DOUBLE) AS score_rejected
-FROM pairs JOIN sides p ON p.doc_id = pass_id JOIN sides f ON f.doc_id = fail_id JOIN scored s ON s.id = pass_id""".replace(
-    "SELECT stem, pass_id", "SELECT pairs.stem, pass_id"))
+FROM met JOIN sides p ON p.doc_id = pass_id JOIN sides f ON f.doc_id = fail_id JOIN scored s ON s.id = pass_id""")
 def preference_records(spark, sf):
+    """Fit attempts first, then pairs in which each of them takes part."""
     tries = attempts(spark, sf)
     m = F.col("messages")
-    lists = line_messages(shape(spark, sf, "scored")).select(
+    lists = line_messages(shape(spark, sf, "scored")).where(M.answered(m)).select(
         "id", "task_key", M.prompt_part(m).alias("prompt"), M.completion_part(m).alias("completion")
     )
-    records = lists.join(tries.select("id", "score"), "id")
-    out = P.pair_records(P.pairs_up_to(tries, 3), records)
+    records = lists.join(tries.select("id", "score", "stem"), "id").where("prompt IS NOT NULL AND completion IS NOT NULL")
+    out = P.pair_records(P.all_in_pairs(records.select("id", "stem", "score")), records.drop("stem"))
     shown = {c: M.rendered(F.col(c)) for c in ("prompt", "chosen", "rejected")}
     return out.withColumns(shown)
 
@@ -109,7 +115,7 @@ def preference_records(spark, sf):
 # -- templates -----------------------------------------------------------------------------
 
 _TEXT = "{preamble} ({place}, {sea})\n\nFile: {name}"
-_DRAW = "('0x' || substr(md5('11|{part}|' || o_orderkey), 1, 8))::BIGINT % {size}"
+_DRAW = "('0x' || substr(md5('11|{part}|' || o_orderkey), 1, 15))::BIGINT % {size}"
 _DRAWS_SQL = f"""WITH draws AS (
   SELECT o_orderkey AS draw, list_extract(['Please fix this.', 'A test fails.', 'Why is this wrong?'], {_DRAW.format(part='preamble', size=3)} + 1) AS preamble,
     r_name AS sea, n_name AS place, p_name AS name
@@ -138,8 +144,8 @@ def template_draws(spark, sf):
     return drawn_problems(spark, sf)
 
 
-_UNIQUE = """, wanted AS (SELECT count(*) // 40 AS n FROM orders), tried AS (SELECT * FROM named WHERE draw < (SELECT n * 20 FROM wanted)),
-uniq AS (SELECT problem_id, min(draw) AS draw, min_by(text, draw) AS text FROM tried GROUP BY problem_id),
+_UNIQUE = """, wanted AS (SELECT max(o_orderkey) // 20 + 1 AS n FROM orders), tried AS (SELECT * FROM named WHERE draw < (SELECT n * 20 FROM wanted)),
+uniq AS (SELECT min_by(problem_id, draw) AS problem_id, min(draw) AS draw, text FROM tried GROUP BY text),
 firsts AS MATERIALIZED (SELECT * FROM uniq QUALIFY row_number() OVER (ORDER BY draw) <= (SELECT n FROM wanted))"""
 
 
@@ -149,9 +155,10 @@ def unique_problems(spark, sf):
 
 
 def unique_draws(spark, sf):
-    """As many distinct problems as a fortieth of the orders, out of half of them."""
-    wanted = table(spark, sf, "orders").count() // 40
-    return B.first_unique(drawn_problems(spark, sf), wanted)
+    """Distinct problems by their whole text; so many are wanted that 20 tries for each take in every draw."""
+    wanted = table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0] // 20 + 1
+    drawn = drawn_problems(spark, sf).withColumn("digest", F.sha2("text", 256))
+    return B.first_unique(drawn, wanted, key="digest").drop("digest")
 
 
 _PADDED = """, base AS (SELECT row_number() OVER (ORDER BY md5('p|' || problem_id)) - 1 AS idx, problem_id, text FROM firsts),
@@ -160,12 +167,12 @@ size AS (SELECT count(*) AS n FROM base)"""
 
 @query("padded_problems", _DRAWS_SQL + _UNIQUE + _PADDED + """
 SELECT idx, problem_id, text FROM base UNION ALL
-SELECT j, problem_id || '_dup' || j, text FROM (SELECT unnest(generate_series(0, (SELECT count(*) // 16 FROM orders) - 1)) AS j) g, size
+SELECT j, problem_id || '_dup' || j, text FROM (SELECT unnest(generate_series(0, (SELECT count(*) // 2 FROM orders) - 1)) AS j) g, size
   JOIN base ON base.idx = (g.j - size.n) % size.n WHERE g.j >= size.n""")
 def padded_problems(spark, sf):
     unique = unique_draws(spark, sf).select("problem_id", "text")
     numbered = B.numbered(unique, choice.hash_of("p", F.col("problem_id")))
-    return B.pad_to(numbered, table(spark, sf, "orders").count() // 16)
+    return B.pad_to(numbered, table(spark, sf, "orders").count() // 2)
 
 
 @query("repeat_problems", _DRAWS_SQL + f""",

@@ -23,18 +23,6 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     return spark
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table that was written in fewer pieces than there are cores.
-
-    Parquet is read by row group, so a small file of one group would keep a single task busy
-    with all the text work. A table of many files has more pieces than cores and passes
-    unchanged, without a shuffle.
-    """
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(key)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, named by spark.checkpoint.dir.
 
