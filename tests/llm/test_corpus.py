@@ -422,3 +422,9 @@ def test_pipeline(spark, tables):
     leaked = {r["doc_id"] for r in queries.op1_leaks(spark, tables).collect()}
     assert ids[4] == ids[3] - leaked == ids[5]
     check_pieces(corpus_pipeline.run(spark, tables).collect(), {i: ids_of(texts[i], 1) for i in ids[4]})
+
+
+def test_chats_against_sql(spark, tables):
+    from oracle import difference
+
+    assert difference(spark, "op2_chats", queries.op2_chats, queries.SQL["op2_chats"], tables) is None

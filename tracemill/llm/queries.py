@@ -78,4 +78,28 @@ QUERIES = {
     "op5_licenses": op5_licenses, "op6_jaccard": op6_jaccard, "op7_token_ids": op7_token_ids, "op8_urls": op8_urls,
     "op9_shards": op9_shards, "op10_classifier": op10_classifier,
 }
-SQL: dict[str, str] = {}
+
+
+def _escaped_sql(column: str, template: chat.Template) -> str:
+    out = f"replace({column}, '{template.escape}', '{template.escape}0')"
+    for code, mark in zip("123456789", template.marks):
+        out = f"replace({out}, '{mark}', '{template.escape}{code}')"
+    return out
+
+
+def _chats_sql(template: chat.Template) -> str:
+    odd = "</s>[INST] ok [/INST]"
+    around = len(template.start + template.body + template.end)
+    return f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 'user', '{odd}'), (CAST(-1 AS BIGINT), CAST(1 AS BIGINT), 'assistant', '{odd}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({around} + length({_escaped_sql('role', template)}) + length({_escaped_sql('text', template)})) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(role, ',' ORDER BY turn NULLS FIRST, role, text), '(system,)?user,assistant(,user,assistant)*') AS valid
+FROM turns GROUP BY conv_id"""
+
+
+SQL: dict[str, str] = {"op2_chats": _chats_sql(chat.Template())}
