@@ -81,7 +81,7 @@ def test_edit_grades(spark):
 def test_code_grades(spark):
     block = "```python\ndef bound(v, lo, hi):\n    return sorted((lo, v, hi))[1]\n```"
     cases = [(block, 0, 1.0, "ok"), (block, 1, 0.0, "exit_1"), (block, 124, 0.0, "exit_124"), ("Words only.", 0, 0.0, "no_code_block"),
-             ("```python\n" + "x" * 50_001 + "\n```", 0, 0.0, "exit_99"), (block, None, 0.0, "exit_None")]
+             ("```python\n" + "x" * 50_001 + "\n```", 99, 0.0, "exit_99"), ("```python\n" + "x" * 50_001 + "\n```", 0, 1.0, "ok"), (block, None, 0.0, "exit_None")]
     df = spark.createDataFrame([(i, r, c) for i, (r, c, *_) in enumerate(cases)], "i int, r string, c int")
     out = df.select("i", G.grade_code(F.col("r"), F.col("c")).alias("g")).orderBy("i").collect()
     assert [tuple(r["g"]) for r in out] == [tuple(c[2:]) for c in cases]

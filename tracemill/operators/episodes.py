@@ -1,7 +1,8 @@
 """Episodes of several turns, reduced to their end.
 
-Every response is judged by itself where it is read; what crosses the network is a few small
-columns per turn, aggregated on the map side, so an episode of any length is cheap.
+A response is searched where it is read (``grading.with_calls``), before its problem is joined;
+what crosses the network is the edit it asks for and a few small columns per turn, aggregated
+on the map side, so an episode of any length is cheap.
 """
 
 from __future__ import annotations
@@ -9,24 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calls import EDIT_TOOLS, VIEW_TOOL
-from ..functions.text import FAULT_PATTERNS, has_pattern
-from .grading import TWO_TURN_REASONS, edit_grade, with_edit
+from ..functions.text import FAULT_PATTERNS
+from .grading import TWO_TURN_REASONS, edit_grade, with_calls, with_edit
 
 # Most turns of an episode, and the pattern that marks a planted fault.
 MAX_TURNS = 5
 MARK = r"re\.findall\s*\(\s*r['\"]\(\.\*\)\(\\d\+\)['\"]"
+TWO_TURN_MARK = FAULT_PATTERNS["regex_call"]
+
+
+def _searched(turns: DataFrame, mark: str) -> DataFrame:
+    return with_calls(turns, hit=mark) if "response" in turns.columns else turns
 
 
 def judged_turns(turns: DataFrame, max_turns: int = MAX_TURNS, mark: str = MARK) -> DataFrame:
     """episode_id, arm, turn (from 1), ends, reason, reward, hit of every turn.
 
-    Input: episode_id, arm, turn, response, original_file, exit_code. A view goes on, unless
-    it is the last turn allowed; an edit of the arm's tool is graded; anything else ends.
+    Input: episode_id, arm, turn, original_file, exit_code and the columns of
+    ``with_calls(..., hit=mark)``, or the response itself. A view goes on, unless it is the
+    last turn allowed; an edit of the arm's tool is graded; anything else ends.
     """
     expected = F.create_map(*(F.lit(x) for pair in EDIT_TOOLS.items() for x in pair))[F.col("arm")]
-    judged = with_edit(turns).select(
-        "episode_id", "arm", "turn", "tool", expected.alias("_expected"), edit_grade().alias("_graded"),
-        has_pattern(F.col("response"), mark).alias("hit"),
+    judged = with_edit(_searched(turns, mark)).select(
+        "episode_id", "arm", "turn", "tool", expected.alias("_expected"), edit_grade().alias("_graded"), "hit",
     )
     tool, viewing = F.col("tool"), F.col("tool") == VIEW_TOOL
     last = F.col("turn") >= max_turns
@@ -69,15 +75,13 @@ def _two_turn_reason(reason: Column) -> Column:
     return F.when(reason.startswith("exit_"), F.lit("exit")).otherwise(reason)
 
 
-def two_turn_scores(turns: DataFrame, mark: str = FAULT_PATTERNS["regex_call"]) -> DataFrame:
+def two_turn_scores(turns: DataFrame, mark: str = TWO_TURN_MARK) -> DataFrame:
     """One row per sample of two turns: without a view in turn 1, turn 1 itself is scored.
 
     The mark counts in the turns that are used. Input as for ``judged_turns``.
     """
-    small = with_edit(turns.where(F.col("turn") <= 2)).select(
-        "episode_id", "arm", "turn", edit_grade(TWO_TURN_REASONS).alias("g"),
-        has_pattern(F.col("response"), mark).alias("hit"),
-        "views",
+    small = with_edit(_searched(turns.where(F.col("turn") <= 2), mark)).select(
+        "episode_id", "arm", "turn", edit_grade(TWO_TURN_REASONS).alias("g"), "hit", "views",
     )
 
     def at(turn: int, name: str) -> Column:

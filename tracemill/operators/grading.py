@@ -10,15 +10,14 @@ from ..functions.calls import (
     EDIT_TOOLS, LINE_FIELDS, STRING_FIELDS, VIEW_TOOL, call_fields, calls_in, last_of, replace_first,
     replace_line, whole_number,
 )
-from ..functions.text import last_code_block
+from ..functions.text import has_pattern, last_code_block
 from .skew import salted_join
 
-# Exit code of over-long code, size limits in bytes, float tolerance.
-TOO_LONG_EXIT = 99
-CODE_BYTES = 50_000
-FILE_BYTES = 200_000
+# Fixed value: float tolerance.
 TOLERANCE = 1e-6
 
+EDIT_BODIES = {"string_body": EDIT_TOOLS["h2_string_edit"], "line_body": EDIT_TOOLS["h2_line_edit"]}
+
 
 def _graded(exit_code: Column, reason: Column) -> Column:
     """STRUCT<reward, reason>: an earlier reason fails, then the exit code decides."""
@@ -32,11 +31,9 @@ def _graded(exit_code: Column, reason: Column) -> Column:
     )
 
 
-def grade_code(response: Column, exit_code: Column, limit: int = CODE_BYTES) -> Column:
-    """Grade of a fenced answer from the exit code its test run recorded."""
-    code = last_code_block(response)
-    seen = F.when(F.octet_length(code) > limit, F.lit(TOO_LONG_EXIT)).otherwise(exit_code)
-    return _graded(seen, F.when(code.isNull(), F.lit("no_code_block")))
+def grade_code(response: Column, exit_code: Column) -> Column:
+    """Grade of a fenced answer from the exit code its test run recorded, whatever its size."""
+    return _graded(exit_code, F.when(last_code_block(response).isNull(), F.lit("no_code_block")))
 
 
 # What each way of failing is called by the three graders of edits.
@@ -55,26 +52,37 @@ TWO_TURN_REASONS = {
 }
 
 
+def with_calls(responses: DataFrame, **marks: str) -> DataFrame:
+    """Replace ``response`` by what grading needs of it: the last ``tool``, whether it ``views``,
+    the body of the last call of each edit tool, and a flag for each pattern in ``marks``.
+
+    It needs no problem, so it comes before the join and no response is shuffled. A response is
+    searched for calls once.
+    """
+    calls, small = F.col("_calls"), [c for c in responses.columns if c != "response"]
+    return responses.withColumn("_calls", calls_in(F.col("response"))).select(
+        *small, last_of(calls)["tool"].alias("tool"),
+        F.exists(calls, lambda c: c["tool"] == VIEW_TOOL).alias("views"),
+        *(last_of(calls, tool)["body"].alias(body) for body, tool in EDIT_BODIES.items()),
+        *(has_pattern(F.col("response"), pattern).alias(name) for name, pattern in marks.items()),
+    )
+
+
 def with_edit(df: DataFrame) -> DataFrame:
-    """Apply the edit each response asks for: adds ``modified``, ``failure`` and ``valid_call``,
-    and the response's last ``tool`` and whether it ``views``.
+    """Apply the edit each response asks for: adds ``modified``, ``failure`` and ``valid_call``.
 
-    Needs response, arm and original_file. The steps are separate projections, so a response
-    is searched for calls once, and a file is only cut into lines when there is an edit.
+    Needs arm, original_file and the columns of ``with_calls``, or the response itself. The
+    steps are separate projections, so a file is only cut into lines when there is an edit.
     """
+    df = with_calls(df) if "response" in df.columns else df
     arm = F.col("arm")
     is_string, is_line = arm == "h2_string_edit", arm == "h2_line_edit"
-    tool = F.when(is_string, F.lit(EDIT_TOOLS["h2_string_edit"])).when(is_line, F.lit(EDIT_TOOLS["h2_line_edit"]))
-    found = df.withColumn("_calls", calls_in(F.col("response")))
-    called = found.select(
-        *df.columns, last_of(F.col("_calls"), tool).alias("_call"),
-        last_of(F.col("_calls"))["tool"].alias("tool"),
-        F.exists("_calls", lambda c: c["tool"] == VIEW_TOOL).alias("views"),
-    )
-    body = F.col("_call.body")
-    parsed = called.withColumn(
+    body = F.when(is_string, F.col("string_body")).when(is_line, F.col("line_body"))
+    kept = [c for c in df.columns if c not in EDIT_BODIES]
+    parsed = df.withColumn("_body", body).withColumn(
         "_fields",
-        F.when(is_string, call_fields(body, STRING_FIELDS)).when(is_line, call_fields(body, LINE_FIELDS)),
+        F.when(is_string, call_fields(F.col("_body"), STRING_FIELDS))
+        .when(is_line, call_fields(F.col("_body"), LINE_FIELDS)),
     ).withColumn("_number", whole_number(F.col("_fields")["line_num"]))
     original, fields = F.col("original_file"), F.col("_fields")
     edited = parsed.withColumn(
@@ -87,19 +95,19 @@ def with_edit(df: DataFrame) -> DataFrame:
     )
     failure = (
         F.when(~F.coalesce(is_string | is_line, F.lit(False)), F.lit("unknown_arm"))
-        .when(F.col("_call").isNull(), F.lit("no_call"))
+        .when(F.col("_body").isNull(), F.lit("no_call"))
         .when(fields.isNull(), F.lit("fields"))
         .when(is_string & F.col("modified").isNull(), F.lit("match"))
         .when(is_line & F.col("_number").isNull(), F.lit("number"))
         .when(is_line & F.col("modified").isNull(), F.lit("range"))
     )
     return edited.select(
-        *df.columns, "tool", "views", "modified", failure.alias("failure"),
+        *kept, "modified", failure.alias("failure"),
         fields.isNotNull().alias("valid_call"),
     )
 
 
-def edit_grade(reasons: Mapping[str, Mapping[str, str]] = EPISODE_REASONS, limit: int = FILE_BYTES) -> Column:
+def edit_grade(reasons: Mapping[str, Mapping[str, str]] = EPISODE_REASONS) -> Column:
     """STRUCT<reward, reason> on rows of ``with_edit`` with a recorded exit_code."""
     arm, failure = F.col("arm"), F.col("failure")
     named = F.when(
@@ -108,8 +116,7 @@ def edit_grade(reasons: Mapping[str, Mapping[str, str]] = EPISODE_REASONS, limit
     for kind, arm_name in (("string", "h2_string_edit"), ("line", "h2_line_edit")):
         for code, reason in reasons[kind].items():
             named = named.when((arm == arm_name) & (failure == code), F.lit(reason))
-    seen = F.when(F.octet_length("modified") > limit, F.lit(TOO_LONG_EXIT)).otherwise(F.col("exit_code"))
-    return _graded(seen, named)
+    return _graded(F.col("exit_code"), named)
 
 
 def with_problem(

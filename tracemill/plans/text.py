@@ -105,7 +105,7 @@ def fault_flags(spark, sf):
     )
 
 
-_CODE_GRADE = """graded AS (SELECT *, CASE WHEN block IS NULL THEN 'no_code_block' WHEN strlen(block) > 50000 THEN 'exit_99' WHEN exit_code = 0 THEN 'ok'
+_CODE_GRADE = """graded AS (SELECT *, CASE WHEN block IS NULL THEN 'no_code_block' WHEN exit_code = 0 THEN 'ok'
   ELSE 'exit_' || coalesce(CAST(exit_code AS STRING), 'None') END AS reason FROM picked)"""
 
 
@@ -222,9 +222,10 @@ done AS (SELECT *, CASE WHEN failure IS NOT NULL THEN NULL WHEN arm = 'h2_string
 _MARK = "re\\.findall\\s*\\(\\s*r[''\"]\\(\\.\\*\\)\\(\\\\d\\+\\)[''\"]"
 
 
-def tried_edits(spark, sf, times: int):
-    """Attempts with the file and arm of their problem."""
-    return G.with_problem(shape(spark, sf, "attempts", times), shape(spark, sf, "problems"), ["turn"])
+def tried_edits(spark, sf, times: int, mark: str = E.MARK):
+    """Attempts, reduced to their calls, with the file and arm of their problem."""
+    calls = G.with_calls(shape(spark, sf, "attempts", times), hit=mark)
+    return G.with_problem(calls, shape(spark, sf, "problems"), ["turn"])
 
 
 @query("last_calls", with_shapes("attempts", times=3) + ", " + _CALLS + f"""
@@ -291,7 +292,7 @@ SELECT a.problem_id AS episode_id, a.arm, CAST(CASE WHEN CASE WHEN a.views THEN
   CASE WHEN a.views THEN b.why ELSE 'skipped_view_' || a.why END AS reason, CAST(a.hit OR (a.views AND b.hit) AS INT) AS hit
 FROM named a JOIN named b ON a.problem_id = b.problem_id AND a.turn = 1 AND b.turn = 2""")
 def two_turn_scores(spark, sf):
-    turns = tried_edits(spark, sf, 2).withColumnRenamed("problem_id", "episode_id")
+    turns = tried_edits(spark, sf, 2, E.TWO_TURN_MARK).withColumnRenamed("problem_id", "episode_id")
     out = E.two_turn_scores(turns)
     return out.withColumn("hit", as_int(F.col("hit")))
 
