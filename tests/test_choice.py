@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import choice as H, pairs as P, problems as B, records as R, skew
+from tracemill.operators.turns import Arm
 
 
 def md5(seed, key):
@@ -157,3 +158,31 @@ def test_unfinished_and_latest(spark):
     assert [tuple(r) for r in steps.collect()] == [("r", 20)]
     with pytest.raises(ValueError):
         R.require_columns(listing, ["prompt"])
+
+
+def test_pairs_per_arm(spark):
+    """The same pairs in every arm, each with the arm's texts; a null text leaves its side alone."""
+    tries = [(f"s{i % 4}", i, [1.0, 0.0, None, 0.5, 0.0][i % 5], i % 7 != 3) for i in range(60)]
+    attempts = spark.createDataFrame(tries, "stem string, id bigint, score double, answered boolean")
+    sides = attempts.where("answered").selectExpr(
+        "id", "score", "concat('k', id) AS task_key", "array(named_struct('role', 'user', 'content', concat('ask ', id, ' '))) AS prompt",
+        "array(named_struct('role', 'tool', 'content', 'x'), named_struct('role', 'assistant', 'content', concat('said ', id))) AS completion",
+    )
+    fit = attempts.where("answered")
+    records = P.split_pairs(P.pair_records(P.all_in_pairs(fit.select("stem", "id", "score")), sides), fit)
+    arms = [Arm("both", "Q", "A"), Arm("none")]
+    out = P.records_per_arm(records, arms).collect()
+    by_arm = {arm: {(r["pass_id"], r["fail_id"], r["split"]) for r in out if r["valence_variant"] == arm} for arm in ("both", "none")}
+    assert by_arm["both"] == by_arm["none"] and len(out) == 2 * len(by_arm["none"]) > 0
+    for r in out:
+        asked, said = ("\n\nQ", "\n\nA") if r["valence_variant"] == "both" else (" ", "")
+        assert r["prompt"][-1]["content"] == f"ask {r['pass_id']}{asked}"
+        assert [m["content"] for m in r["chosen"]] == ["x", f"said {r['pass_id']}{said}"]
+        assert [m["content"] for m in r["rejected"]] == ["x", f"said {r['fail_id']}{said}"]
+    row = P.pair_manifest(attempts, records, 0.1, 42, arms).first()
+    assert row["n_truncated_skipped"] == sum(not a for *_, a in tries)
+    assert row["n_no_score_skipped"] == sum(a and s not in (0.0, 1.0) for _, _, s, a in tries)
+    assert (row["n_pair_stems"], row["n_train_stems"], row["n_val_stems"]) == (4, 3, 1)
+    counts = {side: sum(s == side for *_, s in by_arm["none"]) for side in ("train", "val")}
+    assert all(row["arms"][a.name]["train"] == counts["train"] and row["arms"][a.name]["val"] == counts["val"] for a in arms)
+    assert row["arms"]["none"]["question_append"] is None and row["arms"]["both"]["answer_append"] == "A"

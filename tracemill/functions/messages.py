@@ -210,6 +210,18 @@ def append_pair(messages: Column, question: Column, answer: Column) -> Column:
     return once(spots, rewritten)
 
 
+def append_to_end(messages: Column, text: Column) -> Column:
+    """Append to the last message of a prompt or completion part; a null text changes nothing."""
+    changed = F.transform(
+        messages,
+        lambda m, i: F.when(
+            i == F.size(messages) - 1,
+            message(m["role"], F.concat(rstrip(_content(m)), F.lit("\n\n"), text)),
+        ).otherwise(m),
+    )
+    return F.when(text.isNull(), messages).otherwise(changed)
+
+
 def append_last_user(messages: Column, text: Column) -> Column:
     """Append to the last user message, or add one; empty text changes nothing."""
     added = F.concat(messages, F.array(message(F.lit("user"), lstrip(text))))

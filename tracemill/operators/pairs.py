@@ -5,11 +5,15 @@ Attempts are (stem, id, score). Only ids are paired; messages join later, on the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.messages import append_to_end
 from ..session import written
-from .choice import hash_of, ranks_in_groups
+from .choice import hash_of, ranks_in_groups, with_split
 from .skew import salted_join
+from .turns import DEFAULT_ARMS, Arm, with_arms
 
 BLOCK_ROWS = 1000
 
@@ -136,3 +140,62 @@ def pair_records(pairs: DataFrame, records: DataFrame) -> DataFrame:
         "stem", "pass_id", "fail_id", "prompt", "chosen", "rejected", "task_key",
         "score_chosen", "score_rejected",
     )
+
+
+def split_pairs(records: DataFrame, attempts: DataFrame, fraction: float = 0.1, seed: int | str = 42) -> DataFrame:
+    """Add ``split`` to pairs: the stems that have both outcomes among the attempts are divided."""
+    return with_split(records, "stem", fraction, seed, stems=stem_outcomes(attempts).select("stem"))
+
+
+def records_per_arm(records: DataFrame, arms: Sequence[Arm] = DEFAULT_ARMS) -> DataFrame:
+    """Every pair once per arm, the same pairs in all: the arm's question ends the prompt, its
+    answer both completions, and ``valence_variant`` names the arm. A projection, no shuffle."""
+    texts = {"prompt": "question", "chosen": "answer", "rejected": "answer"}
+    return with_arms(records, arms).select(
+        *(
+            append_to_end(F.col(name), F.col(texts[name])).alias(name) if name in texts else F.col(name)
+            for name in records.columns
+        ),
+        F.col("arm").alias("valence_variant"),
+    )
+
+
+def pair_manifest(
+    attempts: DataFrame, records: DataFrame, fraction: float = 0.1, seed: int = 42, arms: Sequence[Arm] = DEFAULT_ARMS
+) -> DataFrame:
+    """One row about pairs: seed, fraction, pair stems and their split, attempts left out, and
+    the texts and pairs of each arm.
+
+    ``attempts`` holds stem, score and ``answered`` for every attempt, ``records`` the pairs
+    with their split before the fan-out, which gives all arms the same ones. An attempt that is
+    not answered counts as truncated, whatever its score.
+    """
+    answered = F.coalesce(F.col("answered"), F.lit(False))
+    skipped = attempts.agg(
+        F.count_if(~answered).alias("n_truncated_skipped"),
+        F.count_if(answered & outcome(F.col("score")).isNull()).alias("n_no_score_skipped"),
+    )
+    fit = attempts.where(answered)
+    stems = split_pairs(stem_outcomes(fit).select("stem"), fit, fraction, seed).agg(
+        F.count(F.lit(1)).alias("n_pair_stems"),
+        F.count_if(F.col("split") == "train").alias("n_train_stems"),
+        F.count_if(F.col("split") == "val").alias("n_val_stems"),
+    )
+    pairs = records.agg(
+        F.count_if(F.col("split") == "train").alias("_train"), F.count_if(F.col("split") == "val").alias("_val")
+    )
+    one = stems.select(
+        "*", skipped.select(F.struct("*")).scalar().alias("_skipped"), pairs.select(F.struct("*")).scalar().alias("_pairs")
+    )
+    entries = (
+        entry
+        for arm in arms
+        for entry in (F.lit(arm.name), F.struct(
+            F.lit(arm.question).cast("string").alias("question_append"), F.lit(arm.answer).cast("string").alias("answer_append"),
+            F.col("_pairs._train").alias("train"), F.col("_pairs._val").alias("val"),
+        ))
+    )
+    return one.select(
+        F.lit(seed).alias("seed"), F.lit(fraction).alias("val_fraction"), "n_pair_stems", "n_train_stems", "n_val_stems",
+        "_skipped.n_truncated_skipped", "_skipped.n_no_score_skipped", F.create_map(*entries).alias("arms"),
+    )

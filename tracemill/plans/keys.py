@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import choice, pairs as P, problems as B, records as R
 from ..functions import messages as M
-from .chat import _SPLIT, _FACTS, _LINES, _SHOW, line_messages
+from .chat import _ARMS_SQL, _FACTS, _LINES, _RTRIM, _SHOW, _SPLIT, ARMS, line_messages
 from .tables import query, shape, table, with_shapes
 
 NL = "chr(10)"
@@ -86,30 +86,81 @@ def pairs_up_to_three(spark, sf):
     return P.pairs_up_to(attempts(spark, sf), 3)
 
 
-@query("preference_records", _ATTEMPTS + ", " + _LINES + f""",
-sides AS (SELECT doc_id, string_agg(CASE WHEN i <= fu THEN {_SHOW.format('line')} END, '' ORDER BY i) AS prompt,
+_SIDES = f"""sides AS (SELECT doc_id, string_agg(CASE WHEN i <= fu THEN {_SHOW.format('line')} END, '' ORDER BY i) AS prompt,
     string_agg(CASE WHEN i > fu AND i <= la THEN {_SHOW.format('line')} END, '' ORDER BY i) AS completion
-  FROM lines JOIN spots USING (doc_id) WHERE la > fu GROUP BY doc_id)
-,
-fit AS (SELECT attempts.* FROM attempts JOIN sides ON doc_id = id WHERE prompt IS NOT NULL AND completion IS NOT NULL),
+  FROM lines JOIN spots USING (doc_id) WHERE la > fu GROUP BY doc_id)"""
+_MET = """fit AS (SELECT attempts.* FROM attempts JOIN sides ON doc_id = id WHERE prompt IS NOT NULL AND completion IS NOT NULL),
 sizes AS (SELECT stem, count(*) FILTER (score = 1) AS n_pass, count(*) FILTER (score = 0) AS n_fail FROM fit GROUP BY stem),
 placed AS (SELECT stem, id, score, row_number() OVER (PARTITION BY stem, score ORDER BY md5('42|' || id)) - 1 AS r FROM fit WHERE score IN (0, 1)),
 met AS (SELECT z.stem, p.id AS pass_id, f.id AS fail_id FROM sizes z JOIN placed p ON p.stem = z.stem AND p.score = 1
-  JOIN placed f ON f.stem = z.stem AND f.score = 0 AND CASE WHEN n_pass >= n_fail THEN p.r % n_fail = f.r ELSE f.r % n_pass = p.r END)
+  JOIN placed f ON f.stem = z.stem AND f.score = 0 AND CASE WHEN n_pass >= n_fail THEN p.r % n_fail = f.r ELSE f.r % n_pass = p.r END)"""
+
+
+@query("preference_records", _ATTEMPTS + ", " + _LINES + ", " + _SIDES + ", " + _MET + """
 SELECT met.stem, pass_id, fail_id, s.task_key, p.prompt, p.completion AS chosen, f.completion AS rejected,
   CAST(1 AS DOUBLE) AS score_chosen, CAST(0 AS DOUBLE) AS score_rejected
 FROM met JOIN sides p ON p.doc_id = pass_id JOIN sides f ON f.doc_id = fail_id JOIN scored s ON s.id = pass_id""")
 def preference_records(spark, sf):
     """Fit attempts first, then pairs in which each of them takes part."""
+    return shown_sides(preference_pairs(spark, sf))
+
+
+def preference_pairs(spark, sf):
     tries = attempts(spark, sf)
     m = F.col("messages")
     lists = line_messages(shape(spark, sf, "scored")).where(M.answered(m)).select(
         "id", "task_key", M.prompt_part(m).alias("prompt"), M.completion_part(m).alias("completion")
     )
     records = lists.join(tries.select("id", "score", "stem"), "id").where("prompt IS NOT NULL AND completion IS NOT NULL")
-    out = P.pair_records(P.all_in_pairs(records.select("id", "stem", "score")), records.drop("stem"))
-    shown = {c: M.rendered(F.col(c)) for c in ("prompt", "chosen", "rejected")}
-    return out.withColumns(shown)
+    return P.pair_records(P.all_in_pairs(records.select("id", "stem", "score")), records.drop("stem"))
+
+
+def shown_sides(records):
+    return records.withColumns({c: M.rendered(F.col(c)) for c in ("prompt", "chosen", "rejected")})
+
+
+def all_attempts(spark, sf):
+    """Every document as an attempt, those without a label too, and whether it is answered."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("score"))
+    tries = line_messages(shape(spark, sf, "scored")).select("id", "stem", M.answered(F.col("messages")).alias("answered"))
+    return tries.join(labels, "id", "left")
+
+
+_PAIR_SPLIT = """reached AS (SELECT stem, coalesce(la IS NOT NULL, FALSE) AS answered, CAST(quality AS DOUBLE) AS score
+  FROM scored LEFT JOIN spots ON spots.doc_id = id LEFT JOIN labels ON labels.doc_id = id),
+halves AS (SELECT stem FROM reached WHERE answered GROUP BY stem HAVING bool_or(score = 1) AND bool_or(score = 0)),
+sided AS (SELECT stem, CASE WHEN row_number() OVER (ORDER BY md5('42|' || stem)) <=
+    (SELECT greatest(1, CAST(round_even(count(*) * 0.1, 0) AS BIGINT)) FROM halves) THEN 'val' ELSE 'train' END AS split FROM halves)"""
+_ENDED = f"CASE WHEN i = {{0}} AND {{1}} IS NOT NULL THEN {_RTRIM.format('line')} || {NL} || {NL} || {{1}} ELSE line END"
+
+
+@query("preference_records_per_arm", _ATTEMPTS + ", " + _LINES + ", " + _SIDES + ", " + _MET + ", " + _PAIR_SPLIT + ", " + _ARMS_SQL + f""",
+ended AS (SELECT doc_id, arm, string_agg(CASE WHEN i <= fu THEN {_SHOW.format(_ENDED.format('fu', 'question'))} END, '' ORDER BY i) AS prompt,
+    string_agg(CASE WHEN i > fu AND i <= la THEN {_SHOW.format(_ENDED.format('la', 'answer'))} END, '' ORDER BY i) AS completion
+  FROM lines JOIN spots USING (doc_id) CROSS JOIN arms WHERE la > fu GROUP BY doc_id, arm)
+SELECT met.stem, split, pass_id, fail_id, s.task_key, p.prompt, p.completion AS chosen, f.completion AS rejected,
+  CAST(1 AS DOUBLE) AS score_chosen, CAST(0 AS DOUBLE) AS score_rejected, p.arm AS valence_variant
+FROM met JOIN sided USING (stem) JOIN ended p ON p.doc_id = pass_id JOIN ended f ON f.doc_id = fail_id AND f.arm = p.arm
+JOIN scored s ON s.id = pass_id""")
+def preference_records_per_arm(spark, sf):
+    """The same pairs in every arm, divided by stem, with the arm's texts at the ends."""
+    fit = all_attempts(spark, sf).where("answered")
+    return shown_sides(P.records_per_arm(P.split_pairs(preference_pairs(spark, sf), fit), ARMS))
+
+
+@query("pair_manifest", _ATTEMPTS + ", " + _LINES + ", " + _SIDES + ", " + _MET + ", " + _PAIR_SPLIT + ", " + _ARMS_SQL + """,
+n AS (SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val FROM met JOIN sided USING (stem))
+SELECT CAST(42 AS INT) AS seed, CAST(0.1 AS DOUBLE) AS val_fraction, (SELECT count(*) FROM sided) AS n_pair_stems,
+  (SELECT count(*) FROM sided WHERE split = 'train') AS n_train_stems, (SELECT count(*) FROM sided WHERE split = 'val') AS n_val_stems,
+  (SELECT count(*) FROM reached WHERE NOT answered) AS n_truncated_skipped,
+  (SELECT count(*) FROM reached WHERE answered AND (score IS NULL OR score NOT IN (0, 1))) AS n_no_score_skipped,
+  arm, question AS question_append, answer AS answer_append, train, val FROM arms, n""")
+def pair_manifest(spark, sf):
+    """The manifest row of the pairs, one row per arm of its map."""
+    tries = all_attempts(spark, sf)
+    records = P.split_pairs(preference_pairs(spark, sf), tries.where("answered"))
+    row = P.pair_manifest(tries, records, 0.1, 42, ARMS)
+    return row.select(*(c for c in row.columns if c != "arms"), F.explode("arms").alias("arm", "c")).select("*", "c.*").drop("c")
 
 
 # -- templates -----------------------------------------------------------------------------
