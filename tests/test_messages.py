@@ -1,10 +1,12 @@
 """Message lists and the turn table give the same rewrites; raw messages are normalized."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from tracemill.functions import messages as M
+from tracemill.functions.json_text import quoted, respelled
 from tracemill.operators import turns as T
 from tracemill.operators.turns import Arm
 from tracemill.sources import files as S
@@ -136,11 +138,11 @@ def test_normalizing(spark, tmp_path):
     got = [tuple(m) for m in traces.where("task_id = '1'").select(M.normal_messages(F.col("messages"))).first()[0]]
     tag = lambda body: f"<tool_call>{body}</tool_call>"
     assert got == [
-        ("user", 'hé\n{"b":1,"type":"image"}\nloose'),
+        ("user", 'hé\n{"type": "image", "b": 1}\nloose'),
         ("assistant", "plan\n</think>\n" + "\n".join([
-            tag('{"name": "f", "arguments": {"z": 1, "a": "é"}}'), tag('{"name": "g", "arguments": {}}'),
+            tag('{"name": "f", "arguments": {"z": 1, "a": "\\u00e9"}}'), tag('{"name": "g", "arguments": {}}'),
             tag('{"name": "h", "arguments": {"_raw": "{bad \\"q\\""}}'.replace('q\\""', 'q\\""')),
-            tag('{"name": "k", "arguments": {"a":[1]}}')])),
+            tag('{"name": "k", "arguments": {"a": [1]}}')])),
         ("user", "Tool result:\n[1, 2]"),
         ("assistant", "</think>\n" + tag('{"name": "f", "arguments": {}}')),
         ("assistant", ""),
@@ -148,8 +150,52 @@ def test_normalizing(spark, tmp_path):
         ("unknown", "x"),
         ("user", ""),
     ]
-    spelled = traces.where("task_id = '1'").select(M.call_tag(F.col("messages")[1]["tool_calls"][0], respell=True)).first()[0]
-    assert spelled == tag('{"name": "f", "arguments": {"z": 1, "a": "\\u00e9"}}')
+
+
+def test_spelling_of_json(spark):
+    """JSON texts come out as Python's json module writes them, whatever their own spelling."""
+    rng = random.Random(11)
+    scalars = [0, -3, 10**30, 1.5, -0.0, 1e16, 123456789.25, 1e-5, 0.0001, 1.25e-7, 3e300, True, None, "", "a,b: c", 'q"\\/', "é😀\x7f", "\n\t\x01\b", "1.50, -0"]
+
+    def value(depth):
+        kind = rng.random() if depth else 1
+        if kind < 0.3:
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        if kind < 0.6:
+            return {rng.choice(["z", "a", "k: ", "ü"]) + str(i): value(depth - 1) for i in range(rng.randint(0, 3))}
+        return rng.choice(scalars)
+
+    texts = ['{"a" :1E5 , "b":[ 1.50,-0 ]}', '"\\u0041\\u00E9\\u0022\\u005c\\/"', '  [ ]', '{"a":"\\ud83d\\ude00"}', "[1e400, 100.0, 12345678.0]", '"' + 'x\\n' * 20_000 + '"']
+    for _ in range(300):
+        texts.append(json.dumps(value(3), indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5, separators=rng.choice([None, (",", ":")])))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: (r["s"], r["q"]) for r in df.select("i", respelled(F.col("t")).alias("s"), quoted(F.col("t")).alias("q")).collect()}
+    assert got == {i: (json.dumps(json.loads(t)), json.dumps(t)) for i, t in enumerate(texts)}
+
+
+def test_arguments(spark, tmp_path):
+    """Arguments as null, JSON in a string, malformed text or plain JSON; contents of every kind."""
+    cases = ['{"z" : 1,"a":"é\\n"}', "null", "", "{bad", " [1] ", None, {"z": {"y": None}, "a": [1.0, "é"]}, 7, True]
+    contents = [None, 5, {"z": 1, "a": 2}, ["s", 1, True, None, {"type": "text"}, {"z": "é", "a": []}], "[1,2]"]
+    trace = {"task_id": "1", "messages": [{"role": "assistant", "tool_calls": [{"function": {"name": "n", "arguments": c}}]} for c in cases]
+             + [{"role": "tool", "content": c} for c in contents]}
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"traces": [trace]}, ensure_ascii=False))
+
+    def shown(arguments):
+        if isinstance(arguments, str):
+            try:
+                arguments = json.loads(arguments)
+            except ValueError:
+                arguments = {"_raw": arguments}
+        elif arguments is None:
+            arguments = {}
+        return "</think>\n<tool_call>" + json.dumps({"name": "n", "arguments": arguments}) + "</tool_call>"
+
+    got = [m["content"] for m in S.read_traces(spark, str(path)).select(M.normal_messages(F.col("messages"))).first()[0]]
+    assert got[: len(cases)] == [shown(c) for c in cases]
+    told = ["null", "5", '{"z": 1, "a": 2}', 's\n1\nTrue\nNone\n\n{"z": "\\u00e9", "a": []}', "[1,2]"]
+    assert got[len(cases):] == ["Tool result:\n" + t for t in told]
 
 
 def test_variant_texts(spark):

@@ -6,12 +6,12 @@ where it is read. Tables with one row per turn use ``operators.turns`` instead.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from .json_text import quoted, respelled
+
 from .text import lstrip, once, rstrip, strip
 
 # Tags and headers of the inline call form and of the rendered chat.
@@ -23,10 +23,10 @@ TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
 MESSAGES = T.ArrayType(
     T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 )
-RAW_MESSAGES = (
-    "array<struct<role: string, content: variant, tool_calls: array<struct<id: string,"
-    " type: string, function: struct<name: string, arguments: variant>>>>>"
-)
+# Raw messages are kept as their JSON texts, which hold the order of keys.
+RAW_MESSAGES = "array<string>"
+_PARTS = "role string, content string, tool_calls array<struct<function: struct<name: string, arguments: string>>>"
+_KINDS = "content variant, tool_calls array<struct<function: struct<arguments: variant>>>"
 
 
 def message(role: Column, content: Column) -> Column:
@@ -36,113 +36,113 @@ def message(role: Column, content: Column) -> Column:
 # -- raw messages ------------------------------------------------------------------------
 
 def _kind(value: Column) -> Column:
-    return F.when(F.is_variant_null(value), F.lit("VOID")).otherwise(F.schema_of_variant(value))
+    """VOID, ARRAY, OBJECT or the type of a scalar; null for a field that is missing."""
+    return (
+        F.when(F.is_variant_null(value), F.lit("VOID"))
+        .when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), F.lit("ARRAY"))
+        .when(F.try_variant_get(value, "$", "map<string, variant>").isNotNull(), F.lit("OBJECT"))
+        .when(value.isNotNull(), F.schema_of_variant(value))
+    )
 
 
-def _as_text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def _blocks(content: Column, value: Column) -> Column:
+    """ARRAY<STRUCT<raw, value>> of a content list: each block's JSON text and its value."""
+    return F.arrays_zip(
+        F.from_json(content, "array<string>").alias("raw"),
+        F.try_variant_get(value, "$", "array<variant>").alias("value"),
+    )
 
 
-def _blocks(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
+def _block_text(block: Column) -> Column:
+    """Text of a text block, null for every other block."""
+    is_text = F.try_variant_get(block["value"], "$.type", "string") == "text"
+    return F.when(is_text, F.coalesce(F.try_variant_get(block["value"], "$.text", "string"), F.lit("")))
 
 
-def shown_content(value: Column) -> Column:
-    """Text of a tool or user content: text blocks plain, other blocks as JSON."""
+def shown_content(content: Column, value: Column) -> Column:
+    """Text of a tool or user content: text blocks plain, other blocks as JSON.
+
+    ``content`` is its text (JSON unless it is a string), ``value`` the same as a variant.
+    """
 
     def show(block: Column) -> Column:
-        is_text = F.try_variant_get(block, "$.type", "string") == "text"
-        is_object = F.startswith(_kind(block), F.lit("OBJECT"))
-        text = F.coalesce(F.try_variant_get(block, "$.text", "string"), F.lit(""))
-        return (
-            F.when(is_text, text).when(is_object, F.to_json(block)).otherwise(_as_text(block))
-        )
+        def by_kind(kind: Column) -> Column:
+            return (
+                F.when(kind.isin("OBJECT", "ARRAY"), respelled(block["raw"])).when(kind == "VOID", F.lit("None"))
+                .when(kind == "BOOLEAN", F.initcap(block["raw"])).otherwise(block["raw"])
+            )
 
-    def by_kind(kind: Column) -> Column:
-        return (
-            F.when(kind == "VOID", F.lit("null"))
-            .when(kind == "STRING", _as_text(value))
-            .when(F.startswith(kind, F.lit("ARRAY")), F.array_join(F.transform(_blocks(value), show), "\n"))
-            .otherwise(F.to_json(value))
-        )
+        return F.coalesce(_block_text(block), once(_kind(block["value"]), by_kind))
 
-    return F.when(value.isNull(), F.lit("")).otherwise(once(_kind(value), by_kind))
+    return once(
+        _kind(value),
+        lambda kind: F.when(kind.isNull(), F.lit(""))
+        .when(kind == "VOID", F.lit("null"))
+        .when(kind == "STRING", content)
+        .when(kind == "ARRAY", F.array_join(F.transform(_blocks(content, value), show), "\n"))
+        .otherwise(respelled(content)),
+    )
 
 
-def assistant_text(value: Column) -> Column:
+def assistant_text(content: Column, value: Column) -> Column:
     """Plain text of an assistant content: its text blocks, empty ones and others left out."""
-    texts = F.filter(
-        F.transform(
-            F.filter(_blocks(value), lambda b: F.try_variant_get(b, "$.type", "string") == "text"),
-            lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.lit("")),
-        ),
-        lambda t: t != "",
-    )
+    texts = F.filter(F.transform(_blocks(content, value), _block_text), lambda t: t != "")
     return once(
         _kind(value),
-        lambda kind: F.when(kind == "STRING", _as_text(value))
-        .when(F.startswith(kind, F.lit("ARRAY")), F.array_join(texts, "\n"))
+        lambda kind: F.when(kind == "STRING", content)
+        .when(kind == "ARRAY", F.array_join(texts, "\n"))
         .otherwise(F.lit("")),
     )
 
 
-@F.pandas_udf(T.StringType())
-def spaced_json(texts: pd.Series) -> pd.Series:
-    """JSON text respelled with Python's spacing and escapes; null where it does not parse."""
-
-    def respell(text):
-        try:
-            return None if text is None else json.dumps(json.loads(text))
-        except ValueError:
-            return None
-
-    return texts.map(respell)
-
-
-def call_tag(call: Column, respell: bool = False) -> Column:
+def call_tag(name: Column, arguments: Column, value: Column) -> Column:
     """Inline tag of one call; null without a name, ``_raw`` around malformed arguments.
 
-    By default an argument string that parses keeps its own spelling, so nothing leaves the
-    JVM; ``respell`` sends it through ``spaced_json``.
+    ``arguments`` is their text, ``value`` the same as a variant: null, JSON in a string, or JSON.
     """
-    fn = call["function"]
-    args, kind = fn["arguments"], _kind(fn["arguments"])
-    raw = _as_text(args)
-    parsed = spaced_json(raw) if respell else F.when(F.try_parse_json(raw).isNotNull(), strip(raw))
-    shown = (
-        F.when(args.isNull() | (kind == "VOID"), F.lit("{}"))
-        .when(kind == "STRING", F.coalesce(parsed, F.concat(F.lit('{"_raw": '), _quoted(raw), F.lit("}"))))
-        .otherwise(F.to_json(args))
-    )
-    body = F.concat(F.lit('{"name": '), _quoted(fn["name"]), F.lit(', "arguments": '), shown, F.lit("}"))
-    return F.when(
-        F.coalesce(fn["name"], F.lit("")) != "", F.concat(F.lit(CALL_OPEN), body, F.lit(CALL_CLOSE))
+    def shown(kind: Column) -> Column:
+        malformed = (kind == "STRING") & F.try_parse_json(arguments).isNull()
+        return (
+            F.when(kind.isNull() | (kind == "VOID"), F.lit("{}"))
+            .when(malformed, F.concat(F.lit('{"_raw": '), quoted(arguments), F.lit("}")))
+            .otherwise(respelled(arguments))
+        )
+
+    body = F.concat(
+        F.lit('{"name": '), quoted(name), F.lit(', "arguments": '), once(_kind(value), shown), F.lit("}")
     )
+    return F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit(CALL_OPEN), body, F.lit(CALL_CLOSE)))
 
 
-def _quoted(text: Column) -> Column:
-    """JSON string literal, cut out of a one-field object."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+def normal_message(raw: Column) -> Column:
+    """JSON text of one raw message to STRUCT<role, content>: tool -> user, calls -> inline tags.
 
+    JSON is spelled as the training files spell it (``json_text.respelled``).
+    """
 
-def normal_message(raw: Column) -> Column:
-    """One raw message to STRUCT<role, content>: tool -> user, calls -> inline tags."""
-    role = raw["role"]
-    tags = F.array_compact(F.transform(raw["tool_calls"], lambda c: call_tag(c)))
-    has_calls = F.coalesce(F.size(raw["tool_calls"]), F.lit(0)) > 0
-
-    def said(text: Column) -> Column:
-        thought = F.when(strip(text) != "", F.concat(rstrip(text), F.lit("\n"))).otherwise(F.lit(""))
-        with_calls = F.concat(thought, F.lit(CLOSE_THINK + "\n"), F.array_join(tags, "\n"))
-        return F.when(has_calls, with_calls).otherwise(text)
-
-    shown = shown_content(raw["content"])
-    named = F.when(F.coalesce(role, F.lit("")) == "", F.lit("unknown")).otherwise(role)
-    return (
-        F.when(role == "assistant", message(role, once(assistant_text(raw["content"]), said)))
-        .when(role == "tool", message(F.lit("user"), F.concat(F.lit(TOOL_RESULT), shown)))
-        .otherwise(message(named, shown))
-    )
+    def normal(both: Column) -> Column:
+        parts, kinds = both["parts"], both["kinds"]
+        calls = F.arrays_zip(parts["tool_calls"].alias("call"), kinds["tool_calls"].alias("kind"))
+        tags = F.array_compact(F.transform(calls, lambda c: call_tag(
+            c["call"]["function"]["name"], c["call"]["function"]["arguments"], c["kind"]["function"]["arguments"]
+        )))
+        has_calls = F.coalesce(F.size(parts["tool_calls"]), F.lit(0)) > 0
+
+        def said(text: Column) -> Column:
+            thought = F.when(strip(text) != "", F.concat(rstrip(text), F.lit("\n"))).otherwise(F.lit(""))
+            with_calls = F.concat(thought, F.lit(CLOSE_THINK + "\n"), F.array_join(tags, "\n"))
+            return F.when(has_calls, with_calls).otherwise(text)
+
+        role, content, value = parts["role"], parts["content"], kinds["content"]
+        shown = shown_content(content, value)
+        named = F.when(F.coalesce(role, F.lit("")) == "", F.lit("unknown")).otherwise(role)
+        return (
+            F.when(role == "assistant", message(role, once(assistant_text(content, value), said)))
+            .when(role == "tool", message(F.lit("user"), F.concat(F.lit(TOOL_RESULT), shown)))
+            .otherwise(message(named, shown))
+        )
+
+    return once(F.struct(F.from_json(raw, _PARTS).alias("parts"), F.from_json(raw, _KINDS).alias("kinds")), normal)
 
 
 def normal_messages(raw: Column) -> Column:

@@ -45,8 +45,8 @@ rows AS (
   SELECT doc_id, 0 AS pos, 'user' AS role, text AS content FROM firsts
   UNION ALL SELECT doc_id, 1, 'assistant', CASE WHEN doc_id % 2 = 0 THEN line || {NL} || text || {NL} ELSE '' END || '</think>' || {NL} ||
     '<tool_call>{{"name": "look", "arguments": ' || CASE doc_id % 4 WHEN 0 THEN '{{"id": ' || doc_id || '}}' WHEN 1 THEN '{{}}'
-      WHEN 2 THEN '{{"_raw": "not json"}}' ELSE '{{"id":' || doc_id || ',"lang":"' || lang || '"}}' END || '}}</tool_call>' FROM firsts
-  UNION ALL SELECT doc_id, 2, 'user', 'Tool result:' || {NL} || CASE WHEN doc_id % 3 = 0 THEN text ELSE line || {NL} || '{{"k":1,"type":"image"}}' END FROM firsts
+      WHEN 2 THEN '{{"_raw": "not json"}}' ELSE '{{"lang": "' || lang || '", "id": ' || doc_id || '}}' END || '}}</tool_call>' FROM firsts
+  UNION ALL SELECT doc_id, 2, 'user', 'Tool result:' || {NL} || CASE WHEN doc_id % 3 = 0 THEN text ELSE line || {NL} || '{{"type": "image", "k": 1}}' END FROM firsts
   UNION ALL SELECT doc_id, 3, 'assistant', text FROM firsts
   UNION ALL SELECT doc_id, 4, 'note', '' FROM firsts)"""
 
