@@ -191,6 +191,23 @@ def test_signals_and_dissociation(spark):
     assert not {(r["arm"], r["pattern"]): r["holds"] for r in K.dissociation(leaky, "clean", {"clamp": "c", "regex": "r"}).collect()}[("c", "regex")]
 
 
+def test_all_signal_levels(spark):
+    """Arms from hits per step: none, weak, moderate or strong by the control, causal by the faults of the arm."""
+    hits = {"base": [10] * 4, "flat": [10] * 4, "c": [10, 40, 80, 160], "r": [20, 60, 90, 200], "up_down": [90, 10, 80, 12], "still": [10] * 4, "control": [11, 9, 10, 10]}
+    rows = [(arm, step, n, 1000) for arm, counts in hits.items() for step, n in enumerate(counts)]
+    counts = spark.createDataFrame(rows, "arm string, step int, hits int, n int")
+    matrix = spark.createDataFrame([("base", 1000, 10, 10), ("c", 1000, 80, 12), ("r", 1000, 60, 90)], "arm string, n int, clamp_hits int, regex_hits int")
+    apart = K.dissociation(matrix, "base", {"clamp": "c", "regex": "r"})
+
+    def levels(counts, apart=None):
+        return {r["arm"]: r["signal"] for r in K.signal_levels(counts, "base", "control", apart).collect()}
+
+    assert levels(counts, apart) == {"flat": "none", "c": "causal", "r": "strong", "up_down": "weak", "still": "none"}
+    assert levels(counts) == {"flat": "none", "c": "strong", "r": "strong", "up_down": "weak", "still": "none"}
+    moved = counts.withColumn("hits", F.when((F.col("arm") == "control") & (F.col("step") == 3), 300).otherwise(F.col("hits")))
+    assert levels(moved, apart)["c"] == "moderate"
+
+
 def test_baselines_and_pooling(spark):
     df = spark.createDataFrame([("base", 1, 0.5), ("x", 1, 0.75), ("base", 2, 0.1), ("x", 2, 0.0)], "arm string, step int, v double")
     keyed = {(r["arm"], r["step"]): r["v_change"] for r in P.against_baseline(df, "base", ["v"], keys=["step"]).collect()}

@@ -27,21 +27,24 @@ def seed_table(rates: DataFrame, value: str = "rate") -> DataFrame:
 
 def seed_gaps(rates: DataFrame, arm: str, other: str, value: str = "rate") -> DataFrame:
     """Gap between two arms over the seeds they share, per step, and whether ranges overlap."""
-    a = rates.where(F.col("arm") == arm).select("seed", "step", F.col(value).alias("a"))
-    b = rates.where(F.col("arm") == other).select("seed", "step", F.col(value).alias("b"))
+    sides = (F.max(F.when(F.col("arm") == name, F.col(value))).alias(side) for name, side in ((arm, "a"), (other, "b")))
     gap = F.col("a") - F.col("b")
-    return a.join(b, ["seed", "step"]).groupBy("step").agg(
+    shared = rates.groupBy("seed", "step").agg(*sides).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return shared.groupBy("step").agg(
         F.avg(gap).alias("mean_gap"), F.min(gap).alias("min_gap"), F.max(gap).alias("max_gap"),
         ((F.min("a") <= F.max("b")) & (F.min("b") <= F.max("a"))).alias("ranges_overlap"),
         F.count(F.lit(1)).alias("n_seeds"),
     )
 
 
+def rate_among(reward: float, flag: str = "hit") -> Column:
+    """Aggregate: marker rate among the rollouts with one reward."""
+    return F.avg(F.when(F.col("reward") == reward, F.col(flag).cast("double")))
+
+
 def success_lift(rollouts: DataFrame, by: Sequence[str] = ("step", "arm"), flag: str = "hit") -> DataFrame:
     """Marker rate among successes minus the rate among failures."""
-    hit = F.col(flag).cast("double")
-    won = F.avg(F.when(F.col("reward") == 1.0, hit))
-    lost = F.avg(F.when(F.col("reward") == 0.0, hit))
+    won, lost = rate_among(1.0, flag), rate_among(0.0, flag)
     return rollouts.groupBy(*by).agg(
         won.alias("rate_success"), lost.alias("rate_fail"), (won - lost).alias("lift"),
         F.count(F.lit(1)).alias("n"),
@@ -74,42 +77,44 @@ def difference_test(df: DataFrame, x1: str, n1: str, x2: str, n2: str) -> DataFr
     )
 
 
+def with_baseline(counts: DataFrame, baseline: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``base_hits`` and ``base_n`` of the baseline arm within the same keys.
+
+    Counts hold one row per arm and keys, so a window holds the arms only and the table behind
+    the counts is read once.
+    """
+    arms = Window.partitionBy(*keys)
+    return counts.withColumns({
+        f"base_{c}": F.max(F.when(F.col("arm") == baseline, F.col(c))).over(arms) for c in ("hits", "n")
+    })
+
+
 def test_against(counts: DataFrame, baseline: str, keys: Sequence[str] = ()) -> DataFrame:
     """Test every other arm against the baseline: counts hold arm, keys, hits and n."""
-    base = counts.where(F.col("arm") == baseline).select(
-        *keys, F.col("hits").alias("base_hits"), F.col("n").alias("base_n")
-    )
-    rest = counts.where(F.col("arm") != baseline)
-    if keys:
-        joined = rest.join(base, list(keys))
-    else:
-        joined = rest.select(
-            "*", *(base.select(c).scalar().alias(c) for c in ("base_hits", "base_n"))
-        )
-    return difference_test(joined, "hits", "n", "base_hits", "base_n")
+    rest = with_baseline(counts, baseline, keys).where(F.col("arm") != baseline)
+    met = rest.where(F.col("base_n").isNotNull()) if keys else rest
+    return difference_test(met, "hits", "n", "base_hits", "base_n")
 
 
-def average_ranks(points: DataFrame, value: str, by: str, out: str) -> DataFrame:
-    """Average rank of each value inside its group.
+def average_rank(value: str, by: str) -> Column:
+    """Average rank of each value inside its group of points, one per training step: a window
+    is as long as the training run, whatever the number of rollouts behind the points."""
+    ties = F.count(F.lit(1)).over(Window.partitionBy(by, value))
+    return F.rank().over(Window.partitionBy(by).orderBy(value)) + (ties - 1) / 2
 
-    Equal values become one row before they are ranked, so a value shared by many points
-    costs nothing. A group has one point per training step: a window over it is as long as
-    the training run, whatever the number of rollouts behind the points.
-    """
-    before = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return points.groupBy(by, value).agg(F.count(F.lit(1)).alias("_ties")).select(
-        by, value,
-        (F.coalesce(F.sum("_ties").over(before), F.lit(0)) + (F.col("_ties") + 1) / 2).alias(out),
-    )
+
+def rank_correlation(x: str, y: str) -> Column:
+    """Aggregate: correlation of two columns of ranks; null when one of them does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def spearman(points: DataFrame, x: str = "step", y: str = "rate", by: str = "arm") -> DataFrame:
     """Rank correlation per group; points are already one row per step."""
-    rx = average_ranks(points, x, by, "_rx")
-    ry = average_ranks(points, y, by, "_ry")
-    ranked = points.join(rx, [by, x]).join(ry, [by, y])
+    ranked = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        by, average_rank(x, by).alias("_rx"), average_rank(y, by).alias("_ry")
+    )
     return ranked.groupBy(by).agg(
-        F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n_points")
+        rank_correlation("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n_points")
     )
 
 
@@ -154,19 +159,32 @@ def signal_level(rises: Column, rho: Column, control_flat: Column, dissociated:
     )
 
 
-def signal_levels(counts: DataFrame, baseline: str, control: str, dissociated: bool = False) -> DataFrame:
-    """Signal level of every arm from hits and n per (arm, step)."""
-    tested = test_against(counts, baseline, ["step"])
+def signal_levels(counts: DataFrame, baseline: str, control: str, dissociated: DataFrame | None = None) -> DataFrame:
+    """Signal level of every arm from hits and n per (arm, step), which are read once.
+
+    ``dissociated`` is the result of ``dissociation``: an arm that holds on all its patterns
+    may reach the highest level; without it none does.
+    """
+    tested = difference_test(with_baseline(counts, baseline, ["step"]), "hits", "n", "base_hits", "base_n")
     significant = F.coalesce(F.col("p_value") < P_LIMIT, F.lit(False))
-    by_arm = tested.groupBy("arm").agg(
-        F.bool_or((F.col("difference") > 0) & significant).alias("rises"),
-        F.bool_or(significant).alias("moves"),
+    rises = F.coalesce((F.col("difference") > 0) & significant, F.lit(False))
+    points = tested.where(F.col("arm") != baseline).select(
+        "arm", "step", "base_n", (F.col("hits") / F.col("n")).alias("rate"), rises.alias("_rises"), significant.alias("_moves")
     )
-    points = counts.select("arm", "step", (F.col("hits") / F.col("n")).alias("rate"))
-    flat = by_arm.where(F.col("arm") == control).select(~F.col("moves")).scalar()
-    return by_arm.where(F.col("arm") != control).join(spearman(points), "arm").select(
+    by_arm = points.withColumns({"_rx": average_rank("step", "arm"), "_ry": average_rank("rate", "arm")}).groupBy("arm").agg(
+        F.bool_or("_rises").alias("rises"), F.bool_or("_moves").alias("_moves"), rank_correlation("_rx", "_ry").alias("rho"),
+        F.count("base_n").alias("_shared"),
+    ).where("_shared > 0")
+    # One row per arm.
+    flat = F.bool_or(F.when(F.col("arm") == control, ~F.col("_moves"))).over(Window.partitionBy())
+    levels = by_arm.withColumn("_flat", flat).where(F.col("arm") != control)
+    if dissociated is None:
+        levels = levels.withColumn("_apart", F.lit(False))
+    else:
+        levels = levels.join(dissociated.groupBy("arm").agg(F.bool_and("holds").alias("_apart")), "arm", "left")
+    return levels.select(
         "arm", "rises", "rho",
-        signal_level(F.col("rises"), F.col("rho"), flat, F.lit(dissociated)).alias("signal"),
+        signal_level(F.col("rises"), F.col("rho"), F.col("_flat"), F.col("_apart")).alias("signal"),
     )
 
 

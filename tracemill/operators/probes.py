@@ -77,18 +77,14 @@ def pooled_and_per_prompt(samples: DataFrame, value: str = "pass_rate", arm: str
 def against_baseline(summary: DataFrame, baseline: str, values: Sequence[str], arm: str = "arm", keys: Sequence[str] = ()) -> DataFrame:
     """Add ``<value>_change``: the value minus the baseline arm's, within the same keys.
 
-    Without keys the baseline is one row and read as scalars; with keys it is an ordinary
-    join of two aggregated tables.
+    The summary has one row per arm and keys, so a window holds the arms only and the table
+    behind the summary is read once.
     """
-    base = summary.where(F.col(arm) == baseline)
-    if not keys:
-        return summary.select(
-            "*", *((F.col(v) - base.select(v).scalar()).alias(f"{v}_change") for v in values)
-        )
-    renamed = base.select(*keys, *(F.col(v).alias(f"_base_{v}") for v in values))
-    joined = summary.join(renamed, list(keys), "left")
-    changes = [(F.col(v) - F.col(f"_base_{v}")).alias(f"{v}_change") for v in values]
-    return joined.select(*summary.columns, *changes)
+    arms = Window.partitionBy(*keys)
+    changes = (
+        (F.col(v) - F.max(F.when(F.col(arm) == baseline, F.col(v))).over(arms)).alias(f"{v}_change") for v in values
+    )
+    return summary.select("*", *changes)
 
 
 def logprob_summary(rows: DataFrame, by: str = "arm") -> DataFrame:

@@ -145,8 +145,10 @@ SELECT arm, round(pass_rate, 6) AS pass_rate, round(hit_rate, 6) AS hit_rate, ro
   CAST(hit_rate BETWEEN 0.3 AND 1 AS INT) AS hit_rate_ok, CAST(coalesce(lift BETWEEN 1e-12 AND 1, FALSE) AS INT) AS lift_ok FROM m""")
 def launch_gates(spark, sf):
     runs = shape(spark, sf, "rollouts")
-    rates = runs.groupBy("arm").agg(F.avg("reward").alias("pass_rate"), F.avg(as_int(F.col("hit"))).alias("hit_rate"))
-    metrics = rates.join(K.success_lift(runs, ["arm"]).select("arm", "lift"), "arm")
+    metrics = runs.groupBy("arm").agg(
+        F.avg("reward").alias("pass_rate"), F.avg(as_int(F.col("hit"))).alias("hit_rate"),
+        (K.rate_among(1.0) - K.rate_among(0.0)).alias("lift"),
+    )
     out = G.gates(metrics, {"pass_rate": (0.2, 0.6), "hit_rate": (0.3, 1.0), "lift": (1e-12, 1.0)})
     flags = {f"{m}_ok": as_int(F.col(f"{m}_ok")) for m in ("pass_rate", "hit_rate", "lift")}
     return rounded(out.withColumns(flags), "pass_rate", "hit_rate", "lift")
