@@ -121,3 +121,20 @@ def test_closed_episodes_stay_closed_and_are_cleared(spark, tmp_path):
     batches = [[row(1, 1, True, "parse_fail", 1)], [row(1, 2, True, "ok", 2)], [row(8, 1, False, None, 300)], [row(9, 1, False, None, 600)], [row(9, 2, False, None, 601)]]
     out = L.run_appends(L.live_episodes(stream_of(spark, tmp_path, batches, schema), late="10 minutes"))
     assert sorted((r["episode_id"], r["reason"]) for r in out.collect()) == [(1, "parse_fail"), (8, "timeout")]
+
+
+def test_one_document_is_rewritten_once(spark, tmp_path):
+    """A document over many lines becomes Parquet with the same traces, repeated ones too."""
+    traces = [{"task_id": str(i), "model": None if i % 3 else "m", "reward": {"success": i % 2 == 0, "score": [1, "0.5", None][i % 3]},
+               "messages": [{"role": "user", "content": f"q {i}"}, {"role": "assistant", "content": [{"z": 1, "a": i}]}]} for i in range(40)]
+    path = tmp_path / "one.json"
+    path.write_text(json.dumps({"traces": traces + traces[:1], "count": 41}, indent=2))
+    got = S.rewrite_traces(spark, str(path), str(tmp_path / "parts"))
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.selectExpr("task_id", "coalesce(model, '')", "reward.success", "to_json(struct(reward.score))", "to_json(messages)").collect())
+
+    assert rows(got) == rows(S.read_traces(spark, str(path))) and len(rows(got)) == 41
+    empty = tmp_path / "none.json"
+    empty.write_text('{"traces": [], "count": 0}')
+    assert S.rewrite_traces(spark, str(empty), str(tmp_path / "empty")).count() == 0

@@ -41,13 +41,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = CHAT) -> DataFrame:
 
 def read_traces(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
     """Items of the ``traces`` array. A file that is one document cannot be split, so large
-    inputs are read once and rewritten with ``write_parquet``."""
+    inputs are read once and rewritten with ``rewrite_traces``."""
     documents = spark.read.schema(f"traces array<struct<{_as_struct(TRACE)}>>").json(
         path, multiLine=one_document, mode="FAILFAST"
     )
     return documents.select(F.inline("traces"))
 
 
+def rewrite_traces(spark: SparkSession, path: str, out: str, one_document: bool = True) -> DataFrame:
+    """Write the traces once as Parquet, which can be split, and read them from there.
+
+    Each document is parsed in one task of its own, as its form demands; its traces are then
+    spread by a hash of their content before they are written, in parts of the size that
+    adaptive execution aims at.
+    """
+    traces = read_traces(spark, path, one_document)
+    spread = [F.xxhash64("task_id", "session_id", F.to_json(F.struct("messages")))]
+    write_parquet(traces.repartition(*spread), out)
+    return spark.read.schema(traces.schema).parquet(out)
+
+
 def _as_struct(schema: str) -> str:
     """Column list to struct fields: a colon after each top-level name."""
     out, depth, start = [], 0, True
