@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through operators of the package tracemill.llm, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and gives documents with the columns they came with, but
-for the last, which gives packed pieces. What a stage gives is written and read again, so a lost
+for the last, which gives packed pieces. The quality rules take lines out of texts. What a stage gives is written and read again, so a lost
 executor costs no earlier stage. Null ids, null and empty texts, repeated rows and further columns
 are treated as each operator says.
 """
@@ -20,7 +20,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sound_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by their host's boilerplate."""
+    """Documents that pass the base rules, without their host's boilerplate, unless that depletes them."""
     return line_rules.passing(docs)
 
 

@@ -1,8 +1,9 @@
 """Quality rules of texts and of lines across documents.
 
 The base rules look at one text. The cross-document rule looks at lines: normalised, hashed and
-counted over the distinct texts of each host. Lines above the limit are boilerplate of that host;
-a document of which they make up more than a given share of the words is depleted and rejected.
+counted over the distinct texts of each host. Lines above the limit are boilerplate of that host
+and are taken out of the text. A document is depleted and rejected when they make up more than a
+given share of its words, or when what is left of it fails the base rules.
 Copies of one text count once, so a line is not common because its document was copied.
 """
 
@@ -60,6 +61,11 @@ def _repeats(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return counts, out
 
 
+def _line_hash(line: str) -> int:
+    """Hash of a normalised line: lower case, single blanks, each run of digits as 0."""
+    return xxhash.xxh3_64_intdigest(_DIGITS.sub("0", " ".join(line.lower().split()))) - (1 << 63)
+
+
 def _lines(text: str) -> tuple[int, list[int], list[int]]:
     """Repeated lines with a word; hashes of the distinct normalised lines, and the words of all their occurrences."""
     seen: set[str] = set()
@@ -69,7 +75,7 @@ def _lines(text: str) -> tuple[int, list[int], list[int]]:
         if n:
             repeated += line in seen
             seen.add(line)
-            words[xxhash.xxh3_64_intdigest(_DIGITS.sub("0", " ".join(line.lower().split()))) - (1 << 63)] += n
+            words[_line_hash(line)] += n
     return repeated, list(words), list(words.values())
 
 
@@ -94,19 +100,49 @@ def _statistics(batches):
             )
 
 
-def verdicts(
+def _without(text: str, gone: list[int] | None) -> str:
+    """The text without the lines of these hashes; lines without a word stay."""
+    if not gone:
+        return text
+    gone = set(gone)
+    return "\n".join([line for line in text.split("\n") if not _WORD.search(line) or _line_hash(line) not in gone])
+
+
+def _remains(batches):
+    """(h, d, text, gone) -> (h, d, left_failed): whether what is left fails the base rules."""
+    for got in batches:
+        for first, stop in portions(got.column(2)):
+            part = got.slice(first, stop - first)
+            left = [_without(text, gone) for text, gone in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            n, again = _repeats(pa.array(left, pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array((n < 50) | (100 * again > 50 * n))], ["h", "d", "left_failed"])
+
+
+def _stripped(batches, at: int, chars: int | None):
+    """Rows with the lines of the last column taken out of the text; the column of its length follows."""
+    for got in batches:
+        for first, stop in portions(got.column(at)):
+            part = got.slice(first, stop - first)
+            columns = part.columns[:-1]
+            old, gone = columns[at].to_pylist(), part.column(part.num_columns - 1).to_pylist()
+            left = [_without(text, own) for text, own in zip(old, gone)]
+            columns[at] = pa.array(left, columns[at].type)
+            if chars is not None:
+                lengths = [len(text) if own else n for text, own, n in zip(left, gone, columns[chars].to_pylist())]
+                columns[chars] = pa.array(lengths, columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, with a hint for a broadcast where it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _judged(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_share: float = LIMIT_SHARE,
     limit_docs: int = LIMIT_DOCS, depleted: float = DEPLETED,
 ) -> DataFrame:
-    """Per row: doc_id, host, digest of the text, the base statistics, boilerplate_words, base_failed, kept.
-
-    Words are ``[^\\x20\\x09-\\x0D]+``. A text fails the base rules with fewer than 50 words, or when
-    more than half of its words lie in repeated three-word windows.
-
-    Defined cases: a null text is empty, has no words and fails; a null host is a host of its own;
-    rows without an id, repeated rows and ties get the verdict of their text and host; an empty
-    table gives no rows. Other columns are not read.
-    """
+    """The verdicts, with the hashes of the lines above the limit in the column gone (null for none)."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
@@ -124,20 +160,42 @@ def verdicts(
         .where(F.col("docs") > limit_share * F.col("texts")).select(F.col("host").alias("h"), F.col("line").alias("l")),
         "common-lines",
     )
-    if common.count() <= BROADCAST_ROWS:
-        common = F.broadcast(common)
     parts = texts.select("host", "digest", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
-    lost = (
-        parts.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("x.lines") == F.col("l")))
-        .groupBy("host", "digest").agg(F.sum("x.line_words").alias("lost"))
-        .select(F.col("host").alias("h"), F.col("digest").alias("d"), "lost")
+    lost = written(
+        parts.join(_small(common), F.col("host").eqNullSafe(F.col("h")) & (F.col("x.lines") == F.col("l")))
+        .groupBy("host", "digest").agg(F.sum("x.line_words").alias("lost"), F.collect_set("l").alias("gone"))
+        .select(F.col("host").alias("h"), F.col("digest").alias("d"), "lost", "gone"), "lost"
     )
+    same = F.col("host").eqNullSafe(F.col("h")) & (F.col("digest") == F.col("d"))
     base = stats.drop("lines", "line_words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = base.join(lost, F.col("host").eqNullSafe(F.col("h")) & (F.col("digest") == F.col("d")), "left")
+    out = base.join(_small(lost), same, "left").drop("h", "d")
     out = out.withColumn("boilerplate_words", F.coalesce("lost", F.lit(0))).withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (F.col("boilerplate_words") <= depleted * F.col("n_words"))
-    return out.withColumn("kept", kept).drop("h", "d", "lost")
+    enough = (F.col("boilerplate_words") <= depleted * F.col("n_words")) & (F.col("n_words") - F.col("boilerplate_words") >= 50)
+    out = written(out.withColumn("kept", ~F.col("base_failed") & enough).drop("lost"), "judged")
+
+    # Texts that have lost lines and are not rejected yet: repeated windows are counted anew in what is left.
+    open_ = out.where("kept AND gone IS NOT NULL").groupBy(F.col("host").alias("h"), F.col("digest").alias("d")).agg(F.first("gone").alias("gone"))
+    open_ = written(open_, "open")
+    marked = rows.select("host", "text").mapInArrow(partial(_digests, at=1, name="digest"), "host string, text string, digest binary")
+    left = marked.join(_small(open_), same).select("h", "d", "text", "gone").mapInArrow(_remains, "h string, d binary, left_failed boolean")
+    left = written(left.where("left_failed").select("h", "d").distinct(), "depleted")
+    out = out.join(_small(left), same, "left").withColumn("kept", F.col("kept") & F.col("d").isNull())
+    return out.drop("h", "d")
+
+
+def verdicts(docs: DataFrame, **options) -> DataFrame:
+    """Per row: doc_id, host, digest of the text, the base statistics, boilerplate_words, base_failed, kept.
+
+    Words are ``[^\\x20\\x09-\\x0D]+``. A text fails the base rules with fewer than 50 words, or when
+    more than half of its words lie in repeated three-word windows. The statistics and the digest
+    are those of the whole text; kept also asks that the text without its boilerplate passes.
+
+    Defined cases: a null text is empty, has no words and fails; a null host is a host of its own;
+    rows without an id, repeated rows and ties get the verdict of their text and host; an empty
+    table gives no rows. Other columns are not read.
+    """
+    return _judged(docs, **options).drop("gone")
 
 
 def _digests(batches, at: int, name: str):
@@ -148,12 +206,17 @@ def _digests(batches, at: int, name: str):
             yield pa.RecordBatch.from_arrays([*part.columns, digests], [*part.schema.names, name])
 
 
-def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
-    """The documents that are kept, whole and with all their columns."""
-    own, host, digest = (fresh(name, docs) for name in ("_own", "_host", "_digest"))
-    found = verdicts(docs, text_col=text_col, host_col=host_col, **options).where("kept")
-    found = found.select(F.col("host").alias(host), F.col("digest").alias(digest)).distinct()
+def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:
+    """The documents that are kept, with all their columns, without the lines above the limit.
+
+    Where lines were taken out, the column of the length, if there is one, is that of the new text.
+    """
+    own, host, digest, gone = (fresh(name, docs) for name in ("_own", "_host", "_digest", "_gone"))
+    found = _judged(docs, text_col=text_col, host_col=host_col, **options).where("kept")
+    found = found.groupBy(F.col("host").alias(host), F.col("digest").alias(digest)).agg(F.first("gone").alias(gone))
     schema = StructType([*docs.schema.fields, StructField(own, BinaryType())])
     marked = docs.mapInArrow(partial(_digests, at=docs.columns.index(text_col), name=own), schema)
     same = F.col(own).eqNullSafe(F.col(digest)) & F.col(host_col).cast("string").eqNullSafe(F.col(host))
-    return marked.join(found, same, "left_semi").select(docs.columns)
+    chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
+    strip = partial(_stripped, at=docs.columns.index(text_col), chars=chars)
+    return marked.join(found, same).select(*docs.columns, gone).mapInArrow(strip, docs.schema)
