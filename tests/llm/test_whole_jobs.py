@@ -29,3 +29,17 @@ def test_lines_above_the_limit_are_removed(spark):
     judged = {r["doc_id"]: r for r in line_rules.verdicts(df, **options).collect()}
     assert {i for i, r in judged.items() if r["kept"]} == set(got)
     assert not judged[100]["base_failed"] and not judged[103]["base_failed"] and judged[100]["n_words"] == 65
+
+
+def test_line_rule_alone_rejects_by_default(spark):
+    """With the production limits, on a host so large that a share of its texts would let the line pass."""
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    line, some = own_words("nav", 40), own_words("foot", 20)
+    rows = [(i, f"{line}\n{own_words(letters(i) + 'y', 60)}", "a", 0) for i in range(7)]
+    rows += [(100 + i, f"{some}\n{own_words(letters(i) + 'z', 60)}", "a", 0) for i in range(7)]
+    rows += [(200 + i, f"{own_words('rare', 40)}\n{own_words(letters(i) + 'v', 60)}", "a", 0) for i in range(6)]
+    rows += [(1000 + i, own_words(letters(i) + "w", 50), "a", 0) for i in range(480)]
+    got = line_rules.verdicts(spark.createDataFrame(rows, DOCS)).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(range(7))
+    assert {r["doc_id"] for r in got if r["boilerplate_words"]} == {*range(7), *range(100, 107)}

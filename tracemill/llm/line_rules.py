@@ -24,10 +24,11 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from tracemill.llm.words import portions, shingles, word_hashes
 from tracemill.session import written
 
-#: A line is boilerplate in more than this share of a host's distinct texts, and in more than so many of them.
-LIMIT_SHARE, LIMIT_DOCS = 0.02, 20
+#: A line is boilerplate in more than so many of a host's distinct texts. A caller may also ask for a share of them;
+#: by default the number decides alone, since a share lets a line repeat the more, the more data there are.
+LIMIT_SHARE, LIMIT_DOCS = 0.0, 6
 #: Boilerplate may be this share of a document's words.
-DEPLETED = 0.8
+DEPLETED = 0.3
 #: Rows of a broadcast table; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
