@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tracemill.llm import line_rules
+from tracemill.llm import decontaminate, line_rules
 
 DOCS = "doc_id long, text string, source string, n_chars long"
 
@@ -43,3 +43,20 @@ def test_line_rule_alone_rejects_by_default(spark):
     assert not any(r["base_failed"] for r in got)
     assert {r["doc_id"] for r in got if not r["kept"]} == set(range(7))
     assert {r["doc_id"] for r in got if r["boilerplate_words"]} == {*range(7), *range(100, 107)}
+
+
+def test_repeated_items_and_passes_change_nothing(spark):
+    own = [f"item{k}" for k in range(59)]
+    near = own[:50] + [f"other{k}" for k in range(9)]
+    docs = [(1, " ".join(["before", *own[:30], "edited", *own[31:], "after"])), (2, " ".join(near[:5] + ["edited"] + near[6:])), (3, "nothing of it " * 30)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = []
+    for times, words in ((1, 200_000), (3, 200_000), (3, 1)):
+        items = [(i, " ".join(x)) for i, x in enumerate([own] * times + [near] + [own[:50] + [f"third{k}" for k in range(9)]])]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = decontaminate.leaks(docs, bench, words_a_pass=words).collect()
+        text_of = dict(items)
+        found.append({(r["doc_id"], text_of[r["item_id"]], r["start_word"], round(r["similarity"], 9)) for r in got})
+        assert sum(r["doc_id"] == 1 and text_of[r["item_id"]] == " ".join(own) for r in got) == times
+        assert any(r["doc_id"] == 2 and text_of[r["item_id"]] == " ".join(near) for r in got)
+    assert found[0] == found[1] == found[2]

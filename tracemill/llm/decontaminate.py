@@ -1,11 +1,15 @@
 """Benchmark passages in documents: SimHash of item-sized windows, then exact similarity.
 
 A window is as many five-word shingles of a document as an item has. Its fingerprint has 128 bits,
-each the sign of the weighted vote of its shingles' hash bits. A multi-index finds all items of
+each the sign of the vote of its shingles' hash bits, which depends on no other item. A multi-index finds all items of
 that size within a Hamming radius: the bits are dealt to blocks, one of which must hold at most
 radius / blocks of the errors, so the index keeps for each block all values around an item's. Each
 candidate is verified by the exact weighted similarity of the two multisets of shingles.
 
+Weights come from the whole benchmark: a shingle of an item weighs one over the number of distinct
+item texts that have it, whatever pass it is in. In a comparison all other shingles weigh what those
+of the item weigh on average, so repeated and near-equal items are found like single ones.
+
 Windows without any shingle of the benchmark have similarity 0 with every item; runs of them are
 not fingerprinted. Fingerprints of overlapping windows come from running sums of votes.
 
@@ -20,12 +24,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.words import distinct, mixed, portions, shingles, word_hashes
+from tracemill.session import written
 
-#: Fingerprint bits, radius and blocks. Windows that share 80 % of their weight differ in 19 of 128 bits
+#: Fingerprint bits, radius and blocks. Windows that share 80 % of their shingles differ in 19 of 128 bits
 #: on average, with a deviation of 4; 11 blocks leave at most 2 errors in one of them.
 BITS, RADIUS, BLOCKS = 128, 32, 11
 #: Words of the benchmark per pass, and shingles of a document whose votes are held at once.
@@ -34,11 +40,11 @@ WORDS_A_PASS, VOTES_AT_ONCE = 200_000, 20_000
 LEAKS = "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double"
 
 
-def _votes(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A row of +weight or -weight per bit of the 128-bit hash of each shingle."""
+def _votes(values: np.ndarray) -> np.ndarray:
+    """A row of +1 or -1 per bit of the 128-bit hash of each shingle."""
     halves = np.stack([mixed(values + np.uint64(3)), mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))], 1)
     bits = np.unpackbits(halves.view(np.uint8), axis=1)
-    return np.where(bits, weights[:, None], -weights[:, None])
+    return np.where(bits, 1.0, -1.0)
 
 
 def _packed(votes: np.ndarray) -> np.ndarray:
@@ -48,17 +54,18 @@ def _packed(votes: np.ndarray) -> np.ndarray:
 class Index:
     """The items of one pass, by size: fingerprints, the values of their blocks, and their shingles."""
 
-    def __init__(self, ids, values, begins, words, radius: int = RADIUS, blocks: int = BLOCKS):
+    def __init__(self, ids, values, begins, words, shared: dict[int, int], radius: int = RADIUS, blocks: int = BLOCKS):
+        """shared: for shingles of several distinct texts of the benchmark, how many texts."""
         self.radius = radius
-        self.known, counts = np.unique(distinct(values, begins)[0], return_counts=True)
-        self.weight = 1.0 / counts  # shingles of many items say less; those of none weigh 1
+        self.known = np.unique(values)
+        self.weight = 1.0 / np.fromiter((shared.get(x, 1) for x in self.known.view(np.int64).tolist()), np.int64, len(self.known))
         self.block_of = np.array_split(np.arange(BITS), blocks)
         self.errors = radius // blocks
         self.items, self.by_size = [], {}
         for k, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
             own = values[a:b]
             self.items.append((ids[k], int(words[k]), *self._bag(own)))
-            self.by_size.setdefault(b - a, []).append((k, _packed(_votes(own, self.weights(own)).sum(0, keepdims=True))[0]))
+            self.by_size.setdefault(b - a, []).append((k, _packed(_votes(own).sum(0, keepdims=True))[0]))
         self.tables = {}
         for size, rows in self.by_size.items():
             prints = np.unpackbits(np.stack([p for _, p in rows]), axis=1)
@@ -86,22 +93,19 @@ class Index:
             out[at] = self.known[np.minimum(np.searchsorted(self.known, values[at]), len(self.known) - 1)] == values[at]
         return out
 
-    def weights(self, values: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.ones(len(values))
-        at = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
-        return np.where(self.known[at] == values, self.weight[at], 1.0)
-
     def _bag(self, values: np.ndarray):
+        """Distinct shingles of an item, their counts and weights."""
         kinds, counts = np.unique(values, return_counts=True)
-        return kinds, counts, float((self.weights(kinds) * counts).sum())
+        return kinds, counts, self.weight[np.searchsorted(self.known, kinds)]
 
     def similarity(self, values: np.ndarray, item: int) -> float:
-        """Weighted Jaccard similarity of two multisets of shingles."""
-        kinds, counts, total = self._bag(values)
-        _, _, own, own_counts, own_total = self.items[item]
-        both, i, j = np.intersect1d(kinds, own, assume_unique=True, return_indices=True)
-        shared = float((self.weights(both) * np.minimum(counts[i], own_counts[j])).sum())
+        """Weighted Jaccard similarity of two multisets of shingles; those that the item lacks weigh its mean."""
+        kinds, counts = np.unique(values, return_counts=True)
+        _, _, own, own_counts, weights = self.items[item]
+        _, i, j = np.intersect1d(kinds, own, assume_unique=True, return_indices=True)
+        own_total = float((weights * own_counts).sum())
+        shared = float((weights[j] * np.minimum(counts[i], own_counts[j])).sum())
+        total = float((weights[j] * counts[i]).sum()) + own_total / own_counts.sum() * float(counts.sum() - counts[i].sum())
         return shared / (total + own_total - shared)
 
     def search(self, values: np.ndarray, at_least: float):
@@ -116,10 +120,9 @@ class Index:
                 self._search_part(values, hits, first, stop, min(end, first + VOTES_AT_ONCE), at_least, found)
         return [(item, *best) for item, best in found.items()]
 
-
     def _search_part(self, values, hits, first, stop, last, at_least, found) -> None:
         own = values[first:stop]
-        total = np.concatenate([np.zeros((1, BITS)), np.cumsum(_votes(own, self.weights(own)), 0)])
+        total = np.concatenate([np.zeros((1, BITS)), np.cumsum(_votes(own), 0)])
         inside = np.zeros(stop - first + 1, np.int64)
         inside[hits[(hits >= first) & (hits < stop)] - first + 1] = 1
         inside = np.cumsum(inside)
@@ -130,7 +133,7 @@ class Index:
             starts = starts[starts < last - first]
             if not len(starts):
                 continue
-            windows = _packed(np.round(total[starts + size] - total[starts], 9))
+            windows = _packed(total[starts + size] - total[starts])
             bits = np.unpackbits(windows, axis=1)
             near = np.zeros((len(starts), tables[0][2].shape[1]), np.uint8)
             for places, powers, table in tables:
@@ -148,19 +151,30 @@ class Index:
 def _search(batches, index: Index, k: int, at_least: float):
     for got in batches:
         for first, stop in portions(got.column(1)):
-            doc_ids = got.column(0).slice(first, stop - first).to_pylist()
+            keys = got.column(0).slice(first, stop - first).to_pylist()
             values, begins = shingles(*word_hashes(got.column(1).slice(first, stop - first), lower=True), k)
             hit = np.concatenate([[0], np.cumsum(index.held(values))])
             rows = []
             for j in np.flatnonzero(hit[begins[1:]] > hit[begins[:-1]]).tolist():
                 for item, start, distance, alike in index.search(values[begins[j] : begins[j + 1]], at_least):
                     item_id, words = index.items[item][:2]
-                    rows.append((doc_ids[j], item_id, start, words, distance, alike))
+                    rows.append((keys[j], item_id, start, words, distance, alike))
             columns = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
+            kinds = [got.column(0).type] + [pa.int64()] * 3 + [pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split(" ")[0] for x in LEAKS.split(", ")])
 
 
+def _item_shingles(batches, k: int):
+    """(text) -> (wording, shingle): the distinct shingles of each item; wordings tell texts of other words apart."""
+    for got in batches:
+        for first, stop in portions(got.column(0)):
+            words, begins = word_hashes(got.column(0).slice(first, stop - first), lower=True)
+            wordings = [xxhash.xxh3_64_intdigest(words[a:b].tobytes()) - (1 << 63) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+            values, starts = distinct(*shingles(words, begins, k))
+            out = np.repeat(np.array(wordings, np.int64), np.diff(starts))
+            yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(values.view(np.int64))], ["wording", "shingle"])
+
+
 def _passes(items: DataFrame, words_a_pass: int):
     """Blocks of items of a bounded number of words; one block is held at a time."""
     block, held = [], 0
@@ -174,31 +188,42 @@ def _passes(items: DataFrame, words_a_pass: int):
         yield block
 
 
-def leaks(
-    docs: DataFrame, benchmark: DataFrame, k: int = 5, at_least: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", words_a_pass: int = WORDS_A_PASS, radius: int = RADIUS,
+def _found(
+    rows: DataFrame, key: str, benchmark: DataFrame, k: int = 5, at_least: float = 0.8, item_col: str = "item_id", item_text_col: str = "text",
+    words_a_pass: int = WORDS_A_PASS, radius: int = RADIUS,
 ) -> DataFrame:
+    """The leaks of rows of a key, of the type that is given, and a text."""
+    spark = rows.sparkSession
+    schema = LEAKS.replace("doc_id long", f"doc_id {key}")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+    items = items.where("trim(text) <> ''").orderBy("item_id", "text")
+    shared = items.select("text").distinct().mapInArrow(partial(_item_shingles, k=k), "wording long, shingle long").distinct()
+    shared = written(shared.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared-shingles")
+    out = spark.createDataFrame([], schema)
+    for block in _passes(items, words_a_pass):
+        words, begins = word_hashes(pa.array([text for _, text in block], pa.string()), lower=True)
+        values, starts = shingles(words, begins, k)
+        own = spark.createDataFrame(pa.table({"shingle": np.unique(values).view(np.int64)}))
+        times = {r["shingle"]: r["n"] for r in shared.join(F.broadcast(own), "shingle").collect()}
+        index = Index([i for i, _ in block], values, starts, np.diff(begins), times, radius)
+        out = out.unionByName(rows.mapInArrow(partial(_search, index=index, k=k, at_least=at_least), schema))
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document and item that it holds: the most similar window, the first of equal ones.
 
     Similarity is the weighted Jaccard similarity of the multisets of k-word shingles, of
-    lower-cased (A-Z) words between ASCII white space; a shingle weighs one over the number of
-    items (of its pass) that have it, or 1. start_word counts words before the window.
+    lower-cased (A-Z) words between ASCII white space; a shingle of the item weighs one over the number of
+    distinct item texts that have it, any other the mean of the item's. start_word counts words before the
+    window.
 
     Defined cases: null or empty texts and items match nothing; an item of fewer than k words
     matches only documents that are this sequence; rows without an id are searched and give a null
     doc_id; repeated rows give repeated results; empty tables give no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    items = items.where("trim(text) <> ''").orderBy("item_id", "text")
-    out = spark.createDataFrame([], LEAKS)
-    for block in _passes(items, words_a_pass):
-        words, begins = word_hashes(pa.array([text for _, text in block], pa.string()), lower=True)
-        values, starts = shingles(words, begins, k)
-        index = Index([i for i, _ in block], values, starts, np.diff(begins), radius)
-        out = out.unionByName(rows.mapInArrow(partial(_search, index=index, k=k, at_least=at_least), LEAKS))
-    return out
+    return _found(rows, "long", benchmark, **options)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
