@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pytest
-
+import corpus_pipeline
 from tracemill.llm import decontaminate, line_rules
 
 DOCS = "doc_id long, text string, source string, n_chars long"
@@ -60,3 +59,24 @@ def test_repeated_items_and_passes_change_nothing(spark):
         assert sum(r["doc_id"] == 1 and text_of[r["item_id"]] == " ".join(own) for r in got) == times
         assert any(r["doc_id"] == 2 and text_of[r["item_id"]] == " ".join(near) for r in got)
     assert found[0] == found[1] == found[2]
+
+
+def test_cut_items_are_leaks_and_rows_without_id_go(spark):
+    own = [f"item{k}" for k in range(59)]
+    bench = spark.createDataFrame([(9, " ".join(own))], "item_id long, text string")
+    rows = [(1, " ".join(own[2:57])), (2, " ".join(own[:40])), (None, "so " + " ".join(own)), (None, "free of it"), (3, None), (3, " ".join(own))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.leaks(docs, bench).collect()
+    assert sorted((r["doc_id"] or -1, r["start_word"], round(r["similarity"], 6)) for r in got) == [(-1, 1, 1.0), (1, 0, round(51 / 55, 6)), (3, 0, 1.0)]
+    kept = decontaminate.clean(docs, bench)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id = 2 OR text = 'free of it' OR text IS NULL").collect()))
+
+
+def test_pipeline_joins_at_five_words_and_80_percent(spark):
+    body = [f"w{k}" for k in range(104)]
+    rows = [(1, " ".join(body)), (2, " ".join(body + [f"more{k}" for k in range(22)])), (3, " ".join(body + [f"tail{k}" for k in range(30)]))]
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    alike = [len(grams[0] & g) / len(grams[0] | g) for g in grams]
+    assert 0.8 <= alike[1] < 0.85 and alike[2] < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.without_copies(spark, docs, "").collect()) == [1, 3]

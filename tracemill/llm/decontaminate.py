@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm import line_rules
 from tracemill.llm.words import distinct, mixed, portions, shingles, word_hashes
 from tracemill.session import written
 
@@ -66,6 +67,11 @@ class Index:
             own = values[a:b]
             self.items.append((ids[k], int(words[k]), *self._bag(own)))
             self.by_size.setdefault(b - a, []).append((k, _packed(_votes(own).sum(0, keepdims=True))[0]))
+        self.prints = {k: p for rows in self.by_size.values() for k, p in rows}
+        self.sizes = np.diff(begins)
+        owned = np.concatenate([x[2] for x in self.items]) if self.items else values[:0]
+        order = np.argsort(owned, kind="stable")  # shingle -> the items that have it
+        self.owned, self.owner = owned[order], np.repeat(np.arange(len(self.items)), [len(x[2]) for x in self.items])[order]
         self.tables = {}
         for size, rows in self.by_size.items():
             prints = np.unpackbits(np.stack([p for _, p in rows]), axis=1)
@@ -118,8 +124,20 @@ class Index:
             for first in range(begin, end, VOTES_AT_ONCE):  # a part holds all windows that start in it
                 stop = min(end, first + VOTES_AT_ONCE + self.widest)
                 self._search_part(values, hits, first, stop, min(end, first + VOTES_AT_ONCE), at_least, found)
+        if len(values) < self.widest:
+            self._search_longer(values, at_least, found)
         return [(item, *best) for item, best in found.items()]
 
+    def _search_longer(self, values, at_least, found) -> None:
+        """Items of more shingles than the document has, which is the window as a whole; all that share enough are verified."""
+        kinds = np.unique(values)
+        first, stop = np.searchsorted(self.owned, kinds), np.searchsorted(self.owned, kinds, side="right")
+        near = np.concatenate([self.owner[a:b] for a, b in zip(first.tolist(), stop.tolist())]) if len(kinds) else self.owner[:0]
+        for item in np.unique(near).tolist():
+            if self.sizes[item] > len(values) and (alike := self.similarity(values, item)) >= at_least:
+                distance = int(np.bitwise_count(_packed(_votes(values).sum(0, keepdims=True))[0] ^ self.prints[item]).sum())
+                found[item] = (0, distance, alike)
+
     def _search_part(self, values, hits, first, stop, last, at_least, found) -> None:
         own = values[first:stop]
         total = np.concatenate([np.zeros((1, BITS)), np.cumsum(_votes(own), 0)])
@@ -216,7 +234,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Similarity is the weighted Jaccard similarity of the multisets of k-word shingles, of
     lower-cased (A-Z) words between ASCII white space; a shingle of the item weighs one over the number of
     distinct item texts that have it, any other the mean of the item's. start_word counts words before the
-    window.
+    window. An item that is longer than the document is held against the whole document.
 
     Defined cases: null or empty texts and items match nothing; an item of fewer than k words
     matches only documents that are this sequence; rows without an id are searched and give a null
@@ -226,7 +244,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return _found(rows, "long", benchmark, **options)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item, with all their columns; rows without an id cannot be named and stay."""
-    found = leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(found, id_col, "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that hold no item, with all their columns. Rows are told by their texts, so rows without an id go as well."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = _found(docs.select(F.md5(text.cast("binary")).alias("doc_id"), text.alias("text")), "string", benchmark, **options)
+    key = line_rules.fresh("_text_md5", docs)
+    found = found.select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, F.md5(text.cast("binary"))).join(found, key, "left_anti").select(docs.columns)
