@@ -25,8 +25,8 @@ def sound_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 85 % of four-word shingles."""
-    return jaccard.one_of_each(docs)
+    """One document of each group linked at 80 % of five-word shingles."""
+    return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
