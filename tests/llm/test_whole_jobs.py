@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import textwrap
+
 import corpus_pipeline
-from tracemill.llm import decontaminate, line_rules
+from tracemill.llm import decontaminate, licenses, line_rules
 
 DOCS = "doc_id long, text string, source string, n_chars long"
 
@@ -80,3 +82,15 @@ def test_pipeline_joins_at_five_words_and_80_percent(spark):
     assert 0.8 <= alike[1] < 0.85 and alike[2] < 0.8
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.without_copies(spark, docs, "").collect()) == [1, 3]
+
+
+def test_whole_licences_are_found_wrapped_and_embedded(spark):
+    before, after = own_words("before", 90), own_words("after", 90)
+    rows, expected = [], set()
+    for i, (name, text) in enumerate(licenses.LONG_TEMPLATES):
+        wrapped = textwrap.fill(text, 70, initial_indent=" * ", subsequent_indent=" * ")
+        rows += [(i, wrapped), (100 + i, f"{before}\n{wrapped}\n{after}"), (200 + i, f"{before} {text} {after}")]
+        expected |= {(k + i, name) for k in (0, 100, 200)}
+    rows += [(999, "Some page.\nThis work is licensed under a Creative Commons\nAttribution 4.0 International License.\nBye.")]
+    got = licenses.notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["license"]) for r in got if r["license"] != "BSD"} == expected | {(999, "CC-BY-4.0")}
