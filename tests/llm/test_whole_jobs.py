@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import textwrap
 
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from tracemill.llm import decontaminate, licenses, line_rules
+from tracemill.llm import decontaminate, licenses, line_rules, tokens
 
 DOCS = "doc_id long, text string, source string, n_chars long"
 
@@ -94,3 +99,15 @@ def test_whole_licences_are_found_wrapped_and_embedded(spark):
     rows += [(999, "Some page.\nThis work is licensed under a Creative Commons\nAttribution 4.0 International License.\nBye.")]
     got = licenses.notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["license"]) for r in got if r["license"] != "BSD"} == expected | {(999, "CC-BY-4.0")}
+
+
+@pytest.mark.parametrize("most", [200, 4_000_000])
+def test_added_tokens_are_encoded_as_the_library_does(most):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b  c", "plain text", "<|endoftext |>", "", "two\n <|endoftext|><|endoftext|> x"]
+    library = Tokenizer.from_file(path)
+    expected = [library.encode(text, add_special_tokens=False).ids for text in made]
+    got = []
+    for _, ids, begins in tokens.encoded(pa.array(made), tokens.encoder(path), most):
+        got += [ids[a:b].tolist() for a, b in zip(begins.tolist(), begins[1:].tolist())]
+    assert got == expected and expected[1] == [library.token_to_id("<|endoftext|>")]

@@ -1,7 +1,8 @@
 """Token ids of whole texts inside Arrow tasks, through the tokenizers library.
 
 Byte-level BPE never joins what lies before a single space and what follows it, when both
-neighbours of that space are not white space. Texts are therefore cut there, and the ids of
+neighbours of that space are not white space. Texts are therefore cut there, unless they hold an
+added token of the tokenizer, which the library finds first: these go to it whole. Of the others, the ids of
 each piece are looked up in a bounded cache; only pieces that are not in it reach the
 library: what such a piece holds is told apart by the tokenizer's own pattern and goes to its
 BPE model directly. The ids equal those of the whole text.
@@ -132,8 +133,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         made = json.loads(self.tokenizer.to_str())
+        self.added = [x["content"] for x in made.get("added_tokens") or [] if x["content"]]
         before = made.get("pre_tokenizer") or {}
         self.byte_level = (
             made.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True
@@ -153,7 +154,11 @@ class Encoder:
             raw = [self.whole(text) for text in texts.to_pylist()]
             return np.frombuffer(b"".join(raw), "<u4"), np.cumsum([0] + [len(x) // 4 for x in raw])
         self.pieces.age()
-        odd = np.flatnonzero(pc.match_substring_regex(texts, _BY_A_SPACE).to_numpy(zero_copy_only=False))
+        holds = np.zeros(len(texts), bool)
+        for mark in self.added:
+            holds |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        added = set(np.flatnonzero(holds).tolist())
+        odd = np.flatnonzero(holds | pc.match_substring_regex(texts, _BY_A_SPACE).to_numpy(zero_copy_only=False))
         cut = pc.split_pattern(texts, " ")
         begins = cut.offsets.to_numpy().astype(np.int64)
         begins -= begins[0]
@@ -164,7 +169,9 @@ class Encoder:
         word[begins[:-1]] = firsts.indices.to_numpy(zero_copy_only=False) + len(keys)
         ids = self.pieces.all_of(keys + firsts.dictionary.to_pylist())
         if len(odd):  # their pieces are replaced by one entry with the ids of the whole text
-            whole = [b"".join(map(self.pieces.__getitem__, self._cut(texts[k].as_py()))) for k in odd.tolist()]
+            whole = [
+                self.whole(texts[k].as_py()) if k in added else b"".join(map(self.pieces.__getitem__, self._cut(texts[k].as_py()))) for k in odd.tolist()
+            ]
             kept = np.ones(len(word), bool)
             for k in odd:
                 kept[begins[k] + 1 : begins[k + 1]] = False
