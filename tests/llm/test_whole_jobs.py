@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import textwrap
+from collections import Counter
 
 import public_tokenizers
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tracemill.llm import decontaminate, licenses, line_rules, tokens
+from tracemill.llm import decontaminate, licenses, line_rules, sharding, tokens
 
 DOCS = "doc_id long, text string, source string, n_chars long"
 
@@ -111,3 +112,13 @@ def test_added_tokens_are_encoded_as_the_library_does(most):
     for _, ids, begins in tokens.encoded(pa.array(made), tokens.encoder(path), most):
         got += [ids[a:b].tolist() for a, b in zip(begins.tolist(), begins[1:].tolist())]
     assert got == expected and expected[1] == [library.token_to_id("<|endoftext|>")]
+
+
+def test_equal_records_spread_over_buckets(spark):
+    """A bucket is one value of one row; the largest is looked at through the order that it leaves in the places."""
+    rows = [(None, None)] * 3000 + [(7, "equal text")] * 3000 + [(100 + i, f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.read_shards(spark, sharding.write_shards(docs, shards=9, bucket_bytes=8000)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+    in_shard = Counter((r["shard"], r["doc_id"] if r["doc_id"] in (None, 7) else "own") for r in got)
+    assert len(in_shard) == 27 and max(in_shard.values()) < 600

@@ -6,7 +6,8 @@ takes for one to fit in memory. Pass 2 puts each bucket in order, shuffles it wi
 number of records in earlier buckets plus its place in its own, and the shards are equal runs of
 places, so their counts differ by one at most.
 
-A record goes over the network once. The seed, the records and the partitions of the session
+Equal records that would fill a good part of a bucket are counted and numbered in chunks, and their
+numbers are hashed too, so they spread over the buckets. Every other record goes over the network once. The seed, the records and the partitions of the session
 define the order.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tracemill.session import new_folder, written
 
+#: Equal records of more than this part of a bucket's bytes are spread.
+HOT_PART = 8
 #: Bytes of a bucket, and bytes that a record counts besides its text.
 BUCKET_BYTES, RECORD_BYTES = 8_000_000, 8
 
@@ -28,7 +31,7 @@ def write_shards(
     """Write (doc_id, text, size, slot) in folders shard=0 ... and return the folder that holds them.
 
     Defined cases: a null text counts no bytes and stays null; null ids are allowed; repeated rows
-    are records of their own and share a bucket; with fewer records than shards some shards are
+    are records of their own and, if they are many, spread over the buckets; with fewer records than shards some shards are
     empty; an empty table gives an empty folder. Columns besides id and text are left out.
     """
     spark = docs.sparkSession
@@ -36,8 +39,21 @@ def write_shards(
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + RECORD_BYTES
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col)), F.lit(buckets)).cast("int")
-    rows = docs.select(bucket.alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), size.alias("size"))
+    bucket = lambda *x: F.pmod(F.xxhash64(F.lit(seed), *x), F.lit(buckets)).cast("int").alias("bucket")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), size.alias("size"))
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    # At most HOT_PART times as many keys as buckets are hot.
+    hot = keyed.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > bucket_bytes // HOT_PART) & (F.col("n") > 1))
+    hot = written(hot.select("key"), "hot")
+    rows = keyed.join(F.broadcast(hot), "key", "left_anti").select(bucket("doc_id", "text"), "doc_id", "text", "size")
+    if hot.count():
+        equal = keyed.join(F.broadcast(hot), "key", "left_semi").groupBy("doc_id", "text", "size").agg(F.count("*").alias("n"))
+        chunk = F.greatest(F.lit(1), F.floor(F.lit(bucket_bytes) / F.col("size"))).cast("long")  # records that one task makes of one row
+        chunks = equal.withColumn("chunk", chunk).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("chunk"))))
+        chunks = chunks.repartition("doc_id", "text", "first")
+        numbers = F.sequence("first", F.least(F.col("first") + F.col("chunk"), F.col("n")) - 1)
+        spread = chunks.withColumn("number", F.explode(numbers)).select(bucket("doc_id", "text", "number"), "doc_id", "text", "size")
+        rows = rows.unionByName(spread)
 
     # One row per bucket: how many records lie in earlier ones. Buckets are summed up in runs, so no task sees all of them.
     counts = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("bucket") / 1024)), "buckets")
