@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import chat, classifier, decontaminate, huffman, jaccard, licenses, line_rules, packing, sharding, urls
+from tracemill.llm import (
+    chat, classifier, collocations, credentials, decontaminate, huffman, interactions, jaccard, licenses, line_rules, packing, sharding, urls,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,10 +75,26 @@ def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.digests(sharding.read_shards(spark, sharding.write_shards(table(spark, folder, "documents"))))
 
 
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in all documents, as digests and counts."""
+    return credentials.digests(table(spark, folder, "documents"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 strongest phrases of each language."""
+    return collocations.phrases(table(spark, folder, "documents"))
+
+
+def op13_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes from each source, in every order."""
+    return interactions.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_leaks": op1_leaks, "op2_chats": op2_chats, "op3_packing": op3_packing, "op4_quality_rules": op4_quality_rules,
     "op5_licenses": op5_licenses, "op6_jaccard": op6_jaccard, "op7_token_ids": op7_token_ids, "op8_urls": op8_urls,
-    "op9_shards": op9_shards, "op10_classifier": op10_classifier,
+    "op9_shards": op9_shards, "op10_classifier": op10_classifier, "op11_secrets": op11_secrets, "op12_collocations": op12_collocations,
+    "op13_filters": op13_filters,
 }
 
 
@@ -102,4 +120,64 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id"""
 
 
-SQL: dict[str, str] = {"op2_chats": _chats_sql(chat.Template())}
+_FILTERS_SQL = r"""WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+firsts AS (SELECT text AS t, min(doc_id) AS first FROM words GROUP BY text),
+marks AS (SELECT doc_id AS l, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(words) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INT)
+    + 4 * CAST(100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) AS INT)
+    + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > first, false) AS INT) AS mask
+  FROM words JOIN firsts ON text = t LEFT JOIN marks ON doc_id = l),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, mask),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS before
+  FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step))
+SELECT part, filter_order, step,
+  CAST(sum(n) FILTER (mask & (CAST(before AS INT) | bit) = 0) AS BIGINT) AS kept,
+  CAST(sum(n) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) = 0) AS BIGINT) AS removed,
+  CAST(sum(n) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) <> 0) AS BIGINT) AS redundant,
+  CAST(sum(n) FILTER (mask = bit) AS BIGINT) AS unique_fails,
+  CAST(sum(good) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) = 0) AS BIGINT) AS good_lost,
+  CAST(sum(toxic) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) = 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (mask & bit <> 0) AS BIGINT) AS shapley
+FROM counts, steps GROUP BY part, filter_order, step"""
+
+#: Sums over no documents are zero.
+_FILTERS_SQL = "SELECT part, filter_order, step, " + ", ".join(
+    f"coalesce({c}, 0) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+) + f" FROM ({_FILTERS_SQL})"
+
+
+_PHRASES_SQL = r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+found AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS gram
+  FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+grams AS (SELECT lang, k, gram, count(*) AS f FROM found GROUP BY lang, k, gram),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, gram, f, string_split(gram, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
+inside AS (
+  SELECT DISTINCT p.lang, p.gram FROM candidates t, candidates p
+  WHERE t.k = 3 AND p.k = 2 AND t.lang = p.lang AND p.gram IN (array_to_string(t.w[1:2], ' '), array_to_string(t.w[2:3], ' ')) AND 100 * t.f >= 50 * p.f),
+cuts AS (
+  SELECT c.lang, c.gram, c.f AS a, i AS cut, l.f AS l, r.f AS r,
+    CAST((CAST(1000000 AS HUGEINT) * c.f * c.f) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM candidates c, (SELECT unnest([1, 2]) AS i), grams l, grams r
+  WHERE i < c.k AND l.lang = c.lang AND r.lang = c.lang AND l.gram = array_to_string(c.w[1:i], ' ') AND r.gram = array_to_string(c.w[i + 1:c.k], ' ')
+    AND NOT EXISTS (SELECT 1 FROM inside o WHERE o.lang = c.lang AND o.gram = c.gram)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank FROM best)
+SELECT lang, rank, gram AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+SQL: dict[str, str] = {"op2_chats": _chats_sql(chat.Template()), "op12_collocations": _PHRASES_SQL, "op13_filters": _FILTERS_SQL}
