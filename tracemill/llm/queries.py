@@ -166,15 +166,15 @@ found AS (
 grams AS (SELECT lang, k, gram, count(*) AS f FROM found GROUP BY lang, k, gram),
 totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
 candidates AS (SELECT lang, k, gram, f, string_split(gram, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
-inside AS (
-  SELECT DISTINCT p.lang, p.gram FROM candidates t, candidates p
-  WHERE t.k = 3 AND p.k = 2 AND t.lang = p.lang AND p.gram IN (array_to_string(t.w[1:2], ' '), array_to_string(t.w[2:3], ' ')) AND 100 * t.f >= 50 * p.f),
+longer AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS gram, f AS more FROM candidates WHERE k = 3),
+inside AS (SELECT DISTINCT c.lang, c.gram FROM candidates c JOIN longer o ON c.lang = o.lang AND c.gram = o.gram WHERE c.k = 2 AND 100 * more >= 50 * f),
+halves AS (
+  SELECT lang, gram, f AS a, cut, array_to_string(w[1:cut], ' ') AS lg, array_to_string(w[cut + 1:k], ' ') AS rg
+  FROM candidates ANTI JOIN inside USING (lang, gram), (SELECT unnest([1, 2]) AS cut) WHERE cut < k),
 cuts AS (
-  SELECT c.lang, c.gram, c.f AS a, i AS cut, l.f AS l, r.f AS r,
-    CAST((CAST(1000000 AS HUGEINT) * c.f * c.f) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
-  FROM candidates c, (SELECT unnest([1, 2]) AS i), grams l, grams r
-  WHERE i < c.k AND l.lang = c.lang AND r.lang = c.lang AND l.gram = array_to_string(c.w[1:i], ' ') AND r.gram = array_to_string(c.w[i + 1:c.k], ' ')
-    AND NOT EXISTS (SELECT 1 FROM inside o WHERE o.lang = c.lang AND o.gram = c.gram)),
+  SELECT h.lang, h.gram, a, cut, l.f AS l, r.f AS r,
+    CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM halves h JOIN grams l ON l.lang = h.lang AND l.gram = lg JOIN grams r ON r.lang = h.lang AND r.gram = rg),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank FROM best)
 SELECT lang, rank, gram AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
