@@ -59,12 +59,11 @@ def odd():
     return rows, labels
 
 
-def test_audit_equals_plain_orders(spark, odd, monkeypatch):
-    monkeypatch.setattr(interactions, "RANGES", 7)
+def test_audit_equals_plain_orders(spark, odd):
     rows, labels = odd
     docs = spark.createDataFrame([(*r, 1, "p", True, 2) for r in rows], DOCS + ", part int, mask string, good boolean, n long").repartition(5)
     marks = spark.createDataFrame([(*r, 3) for r in labels], LABELS + ", digest int")
-    got = [tuple(r) for r in interactions.audit(docs, marks).select(
+    got = [tuple(r) for r in interactions.audit(docs, marks, range_bytes=60_000).select(
         "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
     ).collect()]
     assert len(got) == 3 * 600 and set(got) == plain(rows, labels)
@@ -78,11 +77,10 @@ def test_empty_tables(spark, odd):
     assert len(got) == 600 and {r["good_lost"] for r in got} == {0}
 
 
-def test_matrix_holds_all_words(spark, odd, monkeypatch):
+def test_matrix_holds_all_words(spark, odd):
     """One number for a word in all shards, and the counts of the texts."""
     rows, _ = odd
-    monkeypatch.setattr(interactions, "RANGES", 3)
-    shards = interactions.matrix(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    shards = interactions.matrix(spark.createDataFrame(rows, DOCS).repartition(4), range_bytes=100_000).collect()
     assert len({s["shard"] for s in shards}) == len(shards) > 1
     number, seen, found = {}, {}, []
     texts = defaultdict(list)

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.llm.packs import pack, unpack
 from tracemill.llm.words import mixed, portions
 from tracemill.operators.skew import salted_join
 from tracemill.session import written
@@ -41,7 +42,6 @@ RUN_BYTES, BUCKET_BYTES = 8_000_000, 16_000_000
 SALTS = 64
 
 _PACKS = "lang string, width int, bucket long, gram string, n long, pack binary"
-_ZIP = pa.ipc.IpcWriteOptions(compression="zstd")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,18 +97,12 @@ def _packs(lang, words: pa.Array, hashes: np.ndarray, columns: list[np.ndarray],
     rows = []
     for own in np.split(order, cuts):
         used, codes = np.unique(np.concatenate([column[own] for column in columns]), return_inverse=True)
-        codes = codes.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).reshape(len(columns), -1)
-        fields = [words.take(pa.array(used)), *codes, n[own]]
-        batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], pa.array(x)) for x in fields], [f"c{i}" for i in range(len(fields))])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=_ZIP) as stream:
-            stream.write_batch(batch)
-        rows.append((int(bucket[own[0]]), sink.getvalue().to_pybytes()))
+        rows.append((int(bucket[own[0]]), pack(words.take(pa.array(used)), *codes.reshape(len(columns), -1), n[own])))
     k = len(rows)
     yield pa.RecordBatch.from_arrays(
         [
             pa.array([lang] * k, pa.string()), pa.array([len(columns)] * k, pa.int32()), pa.array([b for b, _ in rows], pa.int64()),
-            pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.array([pack for _, pack in rows], pa.binary()),
+            pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.array([data for _, data in rows], pa.binary()),
         ],
         [field.split()[0] for field in _PACKS.split(", ")],
     )
@@ -140,15 +134,12 @@ def _bucket(table: pa.Table, width: int, least: int, buckets: int) -> pa.Table:
     Packs of smaller widths are summed and sent on. The words' own bucket gives their total, with no gram.
     """
     lang, own = table["lang"][0].as_py(), table["width"][0].as_py()
-    read = []
-    for pack in table["pack"].to_pylist():
-        batch = pa.ipc.open_stream(pack).read_next_batch()
-        read.append([column.flatten() for column in batch.columns])
-    coded = pa.chunked_array([fields[0] for fields in read]).combine_chunks().dictionary_encode()
-    words, new = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    at = np.cumsum([0] + [len(fields[0]) for fields in read])
-    columns = [np.concatenate([new[a + fields[1 + i].to_numpy(zero_copy_only=False).astype(np.int64)] for a, fields in zip(at, read)]) for i in range(own)]
-    n = np.concatenate([fields[-1].to_numpy(zero_copy_only=False) for fields in read])
+    read = [unpack(data) for data in table["pack"].to_pylist()]
+    coded = pa.chunked_array([found for found, _ in read]).combine_chunks().dictionary_encode()
+    words, new = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.cumsum([0] + [len(found) for found, _ in read])
+    columns = [np.concatenate([new[a + arrays[i]] for a, (_, arrays) in zip(at, read)]) for i in range(own)]
+    n = np.concatenate([arrays[-1] for _, arrays in read])
     columns, n = _summed(columns, n, len(words))
     out = []
     if own == width:

@@ -2,9 +2,9 @@
 
 Documents are cut into shards of bounded size. A shard is a block of the matrix in CSR form: where
 each document's row begins, the word of each entry and how often it occurs there. Words of a shard
-are numbered by its own dictionary first; the dictionaries of all shards, not the words of all
-documents, are shuffled to number words over the whole table, and each shard's columns are then
-renamed. Row sums and numbers of entries decide the filters A and B; C and D are flags found with
+are numbered by its own dictionary first, by hash range and word. The dictionaries of all shards,
+not the words of all documents, are shuffled in packs of one range; there each word gets a number
+for the whole table, and each shard's columns are then renamed. Row sums and numbers of entries decide the filters A and B; C and D are flags found with
 the words; E compares texts by their SHA-256.
 
 Copies of one text are counted per part before they meet in one place, and the orders are counted
@@ -14,27 +14,30 @@ from 32 sums per part, one for each set of failed filters.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.packs import pack, unpack
 from tracemill.llm.words import portions
-from tracemill.session import written
+from tracemill.session import new_folder, written
 
-#: Bytes of texts in a shard; a longer text is a shard of its own.
-SHARD_BYTES = 8_000_000
-#: Hash ranges in which words are numbered.
-RANGES = 1 << 16
+#: Bytes of texts in a shard, where a longer text is a shard of its own, and per hash range of words.
+SHARD_BYTES, RANGE_BYTES = 8_000_000, 64_000_000
 FILTERS = "ABCDE"
 
-_DOCS = "doc_ids array<long>, parts array<string>, digests array<binary>, capitals array<boolean>, symbols array<boolean>, indptr array<long>"
-_SHARD = f"shard long, words array<string>, {_DOCS}, indices array<int>, counts array<int>"
-_MATRIX = f"shard long, {_DOCS}, indices array<long>, counts array<int>"
+_DOCS = "doc_ids array<long>, parts array<string>, digests array<binary>, capitals array<boolean>, symbols array<boolean>"
+_CSR = "indptr array<long>, indices array<{}>, counts array<int>"
+_SHARD = f"shard long, range long, pack binary, {_DOCS}, {_CSR.format('int')}"
+_MATRIX = f"shard long, {_DOCS}, {_CSR.format('long')}"
+_NAMES = "shard long, range long, pack binary"
 
 
 def _rows(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,9 +59,17 @@ def _rows(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray
     return words, np.searchsorted(key, np.arange(len(sizes) + 1) * width), key % width, counts
 
 
-def _shards(batches):
+def _one(values, kind: pa.DataType) -> pa.Array:
+    """A column of one list."""
+    return pa.ListArray.from_arrays([0, len(values)], pa.array(values).cast(kind) if len(values) else pa.array([], kind))
+
+
+def _shards(batches, ranges: int):
+    """Per shard a row with its CSR block, and a row with the pack of its words in each range."""
     number = TaskContext.get().partitionId() << 32
-    one = lambda values, kind: pa.array([values], pa.list_(kind))
+    kinds = [kind for _, kind in (field.split() for field in f"{_DOCS}, {_CSR.format('int')}".split(", "))]
+    arrow = {"array<long>": pa.int64(), "array<string>": pa.string(), "array<binary>": pa.binary(), "array<boolean>": pa.bool_(), "array<int>": pa.int32()}
+    names = [field.split()[0] for field in _SHARD.split(", ")]
     for got in batches:
         for first, stop in portions(got.column(2), SHARD_BYTES):
             ids, parts, texts = (pa.concat_arrays([c.slice(first, stop - first)]) for c in got.columns)
@@ -66,25 +77,58 @@ def _shards(batches):
             capitals = pc.count_substring_regex(texts, "[A-Z]").to_numpy(zero_copy_only=False).astype(np.int64)
             many = 100 * capitals > 5 * pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
             digests = [hashlib.sha256(text.encode()).digest() for text in texts.to_pylist()]
-            columns = [
-                pa.array([number], pa.int64()), one(words.cast(pa.string()), pa.string()), one(ids, pa.int64()), one(parts, pa.string()),
-                one(digests, pa.binary()), one(many, pa.bool_()), one(pc.match_substring_regex(texts, r"[#$%&*|]"), pa.bool_()),
-                one(indptr, pa.int64()), one(indices.astype(np.int32), pa.int32()), one(counts.astype(np.int32), pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [field.split()[0] for field in _SHARD.split(", ")])
+            # The words in the order of ranges, and sorted in each.
+            sorted_ = pc.array_sort_indices(words).to_numpy().astype(np.int64)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))[sorted_]
+            range_ = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            by_range = np.argsort(range_, kind="stable")
+            order = sorted_[by_range]
+            local = np.empty(len(words), np.int64)
+            local[order] = np.arange(len(words))
+            block = [ids, parts, digests, many, pc.match_substring_regex(texts, r"[#$%&*|]"), indptr, local[indices] if len(indices) else indices, counts]
+            columns = [_one(values, arrow[kind]) for values, kind in zip(block, kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *columns], names)
+            words, own = words.take(pa.array(order)), range_[by_range]
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            packs = [(int(own[a]), pack(words.slice(a, b - a))) for a, b in zip(cuts, cuts[1:]) if b > a]
+            k = len(packs)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number] * k, pa.int64()), pa.array([r for r, _ in packs], pa.int64()), pa.array([p for _, p in packs], pa.binary()),
+                    *[pa.nulls(k, c.type) for c in columns],
+                ],
+                names,
+            )
             number += 1
 
 
-def _renamed(block: pa.Table, names: pa.Table) -> pa.Table:
-    """A shard with the numbers that its words have in the whole table."""
-    number = np.zeros(names.num_rows, np.int64)
-    number[names["local"].to_numpy()] = names["word_id"].to_numpy()
-    indices = number[block["indices"].combine_chunks().flatten().to_numpy(zero_copy_only=False)]
-    at = block.schema.get_field_index("indices")
-    return block.set_column(at, "indices", pa.array([indices], pa.list_(pa.int64())))
+def _named(packs: pa.Table) -> pa.Table:
+    """The ranks of the words of each pack among all words of the range; they ascend, so their steps are sent."""
+    read = [unpack(data)[0] for data in packs["pack"].to_pylist()]
+    coded = pa.chunked_array(read).combine_chunks().dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    ranks = rank[coded.indices.to_numpy(zero_copy_only=False)]
+    at = np.cumsum([0] + [len(words) for words in read]).tolist()
+    none = pa.array([], pa.string())
+    steps = [pack(none, np.diff(ranks[a:b], prepend=0)) for a, b in zip(at, at[1:])]
+    return pa.Table.from_arrays([packs["shard"], packs["range"], pa.array(steps, pa.binary())], ["shard", "range", "pack"])
+
+
+def _renaming(ranges: int):
+    def renamed(block: pa.Table, names: pa.Table) -> pa.Table:
+        """A shard with the numbers that its words have in the whole table."""
+        packs = sorted(zip(names["range"].to_pylist(), names["pack"].to_pylist()))
+        number = [np.cumsum(unpack(data)[1][0]) * ranges + range_ for range_, data in packs]
+        indices = block["indices"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        indices = np.concatenate(number)[indices] if number else indices.astype(np.int64)
+        column = pa.ListArray.from_arrays([0, len(indices)], pa.array(indices, pa.int64()))
+        return block.set_column(block.schema.get_field_index("indices"), "indices", column)
+
+    return renamed
 
 
-def matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
+def matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The document-term matrix as written CSR shards.
 
     Per shard: doc_ids, parts, digests of the texts, capitals and symbols (the failure of C and D),
@@ -95,13 +139,16 @@ def matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    shards = written(rows.mapInArrow(_shards, _SHARD), "shards")
-    terms = shards.select("shard", F.posexplode("words").alias("local", "word")).withColumn("range", F.pmod(F.xxhash64("word"), F.lit(RANGES)))
-    rank = F.dense_rank().over(Window.partitionBy("range").orderBy("word")).cast("long")
-    names = terms.select("shard", "local", ((rank - 1) * RANGES + F.col("range")).alias("word_id"))
-    # A shard without any word has no row in names; its block comes through with no entries.
-    found = shards.drop("words").groupBy("shard").cogroup(names.groupBy("shard")).applyInArrow(_renamed, _MATRIX)
-    return written(found, "matrix")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = size // range_bytes + 1
+    shards = written(rows.mapInArrow(partial(_shards, ranges=ranges), _SHARD), "shards")
+    names = shards.where("range IS NOT NULL").select("shard", "range", "pack").groupBy("range").applyInArrow(_named, _NAMES)
+    # A shard without any word has no names; its block comes through with no entries.
+    blocks = shards.where("range IS NULL").drop("range", "pack")
+    found = blocks.groupBy("shard").cogroup(names.groupBy("shard")).applyInArrow(_renaming(ranges), _MATRIX)
+    path = new_folder(docs.sparkSession, "matrix")
+    found.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def judged(shards: DataFrame) -> DataFrame:
@@ -177,7 +224,9 @@ def orders(counts: DataFrame) -> DataFrame:
     )
 
 
-def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
+def audit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", range_bytes: int = RANGE_BYTES,
+) -> DataFrame:
     """Per part, order of the filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
     Failure: A under 50 words; B 100 * distinct words < 65 * words; C 100 * capitals A-Z > 5 * code
@@ -188,4 +237,4 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     other; of repeated labels of an id any 1 counts; null labels are 0; an empty table gives no rows.
     Other columns are not read.
     """
-    return orders(_counted(judged(matrix(docs, id_col, text_col, part_col)), labels, id_col))
+    return orders(_counted(judged(matrix(docs, id_col, text_col, part_col, range_bytes)), labels, id_col))
