@@ -47,9 +47,9 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The distinct words of some texts, and all words in order as codes, with -1 where a piece ends."""
-    lower = pc.ascii_lower(texts.cast(pa.large_string()))
+    texts = texts.cast(pa.large_string())
     # A separator is never part of a word, so one of them can stand for all.
-    closed = pc.binary_join_element_wise(lower, pa.scalar(".", lower.type), pa.scalar("", lower.type))
+    closed = pc.binary_join_element_wise(texts, pa.scalar(".", texts.type), pa.scalar("", texts.type))
     apart = pc.replace_substring_regex(closed, r"[.,;:!?\x0A-\x0D]", " . ")
     coded = pc.ascii_split_whitespace(apart).flatten().dictionary_encode()
     words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -59,9 +59,12 @@ def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         if at >= 0:
             new[at] = value
     real = new >= 0
-    new[real] = np.arange(real.sum())
+    # Only distinct words are lower-cased, A-Z alone.
+    kept = words.filter(pa.array(real)).to_pylist()
+    lower = pa.array([word.lower() if word.isascii() else word.encode().lower().decode() for word in kept], pa.string()).dictionary_encode()
+    new[real] = lower.indices.to_numpy(zero_copy_only=False)
     code = new[code]
-    return words.filter(pa.array(real)).cast(pa.string()), code[code != -2]
+    return lower.dictionary, code[code != -2]
 
 
 def _summed(columns: list[np.ndarray], n: np.ndarray, words: int) -> tuple[list[np.ndarray], np.ndarray]:
