@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folder that tables are written below while a scratch scope is open.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+#: Makes Spark remove the shuffle files of a query as soon as the query has ended.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -38,16 +46,53 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """Path of a fresh folder inside the shared one."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """Path of a fresh folder inside the shared one, or inside the open scratch scope."""
+    return f"{_SCRATCH.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has made, on whatever file system it lies."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table that several later steps read to the shared folder and read it back.
 
     The lineage ends at the files, so a lost executor costs no recomputation of what came
-    before.
+    before, and the shuffle files of the write, which nothing needs any more, are removed.
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = new_folder(spark, name), spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A scope whose written tables are deleted at its end.
+
+    What is to outlive it is written by the function that the scope gives, which puts a table
+    where the scope was opened. A table that still reads from the scope must not leave it
+    otherwise. Scopes may be nested.
+    """
+    outer = _SCRATCH.get()
+    folder = new_folder(spark, "scratch")
+    token = _SCRATCH.set(folder)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inner = _SCRATCH.set(outer)
+        try:
+            return written(df, name)
+        finally:
+            _SCRATCH.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        delete_folder(spark, folder)
