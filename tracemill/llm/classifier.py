@@ -131,11 +131,15 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def _taught(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """(doc_id, label): the labels outside the held-out fifth."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    return known.where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
+
+
 def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> Model:
     """Learn from all labelled rows outside the held-out fifth; rows has (doc_id, x)."""
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    known = known.where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
-    taught = rows.join(known, "doc_id").select("x", "label")
+    taught = rows.join(_taught(labels, label_col, id_col), "doc_id").select("x", "label")
     sums = taught.mapInArrow(_moments, "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v"))
     totals = np.zeros((2, 1 + SIZE + SIZE * SIZE))
     for label, at, v in sums.collect():
@@ -172,6 +176,8 @@ def _accepted(batches, model: Model, at: int, cut: float):
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """The documents that are predicted to be of class 1, with all their columns; texts are read once to learn and once to judge."""
-    model = fit(vectors(docs, id_col, text_col), labels, label_col, id_col)
+    """The documents that are predicted to be of class 1, with all their columns; statistics are taken of labelled texts to learn and of all to judge."""
+    labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    labelled = labelled.join(_taught(labels, label_col, id_col).select("doc_id"), "doc_id", "left_semi")
+    model = fit(vectors(labelled), labels, label_col, id_col)
     return docs.mapInArrow(partial(_accepted, model=model, at=docs.columns.index(text_col), cut=cut), docs.schema)

@@ -26,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
+from tracemill.llm import line_rules
 from tracemill.llm.components import components
 from tracemill.llm.words import distinct, mixed, portions, shingles, word_hashes
-from tracemill.session import written
+from tracemill.session import scratch, written
 
 #: Partitions of the universe that a set with too many empty units goes through; the last keeps them.
 LEVELS = 8
@@ -41,6 +43,9 @@ ROW_COST, SHARED = 30.0, 1e-3
 #: needed are built, and the join drops them.
 MOST_BITS = 1 << 26
 
+#: Classes of shingles whose parity is kept per set, as longs; and equal sets that a task remembers.
+PARITY, SEEN = 16, 200_000
+
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
 
@@ -97,8 +102,11 @@ def _of_text(begins: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(begins) - 1), np.diff(begins))
 
 
+_BITS = [f"b{i}" for i in range(PARITY)]
+
+
 def _features(batches, k: int):
-    """Per document: set size, a 128-bit key of the set, and the parity of its shingles in 256 classes."""
+    """Per document: set size, a 128-bit key of the set, and the parity of its shingles in 64 * PARITY classes."""
     for got in batches:
         for first, stop in portions(got.column(1)):
             values, begins = _sets(got.column(1).slice(first, stop - first), k)
@@ -107,12 +115,13 @@ def _features(batches, k: int):
             for salt in (1, 2):
                 low, high = _sums(mixed(values + np.uint64(salt)), text, n)
                 keys.append(mixed(low + mixed(high)).view(np.int64))
-            parity = np.bincount(text * 256 + (values & np.uint64(255)).astype(np.int64), minlength=n * 256) & 1
-            bits = np.packbits(parity.astype(np.uint8).reshape(n, 256), axis=1).view(np.int64)
+            classes = 64 * PARITY
+            parity = np.bincount(text * classes + (values & np.uint64(classes - 1)).astype(np.int64), minlength=n * classes) & 1
+            bits = np.packbits(parity.astype(np.uint8).reshape(n, classes), axis=1).view(np.int64)
             columns = [np.diff(begins), *keys, *bits.T]
             yield pa.RecordBatch.from_arrays(
                 [got.column(0).slice(first, n), *[pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns]],
-                ["doc_id", "n", "ka", "kb", "b0", "b1", "b2", "b3"],
+                ["doc_id", "n", "ka", "kb", *_BITS],
             )
 
 
@@ -157,9 +166,11 @@ def _signatures_of(doc, begins, values, band, units, merged, spare):
 
 def _signatures(batches, k: int, low: np.ndarray, units: np.ndarray, merged: np.ndarray, spare: np.ndarray, percent: int):
     """Signatures of each set in its band and, as the smaller side, in the next; equal sets of a task once."""
-    seen: set[bytes] = set()
+    seen: set[tuple[int, int]] = set()
     for got in batches:
         for first, stop in portions(got.column(1)):
+            if len(seen) > SEEN:
+                seen.clear()  # sets that come again only give their signatures again
             values, begins = _sets(got.column(1).slice(first, stop - first), k)
             doc = got.column(0).slice(first, stop - first).to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = np.diff(begins)
@@ -217,7 +228,7 @@ def _linked(batches, percent: int):
 def _alike(a: str, b: str, percent: int):
     """A sure test on sizes and bitmaps that two sets could be linked: they differ in as many shingles as classes of odd difference, at least."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    apart = sum((F.bit_count(x(f"b{i}").bitwiseXOR(y(f"b{i}"))) for i in range(1, 4)), F.bit_count(x("b0").bitwiseXOR(y("b0"))))
+    apart = sum((F.bit_count(x(b).bitwiseXOR(y(b))) for b in _BITS[1:]), F.bit_count(x("b0").bitwiseXOR(y("b0"))))
     both = x("n") + y("n")
     return (
         (apart * (100 + percent) <= both * (100 - percent))
@@ -239,13 +250,19 @@ def join(
     rows each get the same result; rows of one id with different texts count as one document
     whose texts are linked. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        return keep(_joined(rows, k, percent, row_cost), "components")
+
+
+def _joined(rows: DataFrame, k: int, percent: int, row_cost: float) -> DataFrame:
+    """The join of (doc_id, text)."""
     found = written(
-        rows.mapInArrow(partial(_features, k=k), "doc_id long, n long, ka long, kb long, b0 long, b1 long, b2 long, b3 long"), "sets"
+        rows.mapInArrow(partial(_features, k=k), ", ".join(f"{c} long" for c in ("doc_id", "n", "ka", "kb", *_BITS))), "sets"
     )
     able = found.where("doc_id IS NOT NULL AND n > 0")
     classes = able.groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep"))
-    members = written(able.join(classes, ["ka", "kb", "n"]).select("doc_id", "rep", "n", "b0", "b1", "b2", "b3").distinct(), "members")
+    members = written(able.join(classes, ["ka", "kb", "n"]).select("doc_id", "rep", "n", *_BITS).distinct(), "members")
 
     # Sets of each size are counted over all documents; a band has one row.
     largest = members.agg(F.max("n")).first()[0] or 1
@@ -326,8 +343,13 @@ def join(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without those that are linked to one of a smaller id, with all their columns.
 
-    Of repeated ids one row stays. Rows without an id take no part and stay.
+    Rows of one id count as one document; of these the one with the smallest hash of its columns
+    stays. Rows without an id take no part and stay.
     """
-    found = join(docs, id_col=id_col, **options).where("doc_id = component_id")
-    chosen = docs.join(found.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi").dropDuplicates([id_col])
+    found = join(docs, id_col=id_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    own, least = line_rules.fresh("_row", docs), line_rules.fresh("_least", docs)
+    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
+    rows = docs.withColumn(own, F.xxhash64(*plain))
+    first = rows.groupBy(id_col).agg(F.min(own).alias(least))
+    chosen = rows.join(found, id_col, "left_semi").join(first, id_col).where(F.col(own) == F.col(least)).dropDuplicates([id_col])
     return chosen.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

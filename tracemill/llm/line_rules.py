@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tracemill.llm.words import portions, shingles, word_hashes
-from tracemill.session import written
+from tracemill.session import scratch, written
 
 #: A line is boilerplate in more than so many of a host's distinct texts. A caller may also ask for a share of them;
 #: by default the number decides alone, since a share lets a line repeat the more, the more data there are.
 LIMIT_SHARE, LIMIT_DOCS = 0.0, 6
 #: Boilerplate may be this share of a document's words.
 DEPLETED = 0.3
-#: Rows of a broadcast table; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of a broadcast table; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 16_000_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -135,8 +135,11 @@ def _stripped(batches, at: int, chars: int | None):
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A written table, with a hint for a broadcast where it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A written table, with a hint for a broadcast where it is small: 64 bytes a row and 8 for each hash in a list."""
+    lists = F.coalesce(F.size("gone"), F.lit(0)) if "gone" in df.columns else F.lit(0)
+    host = next((c for c in ("h", "host") if c in df.columns), None)
+    size = F.lit(64) + 8 * lists + (F.coalesce(F.octet_length(host), F.lit(0)) if host else F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _judged(
@@ -196,7 +199,8 @@ def verdicts(docs: DataFrame, **options) -> DataFrame:
     rows without an id, repeated rows and ties get the verdict of their text and host; an empty
     table gives no rows. Other columns are not read.
     """
-    return _judged(docs, **options).drop("gone")
+    with scratch(docs.sparkSession) as keep:
+        return keep(_judged(docs, **options).drop("gone"), "verdicts")
 
 
 def _digests(batches, at: int, name: str):
@@ -213,8 +217,9 @@ def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", c
     Where lines were taken out, the column of the length, if there is one, is that of the new text.
     """
     own, host, digest, gone = (fresh(name, docs) for name in ("_own", "_host", "_digest", "_gone"))
-    found = _judged(docs, text_col=text_col, host_col=host_col, **options).where("kept")
-    found = found.groupBy(F.col("host").alias(host), F.col("digest").alias(digest)).agg(F.first("gone").alias(gone))
+    with scratch(docs.sparkSession) as keep:
+        found = _judged(docs, text_col=text_col, host_col=host_col, **options).where("kept")
+        found = keep(found.groupBy(F.col("host").alias(host), F.col("digest").alias(digest)).agg(F.first("gone").alias(gone)), "kept")
     schema = StructType([*docs.schema.fields, StructField(own, BinaryType())])
     marked = docs.mapInArrow(partial(_digests, at=docs.columns.index(text_col), name=own), schema)
     same = F.col(own).eqNullSafe(F.col(digest)) & F.col(host_col).cast("string").eqNullSafe(F.col(host))
