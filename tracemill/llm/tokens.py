@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from tracemill.llm.words import release_memory
+from tracemill.llm.words import FORGET, release_memory
 
 #: Pieces per generation of the cache of a Python worker, about 45 MB; two generations are kept,
 #: and what the older one still serves moves to the younger.
@@ -198,6 +198,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+#: Other work in the same Python worker frees the tokenizers and their caches.
+FORGET.append(_ENCODERS.clear)
+
+
 def encoded(texts: pa.Array, tokens: Encoder, most: int = BYTES_AT_ONCE):
     """For runs of texts of about so many bytes: the position of the first, the ids, where each text begins."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)

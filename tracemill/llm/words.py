@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ def release_memory() -> None:
         _LIBC.malloc_trim(0)
 
 
+#: Functions that drop what another operator has cached in this Python worker.
+FORGET: list[Callable[[], None]] = []
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values after which all bits depend on all bits."""
     x = x.astype(np.uint64)
@@ -42,7 +47,9 @@ _POSITION = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def portions(texts: pa.Array, most: int = BYTES_AT_ONCE):
-    """(first, stop) of runs of texts of about so many bytes."""
+    """(first, stop) of runs of texts of about so many bytes. What a worker has cached for other work is dropped."""
+    for forget in FORGET:
+        forget()
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
     first = 0
     while first < len(texts):
