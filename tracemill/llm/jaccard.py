@@ -279,9 +279,10 @@ def _joined(rows: DataFrame, k: int, percent: int, row_cost: float) -> DataFrame
         partial(_signatures, k=k, low=low, units=units, merged=merged, spare=spare, percent=percent), "sig long, doc_id long, whole boolean"
     )
     by = Window.partitionBy("sig")
-    shared = (
+    # Written by itself, so the shuffle of all signatures is gone before what is shared is joined.
+    shared = written(
         emitted.withColumn("x", F.min("doc_id").over(by)).withColumn("y", F.max("doc_id").over(by))
-        .where("x <> y").select("sig", "doc_id", "whole")
+        .where("x <> y").select("sig", "doc_id", "whole"), "shared"
     )
     reps = members.select("doc_id", "rep").distinct()
     hits = written(shared.join(reps, "doc_id").groupBy("sig", "rep").agg(F.max("whole").alias("whole")), "hits")
