@@ -53,16 +53,6 @@ def test_parquet_needs_columns(spark, tmp_path):
     assert S.read_parquet(spark, str(tmp_path / "p"), ["id"]).count() == 1
 
 
-def test_resume(spark):
-    path = new_folder(spark, "resume")
-    rows = spark.range(30).select(F.pmod("id", F.lit(3)).alias("cell"), "id")
-    add = lambda part: S.append_unfinished(part, path, ["cell"], 10, ["id"]).count()
-    assert add(rows.where("cell = 0 OR id < 6")) == 14
-    assert add(rows) == 16
-    assert add(rows) == 0
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(30))
-
-
 def test_running_lift_over_a_folder_of_parts(spark, tables, tmp_path):
     from tracemill.plans.registry import QUERIES
 

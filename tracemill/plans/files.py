@@ -12,7 +12,7 @@ from ..functions import messages as M
 from ..functions.text import lines_of
 from ..operators import episodes as E, turns as T
 from ..session import new_folder
-from ..sources import files as S
+from ..sources import batches as B, files as S
 from ..streaming import rollouts as L
 from .chat import _ARMS_SQL, _FACTS, _SPLIT, ARMS, split_records
 from .tables import SHAPES, as_int, query, rounded, shape, table, with_shapes
@@ -51,8 +51,8 @@ rows AS (
   UNION ALL SELECT doc_id, 4, 'note', '' FROM firsts)"""
 
 
-def trace_documents(spark, sf):
-    """One JSON document with one trace per line, spelled as the raw dumps are."""
+def trace_documents(spark, sf, *keep):
+    """One JSON document with one trace per line, spelled as the raw dumps are, behind the columns to keep."""
     doc, line = F.col("doc_id"), F.get(lines_of(F.col("text")), F.lit(0))
 
     def v(column):
@@ -81,7 +81,7 @@ def trace_documents(spark, sf):
         arguments, F.lit('}},{"id":"d","type":"function","function":{"arguments":"{}"}}]},{"role":"tool","content":'), result,
         F.lit('},{"role":"assistant","content":'), text, F.lit('},{"role":"note"}]}],"count":1}'),
     )
-    return table(spark, sf, "documents").select(parts.alias("value"))
+    return table(spark, sf, "documents").select(*keep, parts.alias("value"))
 
 
 @query("normal_messages", "WITH " + _TRACE_ROWS.replace("{{", "{").replace("}}", "}") + """
@@ -175,12 +175,13 @@ def step_files(spark, sf):
 first AS (SELECT arm, step, count(*) AS n FROM rollouts WHERE hit GROUP BY arm, step)
 SELECT r.rollout_id, r.arm, r.step FROM rollouts r LEFT JOIN first f USING (arm, step) WHERE r.hit OR coalesce(f.n, 0) < 20""")
 def resumed_batch(spark, sf):
-    """A first run saves part of the cells; the second appends what cells short of 20 lack. All that is stored comes back."""
+    """A first run saves part of the cells; the second appends what cells short of 20 lack. All that is committed comes back."""
     runs = shape(spark, sf, "rollouts").select("rollout_id", "arm", "step", "hit")
     out = new_folder(spark, "cells")
     for part in (runs.where("hit"), runs):
-        S.append_unfinished(part.drop("hit"), out, ["arm", "step"], 20, ["rollout_id"])
-    return spark.read.parquet(out).select("rollout_id", "arm", "step")
+        B.append_unfinished(part.drop("hit"), out, ["arm", "step"], 20, ["rollout_id"])
+        B.save(part.drop("hit"), out, ["arm", "step"])  # of a run that dies before it commits
+    return B.read_committed(spark, out).select("rollout_id", "arm", "step")
 
 
 # -- streams ---------------------------------------------------------------------------------

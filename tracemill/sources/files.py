@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.messages import RAW_MESSAGES
 from ..operators.records import require_columns
-from ..operators.skew import salted_join
 
 # Fields of a raw trace, a probe battery, a log-prob battery, a training log.
 TRACE = (
@@ -121,39 +118,3 @@ def read_steps(spark: SparkSession, path: str, schema: str, prefix: str = "step_
     """Trajectory files with the step taken from the file or folder name; a broken line is an error."""
     found = F.regexp_extract(F.input_file_name(), rf"{prefix}([0-9]+)[^0-9]", 1)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("step", found.try_cast("bigint"))
-
-
-def append_unfinished(
-    results: DataFrame, path: str, keys: Sequence[str], target: int, row_key: Sequence[str]
-) -> DataFrame:
-    """Append results of cells that have fewer than ``target`` rows at ``path`` already.
-
-    Rows of such a cell that are saved, by ``row_key``, are not saved again. Returns the rows
-    appended, read back by batch, so nothing is computed twice. A cell with many rows is cut
-    into pieces on its way to the list of finished cells.
-    """
-    spark = results.sparkSession
-    batch = f"b-{uuid.uuid4().hex}"
-    todo = results
-    saved = _saved(spark, path)
-    if saved is not None:
-        counts = saved.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        finished = counts.where(F.col("n") >= target).select(*keys)
-        todo = salted_join(
-            results, finished, keys, results.columns, "left_anti", counted=results.select(*keys)
-        ).select(results.columns)
-        known = [F.col(key).alias(f"_saved_{key}") for key in row_key]
-        same = [F.col(key).eqNullSafe(F.col(f"_saved_{key}")) for key in row_key]
-        todo = todo.join(saved.select(*known), same, "left_anti")
-    todo.write.mode("append").parquet(f"{path}/batch={batch}")
-    return spark.read.parquet(path).where(F.col("batch") == batch).drop("batch")
-
-
-def _saved(spark: SparkSession, path: str) -> DataFrame | None:
-    """What is stored at ``path``, or None when nothing is."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
