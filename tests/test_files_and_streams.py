@@ -113,6 +113,54 @@ def test_closed_episodes_stay_closed_and_are_cleared(spark, tmp_path):
     assert sorted((r["episode_id"], r["reason"]) for r in out.collect()) == [(1, "parse_fail"), (8, "timeout")]
 
 
+def test_episode_state_needs_no_python(spark, tmp_path):
+    """The plan of the stream holds no Python worker; turns that come twice, late or never are told apart."""
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    row = lambda e, t, ends, why, won, hit, minute: (e, "x", t, ends, why, won, hit, start + datetime.timedelta(minutes=minute))
+    schema = "episode_id bigint, arm string, turn int, ends boolean, reason string, reward double, hit boolean, ts timestamp"
+    batches = [
+        [row(1, 1, False, None, 0.0, False, 1), row(1, 3, True, "ok", 1.0, True, 3), row(2, 3, True, "ok", 1.0, True, 3), row(3, 1, False, None, 0.0, True, 1)],
+        [row(1, 2, False, None, 0.0, False, 2), row(1, 2, False, None, 0.0, False, 2), row(3, 2, True, "exit_1", 0.0, False, 2), row(4, 9, True, "ok", 1.0, False, 2)],
+        [row(8, 1, False, None, 0.0, False, 300)],
+        [row(8, 2, False, None, 0.0, False, 301)],
+        [row(1, 1, True, "parse_fail", 0.0, False, 1)],  # far behind the watermark
+    ]
+    stream = L.live_episodes(stream_of(spark, tmp_path, batches, schema), late="10 minutes")
+    got = {r["episode_id"]: (r["turn"], r["reason"], r["reward"], r["hit"], r["whole"]) for r in L.run_appends(stream).collect()}
+    assert got == {
+        1: (3, "ok", 1.0, True, True), 2: (3, "ok", 1.0, True, False), 3: (2, "exit_1", 0.0, True, True), 4: (9, "ok", 1.0, False, False),
+    }
+    plan = stream._jdf.queryExecution().logical().toString()
+    assert "SessionWindow" in plan or "session_window" in plan
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_end_of_input_closes_all(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    schema = "episode_id bigint, arm string, turn int, ends boolean, reason string, reward double, hit boolean, ts timestamp"
+    rows = [(i, "x", 1, i % 2 == 0, "ok" if i % 2 == 0 else None, 1.0, False, start + datetime.timedelta(days=i)) for i in range(6)]
+    df, path = spark.createDataFrame(rows, schema), str(tmp_path / "in")
+    df.write.parquet(path)
+    L.with_end_of_input(df, path)
+    got = L.run_appends(L.live_episodes(spark.readStream.schema(schema).parquet(path))).collect()
+    assert sorted((r["episode_id"], r["reason"]) for r in got) == [(i, "ok" if i % 2 == 0 else "timeout") for i in range(6)]
+
+
+def test_repeated_files_and_empty_folders(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    schema = "rollout_id bigint, ts timestamp, arm string, reward double, hit boolean"
+    rows = [(i, day + datetime.timedelta(hours=i), "a", float(i % 2), i % 3 == 0) for i in range(20)]
+    counts = lambda batches, name: L.run_updates(L.windowed_counts(stream_of(spark, tmp_path / name, batches, schema), late="3 days", rollout_id="rollout_id"))
+    once = sorted(tuple(r) for r in counts([rows], "once").collect())
+    assert sorted(tuple(r) for r in counts([rows[:12], rows[:12], rows, rows[5:]], "more").collect()) == once
+    (tmp_path / "nothing").mkdir()
+    empty = spark.readStream.schema(schema).parquet(str(tmp_path / "nothing"))
+    got = L.run_updates(L.windowed_counts(empty))
+    assert got.collect() == [] and got.columns == ["start", "arm", "n", "n_won", "n_lost", "hits_won", "hits_lost"]
+    turns = "episode_id bigint, arm string, turn int, ends boolean, reason string, reward double, hit boolean, ts timestamp"
+    assert L.run_appends(L.live_episodes(spark.readStream.schema(turns).parquet(str(tmp_path / "nothing")))).collect() == []
+
+
 def test_one_document_is_rewritten_once(spark, tmp_path):
     """A document over many lines becomes Parquet with the same traces, repeated ones too."""
     traces = [{"task_id": str(i), "model": None if i % 3 else "m", "reward": {"success": i % 2 == 0, "score": [1, "0.5", None][i % 3]},

@@ -186,16 +186,33 @@ def resumed_batch(spark, sf):
 
 # -- streams ---------------------------------------------------------------------------------
 
-@query("running_lift", with_shapes("rollouts") + """
+_LIFT_SQL = with_shapes("rollouts") + """
 SELECT date_trunc('day', ts) AS start, arm, count(*) AS n, round(avg(reward), 6) AS pass_rate,
-  round(avg(CAST(hit AS INT)) FILTER (reward = 1) - avg(CAST(hit AS INT)) FILTER (reward = 0), 6) AS lift FROM rollouts GROUP BY ALL""")
-def running_lift(spark, sf):
+  round(avg(CAST(hit AS INT)) FILTER (reward = 1) - avg(CAST(hit AS INT)) FILTER (reward = 0), 6) AS lift FROM rollouts GROUP BY ALL"""
+
+
+def arriving(spark, sf):
+    """Rollouts of the table as a stream, with event times."""
     source, columns = SHAPES["rollouts"]
-    stream = L.table_stream(spark, sf, source).selectExpr(*columns)
     utc = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")
-    lift = L.lift_of(L.run_updates(L.windowed_counts(stream.withColumn("ts", utc))))
+    return L.table_stream(spark, sf, source).selectExpr(*columns).withColumn("ts", utc)
+
+
+def lift_rows(counts):
     naive = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("start").cast("timestamp_ntz"))
-    return rounded(lift, "pass_rate", "lift").withColumn("start", naive)
+    return rounded(L.lift_of(L.run_updates(counts)), "pass_rate", "lift").withColumn("start", naive)
+
+
+@query("running_lift", _LIFT_SQL)
+def running_lift(spark, sf):
+    return lift_rows(L.windowed_counts(arriving(spark, sf)))
+
+
+@query("repeated_rollouts", _LIFT_SQL)
+def repeated_rollouts(spark, sf):
+    """Every rollout is delivered twice and counts once."""
+    twice = arriving(spark, sf).unionByName(arriving(spark, sf))
+    return lift_rows(L.windowed_counts(twice, late="400 days", rollout_id="rollout_id"))
 
 
 @query("live_episodes", with_shapes("problems", "attempts", times=6) + ", " + _GRADES + f""",
@@ -214,6 +231,7 @@ def live_episodes(spark, sf):
     judged = E.judged_turns(turns).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp") + minute)
     arrived = new_folder(spark, "turns")
     S.write_parquet(judged, arrived)
+    L.with_end_of_input(judged, arrived)
     stream = spark.readStream.schema(judged.schema).parquet(arrived)
     closed = L.run_appends(L.live_episodes(stream))
     return closed.select("episode_id", "arm", "turn", "reason", as_int(F.col("hit")).alias("hit"))

@@ -50,6 +50,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{_SCRATCH.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library has made, on whatever file system it lies."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.episodes import MAX_TURNS
-from ..session import new_folder
+from ..session import folder_exists, new_folder
 
 OPEN_SECONDS = 3600
 
 
-def windowed_counts(rollouts: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
+def windowed_counts(rollouts: DataFrame, late: str = "1 hour", width: str = "1 day", rollout_id: str | None = None) -> DataFrame:
     """Counts behind pass rate and success lift, per arm and window of ``ts``.
 
     Counts add up, so every batch only updates a few numbers per open window; a window is
-    forgotten once the watermark has passed it.
+    forgotten once the watermark has passed it. With ``rollout_id`` a rollout that is delivered
+    more than once counts once; its id is remembered as long as it could come again, which is
+    while the watermark has not passed it.
     """
     won, lost = F.col("reward") == 1.0, F.col("reward") == 0.0
+    marked = rollouts.withWatermark("ts", late)
+    if rollout_id is not None:
+        marked = marked.dropDuplicatesWithinWatermark([rollout_id])
     return (
-        rollouts.withWatermark("ts", late)
+        marked
         .groupBy(F.window("ts", width), "arm")
         .agg(
             F.count(F.lit(1)).alias("n"), F.count_if(won).alias("n_won"), F.count_if(lost).alias("n_lost"),
@@ -55,76 +57,56 @@ def run_updates(counts: DataFrame, keys: tuple[str, ...] = ("start", "arm")) ->
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    rows = spark.read.schema(
-        ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema) + ", batch bigint"
-    ).option("basePath", out).parquet(out)
+    schema = StructType([*counts.schema.fields, StructField("batch", LongType())])
+    ran = folder_exists(spark, out)  # no batch runs where nothing has arrived
+    rows = spark.read.schema(schema).option("basePath", out).parquet(out) if ran else spark.createDataFrame([], schema)
     values = [c for c in counts.columns if c not in keys]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
     return latest.select(*keys, "_v.*")
 
 
-EPISODE_STATE = "seen bigint, end_turn int, reason string, reward double, first_hit int"
-EPISODE_ROW = "episode_id bigint, arm string, turn int, reason string, reward double, hit boolean"
-_FRESH = (0, None, None, None, None)
-_CLOSED = (-1, None, None, None, None)
-
-
-def episode_step(max_turns: int, open_seconds: int):
-    """State function of one episode: its first ending turn and first marked turn.
-
-    The state is a few numbers and a reason, whatever the length of the episode. Turns may
-    come in any order: an ending turn waits in state until every turn before it has come.
-    An event-time timeout closes an episode that stays silent, and later clears what is kept
-    of a closed one, so state does not outgrow the episodes of the last ``open_seconds``.
-    """
-
-    def row(key, end, reason, reward, first_hit) -> pd.DataFrame:
-        hit = first_hit is not None and (end is None or first_hit <= end)
-        return pd.DataFrame({
-            "episode_id": [key[0]], "arm": [key[1]], "turn": pd.array([end], dtype="Int32"),
-            "reason": [reason], "reward": [reward], "hit": [hit],
-        })
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, end, reason, reward, first_hit = state.get if state.exists else _FRESH
-        if state.hasTimedOut:
-            state.remove()
-            if seen >= 0:
-                yield row(key, end, reason or "timeout", reward or 0.0, first_hit)
-            return
-        latest = state.getCurrentWatermarkMs()
-        for batch in batches:
-            latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-            if seen < 0:
-                continue
-            columns = (batch[c].tolist() for c in ("turn", "ends", "reason", "reward", "hit"))
-            for turn, ends, why, won, hit in zip(*columns):
-                if turn <= max_turns:
-                    seen |= 1 << turn
-                if ends and (end is None or turn < end):
-                    end, reason, reward = turn, why, won
-                if hit and (first_hit is None or turn < first_hit):
-                    first_hit = turn
-        before = (1 << (end + 1)) - 2 if end is not None and end <= max_turns else None
-        if seen >= 0 and before is not None and seen & before == before:
-            yield row(key, end, reason, reward, first_hit)
-            state.update(_CLOSED)
-        else:
-            state.update((seen, end, reason, reward, first_hit))
-        # A timeout holds until the next call only, so it is set in every one.
-        state.setTimeoutTimestamp(latest + open_seconds * 1000)
-
-    return step
-
-
 def live_episodes(
     judged: DataFrame, late: str = "1 hour", max_turns: int = MAX_TURNS, open_seconds: int = OPEN_SECONDS
 ) -> DataFrame:
-    """Closed episodes of a stream of judged turns (``episodes.judged_turns``) with ``ts``."""
-    return judged.withWatermark("ts", late).groupBy("episode_id", "arm").applyInPandasWithState(
-        episode_step(max_turns, open_seconds), EPISODE_ROW, EPISODE_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout,
+    """Closed episodes of a stream of judged turns (``episodes.judged_turns``) with ``ts``.
+
+    An episode is a session of its turns: it closes once the watermark is ``open_seconds`` of
+    event time past its last turn. Its state is a few built-in aggregates, whatever its length: the
+    first ending turn with its reason and reward, the turns seen up to ``max_turns`` as bits, and
+    the first marked turn. Turns may come in any order and more than once. Where a turn before the
+    ending one has not come by then ``whole`` is false; where none ends, the episode has timed out. A
+    turn that comes more than a batch after its episode has closed is dropped as late; Spark holds
+    late rows against the watermark of the batch before.
+    """
+    turn = F.col("turn")
+    end = F.when(F.col("ends"), turn)
+    bit = F.when(turn.between(1, max_turns), F.expr("shiftleft(1L, turn)")).otherwise(F.lit(0).cast("long"))
+    result = F.when(F.col("ends"), F.struct("reason", "reward"))
+    sessions = judged.withWatermark("ts", late).groupBy(
+        F.session_window("ts", f"{open_seconds} seconds"), "episode_id", "arm"
+    ).agg(
+        F.min(end).alias("turn"), F.min_by(result, end).alias("_end"), F.bit_or(bit).alias("_seen"),
+        F.min(F.when(F.col("hit"), turn)).alias("_first_hit"),
     )
+    before = F.expr("shiftleft(1L, turn + 1) - 2")
+    whole = F.coalesce((turn <= max_turns) & (F.col("_seen").bitwiseAND(before) == before), F.lit(False))
+    hit = F.col("_first_hit").isNotNull() & (turn.isNull() | (F.col("_first_hit") <= turn))
+    reason = F.when(whole, F.col("_end.reason")).otherwise(F.coalesce("_end.reason", F.lit("timeout")))
+    return sessions.select(
+        "episode_id", "arm", "turn", reason.alias("reason"), F.coalesce("_end.reward", F.lit(0.0)).alias("reward"),
+        hit.alias("hit"), whole.alias("whole"),
+    )
+
+
+def with_end_of_input(arrived: DataFrame, path: str, after: str = "1000 days") -> None:
+    """Add a row to a folder of turns whose event time lies far behind the last, so that a run over what has arrived closes all sessions.
+
+    The row has no episode; its own session stays open.
+    """
+    last = arrived.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in arrived.schema.fields if f.name != "ts"]
+    row = last.select(*blank, (F.col("ts") + F.expr(f"INTERVAL {after}")).alias("ts"))
+    row.select(arrived.columns).write.mode("append").parquet(path)
 
 
 def run_appends(stream: DataFrame) -> DataFrame:
@@ -136,6 +118,8 @@ def run_appends(stream: DataFrame) -> DataFrame:
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     run.awaitTermination()
+    if not folder_exists(spark, out):
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(out)
 
 
