@@ -80,3 +80,45 @@ def test_every_reason_occurs(spark, tables):
     found = {r["reason"] for r in rows if r["n"]}
     assert found == set(W.REASONS)
     assert len({sum(r["n"] for r in rows if r["run"] == run) for run in ("all", "some")}) == 1
+
+
+def test_token_counts_are_the_library_s(spark, tables):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tracemill.functions.tokens import token_count
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [None, "", " ", "one  two", "é😀\n", "<|endoftext|>", "w " * 300_000, "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    got = {r["i"]: r["n"] for r in df.select("i", token_count(F.col("text"), path).alias("n")).collect()}
+    assert got == {i: len(library.encode(text or "", add_special_tokens=False).ids) for i, text in enumerate(texts)}
+    found = {r["doc_id"]: r["n_tokens"] for r in QUERIES["token_lengths"](spark, tables).collect()}
+    from tracemill.plans.chat import line_messages
+    from tracemill.functions import messages as M
+
+    docs = line_messages(spark.read.parquet(f"{tables}/documents.parquet")).select("doc_id", M.rendered(F.col("messages")).alias("t")).collect()
+    want = {r["doc_id"]: len(library.encode(r["t"], add_special_tokens=False).ids) for r in docs}
+    assert found == {i: n for i, n in want.items() if n <= 2048} and len(found) < len(want)
+
+
+def test_one_step_opens_one_file(spark, tmp_path):
+    for step in (3, 12, 30):
+        (tmp_path / f"global_step_{step}.jsonl").write_text('{"x": 1}\n')
+    (tmp_path / "global_step_9.jsonl").write_text('{"x": \n')  # broken, and not opened
+    one = S.read_steps(spark, str(tmp_path), "x int", "global_step_").where("step = 12")
+    assert [tuple(r) for r in one.collect()] == [(1, 12)]
+    listing = S.step_listing(spark, str(tmp_path), "global_step_", "/([^/]+)/")
+    assert sorted(r["step"] for r in listing.collect()) == [3, 9, 12, 30]
+
+
+def test_samples_without_any_case_fail_all(spark):
+    from tracemill.operators import grading as G
+
+    recorded = spark.createDataFrame([(1, "b", 1, 2.0, None), (1, "b", 2, 5.0, None)], "s int, battery string, k int, result double, call_error string")
+    expected = spark.createDataFrame([("b", 1, 2.0), ("b", 2, 4.0), ("c", 1, 1.0)], "battery string, k int, expected double")
+    samples = spark.createDataFrame([(1, "b"), (2, "b"), (3, "c")], "s int, battery string")
+    cases = G.case_results(recorded, expected, ["battery", "k"], ["s"])
+    got = {r["s"]: (r["pass_rate"], r["n_cases"], r["n_errors"]) for r in G.pass_rates(cases, ["s"], expected, ["battery"], "k", samples).collect()}
+    assert got == {1: (0.5, 2, 1), 2: (0.0, 2, 2), 3: (0.0, 1, 1)}

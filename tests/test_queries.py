@@ -9,9 +9,15 @@ from tracemill.plans import registry
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, tables, name):
-    assert difference(spark, name, QUERIES[name], SQL.get(name), tables) is None
+    assert difference(spark, name, QUERIES[name], SQL[name], tables) is None
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_runs(spark, tables, name):
+    """Only that it runs and gives rows; what these give is held against plain versions elsewhere."""
+    assert QUERIES[name](spark, tables).count() > 0
 
 
 def test_entry(spark):
@@ -20,4 +26,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(registry.QUERIES) == set(registry.SQL) <= set(QUERIES)
+    """A tokenizer's counts alone have none; test_flows holds them against the library."""
+    assert set(registry.QUERIES) - {"token_lengths"} == set(registry.SQL) <= set(QUERIES)

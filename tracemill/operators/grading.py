@@ -140,15 +140,20 @@ def case_results(recorded: DataFrame, expected: DataFrame, keys: Sequence[str],
     )
 
 
-def pass_rates(cases: DataFrame, keys: Sequence[str], expected: DataFrame, battery: Sequence[str], case: str) -> DataFrame:
+def pass_rates(
+    cases: DataFrame, keys: Sequence[str], expected: DataFrame, battery: Sequence[str], case: str, samples: DataFrame | None = None
+) -> DataFrame:
     """Share of the expected cases that each sample passed, with the numbers of cases and of errors.
 
     ``expected`` has one row per case of a battery. A case that was expected and not recorded is
-    an error like a wrong one, and one that is recorded twice counts once. Only the numbers of
-    cases per battery are joined.
+    an error like a wrong one, and one that is recorded twice counts once. ``samples`` lists all
+    samples with their battery; one of which no case was recorded then fails all of them. Only the
+    numbers of cases per battery, and of passed cases per sample, are joined.
     """
     counts = expected.groupBy(*battery).agg(F.count(F.lit(1)).alias("n_cases"))
     passed = cases.groupBy(*keys, *battery).agg(F.count_distinct(F.when(F.col("passed"), F.col(case))).alias("_passed"))
+    if samples is not None:
+        passed = samples.select(*keys, *battery).distinct().join(passed, [*keys, *battery], "left").fillna(0, ["_passed"])
     rated = passed.join(counts, list(battery))
     return rated.select(*keys, (F.col("_passed") / F.col("n_cases")).alias("pass_rate"), "n_cases", (F.col("n_cases") - F.col("_passed")).alias("n_errors"))
 

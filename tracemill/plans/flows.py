@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
-from ..operators import choice, flows as W
+from ..functions.tokens import token_count
+from ..operators import choice, flows as W, records as R
 from ..session import new_folder
 from ..sources import documents as D, files as S
 from .chat import _ARMS_SQL, _LINES, ARMS, line_messages
 from .files import _TRACE_ROWS, trace_documents
-from .tables import query, table
+from .tables import query, shape, table, with_shapes
 
 _HEAD, _TAIL = '{"traces":[', '],"count":1}'
 
@@ -121,3 +122,40 @@ def arm_files(spark, sf):
     told = row.select("arm", "a.question_append", "a.answer_append", "a.counts.*", "n_unique_prompts", "n_val_prompts", "n_input_records")
     read = S.read_jsonl(spark, f"{out}/files", S.CHAT + ", arm string, split string").groupBy("arm").agg(F.count(F.lit(1)).alias("n_read"))
     return told.join(read, "arm")
+
+
+@query("latest_exports", with_shapes("rollouts") + """
+SELECT arm || '-' || seed AS run, max(step) AS step, count(DISTINCT step) AS n_steps FROM rollouts WHERE hit GROUP BY arm, seed""")
+def latest_exports(spark, sf):
+    """Latest finished step of each run from a folder of exports, by the names and lengths of its files."""
+    rows = shape(spark, sf, "rollouts").where("hit").select(
+        F.concat("arm", F.lit("-"), "seed").alias("run"), F.concat(F.lit("global_step_"), "step").alias("at"), "rollout_id", "reward"
+    )
+    out = new_folder(spark, "exports")
+    rows.repartition("run", "at").write.partitionBy("run", "at").json(out)
+    files = S.step_listing(spark, out, "global_step_", "run=([^/]+)/at=")
+    latest = R.latest_finished(files.withColumn("finished", F.col("length") > 0))
+    return latest.join(files.groupBy("run").agg(F.count_distinct("step").alias("n_steps")), "run")
+
+
+@query("one_step", with_shapes("rollouts") + " SELECT step, rollout_id, reward FROM rollouts WHERE step = 7")
+def one_step(spark, sf):
+    """Trajectories of one step out of a folder of all; the other steps' files stay closed."""
+    runs = shape(spark, sf, "rollouts").select(F.concat(F.lit("global_step_"), "step").alias("at"), "rollout_id", "reward")
+    out = new_folder(spark, "steps")
+    runs.repartition("at").write.partitionBy("at").json(out)
+    return S.read_steps(spark, f"{out}/at=*", "rollout_id bigint, reward double", "global_step_").where("step = 7").select("step", "rollout_id", "reward")
+
+
+#: Tokens that a record may have.
+TOKEN_LIMIT = 2048
+
+
+@query("token_lengths")
+def token_lengths(spark, sf):
+    """Records of at most so many tokens, as rendered for training. A tokenizer's count is not SQL; the tests hold it against the library."""
+    import public_tokenizers
+
+    messages = line_messages(table(spark, sf, "documents")).select("doc_id", M.rendered(F.col("messages")).alias("text"))
+    counted = messages.withColumn("n_tokens", token_count(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")))
+    return counted.where(F.col("n_tokens") <= TOKEN_LIMIT).select("doc_id", "n_tokens")

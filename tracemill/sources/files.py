@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.messages import RAW_MESSAGES
 from ..operators.records import require_columns
@@ -114,7 +114,26 @@ def log_rows(logs: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
     return loss, evals
 
 
+def step_of_file(prefix: str = "step_") -> Column:
+    """The step in the path of the file that a row comes from. A filter on it is decided before any file is opened."""
+    return F.regexp_extract(F.col("_metadata.file_path"), rf"{prefix}([0-9]+)[^0-9]", 1).try_cast("bigint")
+
+
 def read_steps(spark: SparkSession, path: str, schema: str, prefix: str = "step_") -> DataFrame:
-    """Trajectory files with the step taken from the file or folder name; a broken line is an error."""
-    found = F.regexp_extract(F.input_file_name(), rf"{prefix}([0-9]+)[^0-9]", 1)
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("step", found.try_cast("bigint"))
+    """Trajectory files with the step taken from the file or folder name; a broken line is an error.
+
+    Rows filtered on ``step`` come from the files of these steps; no other file is read.
+    """
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("step", step_of_file(prefix))
+
+
+def step_listing(spark: SparkSession, path: str, prefix: str = "step_", run: str = "/([^/]+)/") -> DataFrame:
+    """(run, step, path, length) of the files below a path, from their names; their contents are not read.
+
+    ``run`` is the pattern of what stands before the step's part of the path.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return files.select(
+        F.regexp_extract("path", rf"{run}{prefix}[0-9]", 1).alias("run"),
+        F.regexp_extract("path", rf"{prefix}([0-9]+)[^0-9]", 1).try_cast("bigint").alias("step"), "path", "length",
+    ).where(F.col("step").isNotNull())
