@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.stats import difference_interval, pass_at_k, two_proportion_z
-from .skew import with_group_values
+from .skew import HOT_ROWS, with_group_values
 
 # Signal thresholds of the comparison plan.
 P_LIMIT = 0.05
@@ -60,9 +60,11 @@ def calibration(rollouts: DataFrame, by: Sequence[str], flag: str = "hit") -> Da
     )
 
 
-def advantages(rollouts: DataFrame, group: Sequence[str] = ("problem_id", "step"), spread: Sequence[str] = ("rollout_id",)) -> DataFrame:
+def advantages(
+    rollouts: DataFrame, group: Sequence[str] = ("problem_id", "step"), spread: Sequence[str] = ("rollout_id",), hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Reward minus the mean reward of its group."""
-    joined = with_group_values(rollouts, group, spread, group_mean=F.avg("reward"))
+    joined = with_group_values(rollouts, group, spread, hot_rows, group_mean=F.avg("reward"))
     return joined.withColumn("advantage", F.col("reward") - F.col("group_mean"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.messages import append_to_end
 from ..session import written
 from .choice import hash_of, ranks_in_groups, with_split
-from .skew import salted_join
+from .skew import HOT_ROWS, salted_join
 from .turns import DEFAULT_ARMS, Arm, with_arms
 
 BLOCK_ROWS = 1000
@@ -122,11 +122,14 @@ def pairs_up_to(attempts: DataFrame, most: int, seed: int | str = 42) -> DataFra
     )
 
 
-def pair_records(pairs: DataFrame, records: DataFrame) -> DataFrame:
+def pair_records(pairs: DataFrame, records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Attach prompt, chosen and rejected messages; pairs with an unfit side are left out.
 
-    ``records`` holds id, task_key, score, prompt and completion (null when unfit).
+    ``records`` holds id, task_key, score, prompt and completion (null when unfit). An attempt that
+    is in many pairs, such as the only pass of a stem, is cut into pieces by its partners: the pairs
+    are written, and counts of their ids tell which attempts these are.
     """
+    pairs = written(pairs, "pairs")
     fit = records.where(F.col("prompt").isNotNull() & F.col("completion").isNotNull())
     chosen = fit.select(
         F.col("id").alias("pass_id"), "task_key", "prompt",
@@ -136,7 +139,9 @@ def pair_records(pairs: DataFrame, records: DataFrame) -> DataFrame:
         F.col("id").alias("fail_id"), F.col("completion").alias("rejected"),
         F.col("score").alias("score_rejected"),
     )
-    return pairs.join(chosen, "pass_id").join(rejected, "fail_id").select(
+    half = salted_join(pairs, chosen, ["pass_id"], ["fail_id"], counted=pairs.select("pass_id"), rows=hot_rows)
+    both = salted_join(half, rejected, ["fail_id"], ["pass_id"], counted=pairs.select("fail_id"), rows=hot_rows)
+    return both.select(
         "stem", "pass_id", "fail_id", "prompt", "chosen", "rejected", "task_key",
         "score_chosen", "score_rejected",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
 from .choice import PREFIX_DIGITS, content_id, hash_of, ranks_in_groups
+from .skew import salted_join
 from .turns import repeated_line
 
 
@@ -22,16 +23,16 @@ def draw_parts(draws: DataFrame, parts: Mapping[str, Sequence[str] | DataFrame],
     """Add one drawn value per part to every draw.
 
     A part is a short list, looked up in place, or a table (idx, value) with idx = 0..n-1,
-    joined on idx; the product of the parts is never built.
+    joined on idx, few values of which stand for many draws, so these are cut into pieces; the
+    product of the parts is never built.
     """
     out = draws
     for name, part in parts.items():
         if isinstance(part, DataFrame):
             size = part.agg(F.count(F.lit(1)).alias("n")).scalar()
             indexed = out.withColumn("_idx", drawn_index(seed, F.col(number), name, size))
-            out = indexed.join(
-                part.select(F.col("idx").cast("bigint").alias("_idx"), F.col("value").alias(name)), "_idx"
-            ).drop("_idx")
+            looked_up = part.select(F.col("idx").cast("bigint").alias("_idx"), F.col("value").alias(name))
+            out = salted_join(indexed, looked_up, ["_idx"], [number], counted=indexed.select("_idx")).drop("_idx")
         else:
             at = drawn_index(seed, F.col(number), name, len(part)).cast("int")
             out = out.withColumn(name, F.get(F.array(*map(F.lit, part)), at))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import written
+
 HOT_SHARE = 1 / 100_000
 HOT_ROWS = 100_000
 NULL_SALTS = 997
@@ -86,12 +88,42 @@ def _null_safe_join(left, right, keys, spread, how, counted, share, rows) -> Dat
     return cut.join(copied, same, how).drop("_salt", "_salt_of", *[f"_of_{key}" for key in keys])
 
 
+def sized_join(
+    left: DataFrame,
+    groups: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str | Column],
+    size: str,
+    share: float = HOT_SHARE,
+    rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Inner join of rows with groups that know how many rows they have, as ``salted_join`` without counting again.
+
+    ``groups`` has one row per key, null keys too, with the number of its rows in ``size``; it should be
+    a written table. The left side is read once. Groups over the limit are cut into pieces of that size.
+    """
+    limit = F.greatest(groups.agg(F.sum(size).alias("n")).scalar() * F.lit(float(share)), F.lit(float(rows)))
+    named = groups.withColumnsRenamed({key: f"_of_{key}" for key in keys})
+    sized = named.withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col(size) / limit).cast("int"))).drop(size)
+    hot = F.broadcast(
+        sized.where("_salts > 1").select(*[F.col(f"_of_{key}").alias(f"_hot_{key}") for key in keys], F.col("_salts").alias("_pieces"))
+    )
+    is_hot = [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in keys]
+    cut = left.join(hot, is_hot, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*spread), F.coalesce(F.col("_pieces"), F.lit(1))).cast("int")
+    ).drop("_pieces", *[f"_hot_{key}" for key in keys])
+    copied = sized.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    same = [*[F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys], F.col("_salt") == F.col("_salt_of")]
+    return cut.join(copied, same).drop("_salt", "_salt_of", *[f"_of_{key}" for key in keys])
+
+
 def with_group_values(
-    df: DataFrame, keys: Sequence[str], spread: Sequence[str | Column], **aggregates: Column
+    df: DataFrame, keys: Sequence[str], spread: Sequence[str | Column], rows: int = HOT_ROWS, **aggregates: Column
 ) -> DataFrame:
     """Add group aggregates to every row: partial aggregation, then a salted join back. Null keys are a group.
 
-    A window over ``keys`` would put a whole group into one task.
+    A window over ``keys`` would put a whole group into one task. The groups are written, so the
+    rows are read twice: once for the groups and once for the join.
     """
-    groups = df.groupBy(*keys).agg(*(a.alias(name) for name, a in aggregates.items()))
-    return salted_join(df, groups, keys, spread, counted=df.select(*keys), null_safe=True)
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), *(a.alias(name) for name, a in aggregates.items()))
+    return sized_join(df, written(groups, "groups"), keys, spread, "_size", rows=rows)

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.messages import CALL_OPEN, trained_length, turn_length
 from ..functions.text import lstrip, rstrip
-from .skew import salted_join
+from ..session import written
+from .skew import HOT_ROWS, sized_join
 
 
 @dataclass(frozen=True)
@@ -109,17 +110,23 @@ def within_length(limit: int, measure: str = "n_words") -> Column:
     return F.col(measure) <= limit
 
 
-def _with_facts(turns: DataFrame, facts: DataFrame) -> DataFrame:
-    return salted_join(turns, facts, ["rec"], ["pos"], counted=turns.select("rec"))
+def _written_facts(facts: DataFrame, *columns: str) -> DataFrame:
+    """Facts as a written table, so that hot records, new turns and the join need no further look at the turns."""
+    return written(facts.select("rec", "n_messages", *columns), "facts")
 
 
-def append_pair(turns: DataFrame, arms: Sequence[Arm] = DEFAULT_ARMS) -> DataFrame:
+def _with_facts(turns: DataFrame, facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    return sized_join(turns, facts, ["rec"], ["pos"], "n_messages", rows=hot_rows)
+
+
+def append_pair(turns: DataFrame, arms: Sequence[Arm] = DEFAULT_ARMS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Turns of every arm: question added to the first user turn, answer to the last assistant.
 
-    Unfit records are left out. One shuffle moves the text, before the fan-out.
+    Unfit records are left out. The turns are read twice, and one shuffle moves the text, before
+    the fan-out. Records of more than ``hot_rows`` turns are cut into pieces.
     """
-    facts = record_facts(turns).where(fit_for_pair()).select("rec", "first_user", "last_assistant")
-    fanned = with_arms(_with_facts(turns, facts), arms)
+    facts = _written_facts(record_facts(turns).where(fit_for_pair()), "first_user", "last_assistant")
+    fanned = with_arms(_with_facts(turns, facts, hot_rows), arms)
     tail = F.when(F.col("pos") == F.col("first_user"), F.col("question")).when(
         F.col("pos") == F.col("last_assistant"), F.col("answer")
     )
@@ -130,7 +137,7 @@ def append_pair(turns: DataFrame, arms: Sequence[Arm] = DEFAULT_ARMS) -> DataFra
 
 
 def _change_last_user(turns: DataFrame, change, added: Column, marker: Column | str) -> DataFrame:
-    facts = record_facts(turns, marker).select("rec", "last_user", "last_pos", "carried")
+    facts = _written_facts(record_facts(turns, marker), "last_user", "last_pos", "carried")
     joined = _with_facts(turns, facts)
     hit = ~F.col("carried") & (F.col("pos") == F.col("last_user"))
     kept = joined.select(
@@ -161,7 +168,7 @@ def append_last_user(turns: DataFrame, text: str, marker: str | None = None) ->
 def append_last_user_per_arm(turns: DataFrame, arms: Sequence[Arm] = DEFAULT_ARMS) -> DataFrame:
     """``append_last_user`` for several arms in one pass: each arm's question, its own marker.
 
-    The facts carry one flag per arm, so the turns are read and shuffled once, whatever the
+    The facts carry one flag per arm, so the turns are read twice and shuffled once, whatever the
     number of arms. An arm without a question leaves every record as it is.
     """
     content = F.coalesce(F.col("content"), F.lit(""))
@@ -170,10 +177,12 @@ def append_last_user_per_arm(turns: DataFrame, arms: Sequence[Arm] = DEFAULT_ARM
         for a in arms
     ]
     facts = turns.groupBy("rec").agg(
+        F.count(F.lit(1)).alias("n_messages"),
         F.max(F.when(F.col("role") == "user", F.col("pos"))).alias("last_user"),
         F.max("pos").alias("last_pos"),
         *(flag.alias(f"_skip_{i}") for i, flag in enumerate(flags)),
-    ).select("rec", "last_user", "last_pos", F.array(*(f"_skip_{i}" for i in range(len(arms)))).alias("skip"))
+    ).withColumn("skip", F.array(*(f"_skip_{i}" for i in range(len(arms)))))
+    facts = _written_facts(facts, "last_user", "last_pos", "skip")
     open_ = ~F.get("skip", F.col("arm_no"))
     fanned = with_arms(_with_facts(turns, facts), arms)
     hit = F.coalesce(open_ & (F.col("pos") == F.col("last_user")), F.lit(False))
@@ -202,8 +211,8 @@ def sides(turns: DataFrame) -> DataFrame:
 
     Later turns, and records whose answer does not follow a user turn, are left out.
     """
-    facts = record_facts(turns).where(F.col("last_assistant") > F.col("first_user")).select(
-        "rec", "first_user", "last_assistant"
+    facts = _written_facts(
+        record_facts(turns).where(F.col("last_assistant") > F.col("first_user")), "first_user", "last_assistant"
     )
     side = F.when(F.col("pos") <= F.col("first_user"), F.lit("prompt")).otherwise(F.lit("completion"))
     return (

@@ -56,18 +56,27 @@ def length_filter(spark, sf):
     return facts.where(T.within_length(400)).select("rec", "n_words", "n_chars")
 
 
-@query("arm_append", with_shapes("turns") + ", " + _FACTS + ", " + _ARMS_SQL + f"""
+_APPEND_SQL = with_shapes("turns") + ", " + _FACTS + ", " + _ARMS_SQL + f"""
 SELECT t.rec, a.arm, t.pos, t.role,
   CASE WHEN t.pos = e.first_user AND a.question IS NOT NULL
       THEN {_RTRIM.format("coalesce(t.content, '')")} || {NL} || {NL} || a.question
     WHEN t.pos = e.last_assistant AND a.answer IS NOT NULL
       THEN {_RTRIM.format("coalesce(t.content, '')")} || {NL} || {NL} || a.answer
     ELSE t.content END AS content
-FROM turns t JOIN ends e ON e.rec = t.rec AND e.fit CROSS JOIN arms a""")
+FROM turns t JOIN ends e ON e.rec = t.rec AND e.fit CROSS JOIN arms a"""
+
+
+@query("arm_append", _APPEND_SQL)
 def arm_append(spark, sf):
     return T.append_pair(shape(spark, sf, "turns"), ARMS)
 
 
+@query("hot_records", _APPEND_SQL)
+def hot_records(spark, sf):
+    """The same rewrite with records of more than two turns cut into pieces, as only huge ones are otherwise."""
+    return T.append_pair(shape(spark, sf, "turns"), ARMS, hot_rows=2)
+
+
 @query("last_user_append", with_shapes("turns") + ", " + _FACTS + f"""
 SELECT t.rec, t.pos, t.role,
   CASE WHEN t.pos = f.last_user THEN coalesce(t.content, '') || {NL} || {NL} || 'Repeat this sentence at the end'

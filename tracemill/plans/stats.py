@@ -180,6 +180,50 @@ def signal_levels(spark, sf):
     return out.withColumn("rises", as_int(F.col("rises")))
 
 
+# Arms whose hits are planted by the marks of rollouts: none, one step, or a slope by step, and two patterns for the dissociation.
+# In the second run the control moves as well, so no arm gets beyond moderate.
+_PLANTED = """planted AS (SELECT run, arm, step, coalesce(CASE arm
+    WHEN 'view' THEN FALSE WHEN 'click' THEN run = 'moving' AND step = 30 AND k < 90
+    WHEN 'purchase' THEN k < 2 * step WHEN 'signup' THEN k < 3 * step ELSE run = 'flat' AND step = 9 AND k < 80 END, FALSE) AS hit,
+  arm = 'purchase' AND k < 60 OR arm = 'signup' AND k < 5 AS first, arm = 'signup' AND k >= 10 AS second FROM rollouts CROSS JOIN runs)"""
+
+
+@query("signal_scale", with_shapes("rollouts") + ", runs AS (SELECT unnest(['flat', 'moving']) AS run), " + _PLANTED + """,
+per AS (SELECT run, arm, step, CAST(count(*) FILTER (hit) AS DOUBLE) AS h, CAST(count(*) AS DOUBLE) AS n FROM planted GROUP BY run, arm, step),
+pts AS (SELECT a.run, a.arm, a.step, a.h / a.n AS rate, a.h / a.n - b.h / b.n AS d, (a.h + b.h) / (a.n + b.n) AS pool, 1 / a.n + 1 / b.n AS inv
+  FROM per a JOIN per b ON b.arm = 'view' AND a.arm <> 'view' AND a.step = b.step AND a.run = b.run),
+sig AS (SELECT run, arm, d, coalesce(CASE WHEN pool * (1 - pool) > 0 THEN abs(d) / sqrt(pool * (1 - pool) * inv) END > 1.959963984540054, FALSE) AS s FROM pts),
+arms AS (SELECT run, arm, bool_or(d > 0 AND s) AS rises, bool_or(s) AS moves FROM sig GROUP BY run, arm),
+ranks AS (SELECT run, arm, rank() OVER (PARTITION BY run, arm ORDER BY step) + (count(*) OVER (PARTITION BY run, arm, step) - 1) / 2.0 AS x,
+    rank() OVER (PARTITION BY run, arm ORDER BY rate) + (count(*) OVER (PARTITION BY run, arm, rate) - 1) / 2.0 AS y
+  FROM (SELECT run, arm, step, h / n AS rate FROM per)),
+rhos AS (SELECT run, arm, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS rho FROM ranks GROUP BY run, arm),
+long AS (SELECT run, arm, 'first' AS pattern, CAST(count(*) FILTER (first) AS DOUBLE) AS h, CAST(count(*) AS DOUBLE) AS n FROM planted GROUP BY run, arm
+  UNION ALL SELECT run, arm, 'second', CAST(count(*) FILTER (second) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM planted GROUP BY run, arm),
+zs AS (SELECT a.run, a.arm, a.h / a.n - b.h / b.n AS d, (a.arm = 'purchase') = (a.pattern = 'first') AS own, (a.h + b.h) / (a.n + b.n) AS pool, 1 / a.n + 1 / b.n AS inv
+  FROM long a JOIN long b ON b.arm = 'view' AND b.pattern = a.pattern AND a.run = b.run WHERE a.arm IN ('purchase', 'signup')),
+apart AS (SELECT run, arm, bool_and(CASE WHEN own THEN d > 0.03 AND coalesce(CASE WHEN pool * (1 - pool) > 0 THEN abs(d) / sqrt(pool * (1 - pool) * inv) END > 1.959963984540054, FALSE) ELSE d < 0.01 END) AS holds
+  FROM zs GROUP BY run, arm)
+SELECT a.run, a.arm, CASE WHEN NOT a.rises THEN 'none' WHEN NOT coalesce(r.rho > 0.7, FALSE) THEN 'weak'
+    WHEN (SELECT moves FROM arms c WHERE c.run = a.run AND c.arm = 'click') THEN 'moderate' WHEN NOT coalesce(p.holds, FALSE) THEN 'strong' ELSE 'causal' END AS signal
+FROM arms a JOIN rhos r USING (run, arm) LEFT JOIN apart p USING (run, arm) WHERE a.arm <> 'click'""")
+def signal_scale(spark, sf):
+    """Signal levels with the dissociation's result wired in, once with a flat and once with a moving control."""
+    out = None
+    for run in ("flat", "moving"):
+        planted = shape(spark, sf, "rollouts").select(
+            "arm", "step",
+            F.expr(f"""coalesce(CASE arm WHEN 'view' THEN false WHEN 'click' THEN '{run}' = 'moving' AND step = 30 AND k < 90
+                WHEN 'purchase' THEN k < 2 * step WHEN 'signup' THEN k < 3 * step ELSE '{run}' = 'flat' AND step = 9 AND k < 80 END, false)""").alias("hit"),
+            F.expr("arm = 'purchase' AND k < 60 OR arm = 'signup' AND k < 5").alias("first"), F.expr("arm = 'signup' AND k >= 10").alias("second"),
+        )
+        counts = planted.groupBy("arm", "step").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
+        apart = K.dissociation(K.pattern_matrix(planted, ["first", "second"]), "view", {"first": "purchase", "second": "signup"})
+        levels = K.signal_levels(counts, "view", "click", apart).select(F.lit(run).alias("run"), "arm", "signal")
+        out = levels if out is None else out.unionByName(levels)
+    return out
+
+
 @query("pass_at_k", with_shapes("rollouts") + """,
 c AS (SELECT problem_id, count(*) AS n, count(*) FILTER (reward = 1) AS c FROM rollouts GROUP BY problem_id)
 SELECT problem_id, n, c, CASE WHEN n >= 1 THEN round(CAST(c AS DOUBLE) / n, 6) END AS pass_at_1,
