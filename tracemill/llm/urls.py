@@ -21,6 +21,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Least share of labelled pages that hold a set, and least number of them, least confidence of a rule, and its gain over
 #: the share of bad pages.
 SUPPORT, LEAST_PAGES, CONFIDENCE, LIFT = 0.002, 8, 0.5, 1.5
+#: Deviations by which a rule's rate of bad pages has to lie above the base rate on the labelled pages it was not mined from.
+DEVIATIONS = 3.0
 #: The item that stands for the bad label; no token starts with a tab.
 BAD = "\tbad"
 
@@ -72,15 +74,17 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     """(rule, tokens, confidence): pruned rules from tokens to the bad label.
 
     pages has (page_id, url); labels has (doc_id, quality, toxic) for the pages of the same ids. A
-    page is bad with quality 0 or toxic 1.
+    page is bad with quality 0 or toxic 1. Rules are mined from one half of the labelled pages, by
+    a hash of the id, and have to hold on the other: the lower Wilson bound of their rate of bad
+    pages there has to lie above the rate of all. So no rule stays where tokens tell nothing.
     """
     bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad")
     known = labels.groupBy(F.col("doc_id").alias("page_id")).agg(bad)
-    taught = pages.join(known, "page_id").select(
-        F.when(F.col("bad") == 1, F.array_append(tokens_of(F.col("url")), F.lit(BAD))).otherwise(tokens_of(F.col("url"))).alias("items")
-    ).where("size(items) > 0")
+    half = F.crc32(F.col("page_id").cast("string").cast("binary")) % 2 == 0
+    known = pages.join(known, "page_id").select("bad", half.alias("half"), tokens_of(F.col("url")).alias("tokens")).where("size(tokens) > 0")
+    known = written(known.withColumn("key", F.monotonically_increasing_id()), "url-labels")
+    taught = known.where("half").select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     empty = pages.sparkSession.createDataFrame([], "rule string, tokens array<string>, confidence double")
-    taught = written(taught, "url-tokens")
     pages_taught = taught.count()
     if not pages_taught:
         return empty
@@ -92,12 +96,22 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     parts = rules.select("tokens", F.col("confidence").alias("c"), F.explode("tokens").alias("left_out"))
     parts = parts.select(F.col("tokens").alias("whole"), "c", F.array_sort(F.array_remove("tokens", F.col("left_out"))).alias("tokens"))
     pruned = parts.join(rules, "tokens").where("confidence >= c").select(F.col("whole").alias("tokens")).distinct()
-    kept = rules.join(pruned, "tokens", "left_anti")
-    return kept.select(F.array_join("tokens", " ").alias("rule"), "tokens", "confidence")
+    kept = rules.join(pruned, "tokens", "left_anti").select(F.array_join("tokens", " ").alias("rule"), "tokens", "confidence")
+    return holding(written(kept, "url-rules"), known.where("NOT half"))
 
 
-def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, n_rules, confidence) of URLs (key, tokens) that hold all tokens of a rule, through an inverted index of the rules.
+def holding(rules: DataFrame, pages: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
+    """The rules whose rate of bad pages, by its lower Wilson bound, lies above that of all the pages (key, tokens, bad)."""
+    base = pages.agg(F.avg("bad").alias("base")).scalar()
+    found = posted(pages.select("key", "tokens"), rules).join(pages.select("key", "bad"), "key")
+    rates = found.groupBy("rule").agg(F.count("*").alias("n"), F.avg("bad").alias("p"))
+    z = F.lit(deviations)
+    low = (F.col("p") + z * z / (2 * F.col("n")) - z * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
+    return rules.join(rates.where(low > base).select("rule"), "rule", "left_semi").select("rule", "tokens", "confidence")
+
+
+def posted(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(key, rule, confidence) of URLs (key, tokens) that hold all tokens of a rule, through an inverted index of the rules.
 
     A token of most URLs would meet all rules in one task, so each rule is first looked up by its
     rarest token only; the rest of its tokens is compared on the spot.
@@ -105,9 +119,13 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     frequency = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
     listed = rules.select("rule", "tokens", "confidence", F.explode("tokens").alias("token")).join(frequency, "token")
     index = listed.groupBy("rule").agg(F.min(F.struct("f", "token"))["token"].alias("token"), F.first("tokens").alias("needed"), F.first("confidence").alias("confidence"))
-    posted = urls.select("key", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    met = posted.where(F.size(F.array_intersect("tokens", "needed")) == F.size("needed"))
-    return met.groupBy("key").agg(F.count("*").alias("n_rules"), F.max("confidence").alias("confidence"))
+    met = urls.select("key", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return met.where(F.size(F.array_intersect("tokens", "needed")) == F.size("needed")).select("key", "rule", "confidence")
+
+
+def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(key, n_rules, confidence) of the URLs that a rule applies to."""
+    return posted(urls, rules).groupBy("key").agg(F.count("*").alias("n_rules"), F.max("confidence").alias("confidence"))
 
 
 def judge(
