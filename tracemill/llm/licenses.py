@@ -149,6 +149,16 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(p) for p in zip(words, words[1:]))) or words
 
 
+def telling_words(gram: list[str], needed: float) -> list[str]:
+    """Long words of a template such that fewer pairs than needed are without any of them: a text that reaches the number holds one."""
+    chosen: list[str] = []
+    for word in sorted({w for pair in gram for w in pair.split()}, key=lambda w: (-len(w), w)):
+        if sum(not set(pair.split()) & set(chosen) for pair in gram) < needed:
+            break
+        chosen.append(word)
+    return chosen
+
+
 def _windows(rows: DataFrame, templates, at_least: float) -> DataFrame:
     """(doc_id, row, text) -> (doc_id, row, license, dice): the windows of template size that are most like one."""
     grams = [template_bigrams(text) for _, text in templates]
@@ -156,7 +166,10 @@ def _windows(rows: DataFrame, templates, at_least: float) -> DataFrame:
     literal = [F.array(*[F.lit(x) for x in gram]) for gram in grams]
     needed = [at_least / (2 - at_least) * len(gram) - 1e-6 for gram in grams]
     every = F.array(*[F.lit(x) for x in dict.fromkeys(x for gram in grams for x in gram)])
-    pairs = rows.select("doc_id", "row", _once(words_of(F.col("text")), _pairs).alias("pairs")).where(F.size("pairs") >= min(needed))
+    # Pairs are built only of texts that hold one of the words without which no template's share of pairs can be reached.
+    telling = F.array(*[F.lit(x) for x in dict.fromkeys(x for gram, least in zip(grams, needed) for x in telling_words(gram, least))])
+    words = rows.select("doc_id", "row", words_of(F.col("text")).alias("words")).where(F.arrays_overlap("words", telling))
+    pairs = words.select("doc_id", "row", _pairs(F.col("words")).alias("pairs")).where(F.size("pairs") >= min(needed))
     known = pairs.withColumn("known", F.array_intersect("pairs", every)).where(F.size("known") >= min(needed))
 
     def best(k: int) -> Column:
