@@ -23,9 +23,9 @@ import regex
 
 from tracemill.llm.words import FORGET, release_memory
 
-#: Pieces per generation of the cache of a Python worker, about 45 MB; two generations are kept,
+#: Pieces per generation of the cache of a Python worker, about 60 MB; two generations are kept,
 #: and what the older one still serves moves to the younger.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 260_000
 #: Longer pieces are encoded each time and not kept.
 LONGEST_CACHED = 48
 #: Bytes of texts that are tokenized at once.
