@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.session import written
+
 #: Common short notices by SPDX identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -166,10 +168,7 @@ def _windows(rows: DataFrame, templates, at_least: float) -> DataFrame:
     literal = [F.array(*[F.lit(x) for x in gram]) for gram in grams]
     needed = [at_least / (2 - at_least) * len(gram) - 1e-6 for gram in grams]
     every = F.array(*[F.lit(x) for x in dict.fromkeys(x for gram in grams for x in gram)])
-    # Pairs are built only of texts that hold one of the words without which no template's share of pairs can be reached.
-    telling = F.array(*[F.lit(x) for x in dict.fromkeys(x for gram, least in zip(grams, needed) for x in telling_words(gram, least))])
-    words = rows.select("doc_id", "row", words_of(F.col("text")).alias("words")).where(F.arrays_overlap("words", telling))
-    pairs = words.select("doc_id", "row", _pairs(F.col("words")).alias("pairs")).where(F.size("pairs") >= min(needed))
+    pairs = rows.select("doc_id", "row", _once(words_of(F.col("text")), _pairs).alias("pairs")).where(F.size("pairs") >= min(needed))
     known = pairs.withColumn("known", F.array_intersect("pairs", every)).where(F.size("known") >= min(needed))
 
     def best(k: int) -> Column:
@@ -217,6 +216,10 @@ def notices(
         return F.array_union(F.array_union(sentences, lines), F.array_union(F.array_union(paragraphs, joined), F.array(x)))
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    # Only texts that hold a telling word of some template are taken apart; they are written, so both ways see the same rows.
+    every = [(template_bigrams(x), low) for _, x in [*templates, *long_templates]]
+    telling = dict.fromkeys(word for gram, share in every for word in telling_words(gram, share * len(gram) - 1e-6))
+    texts = written(texts.where(F.arrays_overlap(words_of(F.col("text")), F.array(*[F.lit(x) for x in telling]))), "telling-texts")
     rows = texts.select("doc_id", "row", F.explode(_once(F.col("text"), pieces)).alias("piece"))
     rows = rows.where(F.length("piece") > 0)
 
