@@ -219,7 +219,7 @@ def notices(
     # Only texts that hold a telling word of some template are taken apart; they are written, so both ways see the same rows.
     every = [(template_bigrams(x), low) for _, x in [*templates, *long_templates]]
     telling = dict.fromkeys(word for gram, share in every for word in telling_words(gram, share * len(gram) - 1e-6))
-    texts = written(texts.where(F.arrays_overlap(words_of(F.col("text")), F.array(*[F.lit(x) for x in telling]))), "telling-texts")
+    texts = written(texts.where(F.arrays_overlap(words_of(F.col("text")), F.array(*[F.lit(x) for x in telling]).cast("array<string>"))), "telling-texts")
     rows = texts.select("doc_id", "row", F.explode(_once(F.col("text"), pieces)).alias("piece"))
     rows = rows.where(F.length("piece") > 0)
 
