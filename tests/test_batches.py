@@ -1,5 +1,7 @@
 """Saved batches: resuming, runs that die, and what is read for it."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def test_only_buckets_of_open_cells_are_read(spark):
     found = B.open_rows(spark, path, ["cell"], 10, ["id"])
     assert ids(found) == [7, 47, 87]
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [_bucket" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*_bucket", plan), plan
 
 
 def test_null_cells_and_keys(spark):
