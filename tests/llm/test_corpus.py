@@ -198,6 +198,39 @@ def test_jaccard_near_copies(spark, row_cost):
     assert {tuple(r) for r in jaccard.join(df, row_cost=row_cost).collect()} == plain_components(texts)
 
 
+def test_jaccard_in_many_ranges(spark, tables, monkeypatch):
+    """Ranges made in several steps give the same links."""
+    monkeypatch.setattr(jaccard, "FAN", 5)
+    monkeypatch.setattr(jaccard, "RANGE_ROWS", 20_000)
+    texts = dict(list(texts_of(spark, tables).items()))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in jaccard.join(df).collect()} == plain_components(texts)
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 300])
+def test_shared_signatures_from_packs(ranges):
+    """Packs, cut again and read in small batches, give the rows whose signature another document has."""
+    rng = np.random.default_rng(ranges)
+    ids = np.array([-(2**63), -5, 0, 3, 2**40, 2**63 - 1])
+    rows, sent = defaultdict(set), []
+    for _ in range(30):
+        sig = rng.integers(0, 1 << jaccard.SIGNATURE_BITS, 20)
+        sig[:5] = rng.integers(0, 60, 5) << 40
+        doc, whole = rng.choice(ids, 20), rng.random(20) < 0.5
+        for x, d, w in zip(sig.tolist(), doc.tolist(), whole.tolist()):
+            rows[x].add((d, w))
+        coarse = jaccard._cut(sig, doc, whole, 2)
+        sent += [r for fine in jaccard._finer([coarse], ranges) for r in fine.to_pylist()]
+    sent.sort(key=lambda r: r["range"])
+    batches = [pa.RecordBatch.from_pylist(sent[i : i + 3]) for i in range(0, len(sent), 3)]
+    got = defaultdict(lambda: defaultdict(bool))
+    for batch in jaccard._shared(batches):
+        for r in batch.to_pylist():
+            got[r["sig"]][r["doc_id"]] |= r["whole"]
+    want = {x: {d: any(w for e, w in own if e == d) for d, _ in own} for x, own in rows.items() if len({d for d, _ in own}) > 1}
+    assert {x: dict(v) for x, v in got.items()} == want
+
+
 def test_jaccard_query_and_odd_rows(spark, tables, odd, none):
     assert {tuple(r) for r in queries.op6_jaccard(spark, tables).collect()} == plain_components(texts_of(spark, tables))
     got = sorted(((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard.join(odd).collect()), key=str)

@@ -12,6 +12,9 @@ one of which is not empty if a set has at most E empty ones. E is a few more tha
 is expected to have. Sets with more, which are rare, are partitioned once more under another hash;
 two linked sets that both have more both take part in that, so no link is lost.
 
+Most signatures occur once. So they travel sorted, as differences in compressed packs of a range of
+signatures, and a task that holds a range keeps one entry per signature, however often it occurs.
+
 Candidates are not multiplied out. Sets that are equal form a class with one representative. First
 each signature's sets are held against its smallest one only. After the components of these links
 are known, only pairs of one signature from different components remain, and these are tested as
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from tracemill.llm import line_rules
+from tracemill.llm import line_rules, packs
 from tracemill.llm.components import components
 from tracemill.llm.words import distinct, mixed, portions, shingles, word_hashes
 from tracemill.session import scratch, written
@@ -46,6 +49,10 @@ MOST_BITS = 1 << 26
 #: Classes of shingles whose parity is kept per set, as longs; and equal sets that a task remembers.
 PARITY, SEEN = 16, 200_000
 
+#: Bits of a signature that travel, so that two share them by chance now and then, which the tests find; signatures
+#: that a task holds at a time; and ranges that a portion is cut into at once.
+SIGNATURE_BITS, RANGE_ROWS, FAN = 48, 1 << 20, 1024
+
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
 
@@ -164,8 +171,79 @@ def _signatures_of(doc, begins, values, band, units, merged, spare):
     return out
 
 
-def _signatures(batches, k: int, low: np.ndarray, units: np.ndarray, merged: np.ndarray, spare: np.ndarray, percent: int):
-    """Signatures of each set in its band and, as the smaller side, in the next; equal sets of a task once."""
+def _cut(sig: np.ndarray, doc: np.ndarray, whole: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Signatures as packs of (range, body), one for each range that has any."""
+    order = np.argsort(sig)
+    sig, doc, whole = sig[order], doc[order].view(np.uint64), whole[order].astype(np.uint8)
+    of = (sig >> (SIGNATURE_BITS - 32)).astype(np.uint64) * np.uint64(ranges) >> _32
+    starts = np.flatnonzero(np.diff(of, prepend=np.uint64(ranges)))
+    bodies = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)]):
+        apart, least = np.diff(sig[a:b], prepend=sig[a]), doc[a:b].view(np.int64).min().view(np.uint64)
+        head = np.array([sig[a], least], np.uint64)
+        bodies.append(packs.pack(pa.array([], pa.string()), head, apart & 0xFFFFFFFF, apart >> 32, doc[a:b] - least, whole[a:b]))
+    return pa.RecordBatch.from_arrays([pa.array(of[starts].view(np.int64)), pa.array(bodies, pa.binary())], ["range", "body"])
+
+
+def _unpacked(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, documents and whether whole, of packs."""
+    out = []
+    for body in bodies:
+        _, (head, low, high, doc, whole) = packs.unpack(body)
+        out.append((head[0] + np.cumsum(low + (high << 32)), head[1] + doc, whole.astype(bool)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _gathered(batches):
+    """(range, bodies) of consecutive packs of one range, about RANGE_ROWS signatures at a time."""
+    at, bodies, size = None, [], 0
+    for got in batches:
+        for own, body in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+            if bodies and (own != at or size > 8 * RANGE_ROWS):
+                yield at, bodies
+                bodies, size = [], 0
+            at, size = own, size + len(body)
+            bodies.append(body)
+    if bodies:
+        yield at, bodies
+
+
+def _finer(batches, ranges: int):
+    """Packs cut into more ranges."""
+    for _, bodies in _gathered(batches):
+        yield _cut(*_unpacked(bodies), ranges)
+
+
+def _met(known: tuple, sig: np.ndarray, doc: np.ndarray, whole: np.ndarray) -> tuple[tuple, tuple]:
+    """What is known of each signature after more rows, and the rows now found to share theirs with another document.
+
+    Known are signature, first document, whether any row was whole, and whether the signature is shared.
+    """
+    sig, doc, whole = (np.concatenate(c) for c in zip(known[:3], (sig, doc, whole)))
+    told = np.concatenate([known[3], np.zeros(len(sig) - len(known[3]), bool)])
+    order = np.argsort(sig, kind="stable")
+    sig, doc, whole, told = sig[order], doc[order], whole[order], told[order]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sig))))
+    shared = told[first] | np.logical_or.reduceat(doc != doc[first][group], first)
+    give = shared[group] & ~told
+    return (sig[first], doc[first], np.logical_or.reduceat(whole, first), shared), (sig[give], doc[give], whole[give])
+
+
+def _shared(batches):
+    """(sig, doc_id, whole) of the signatures that more than one document has, from packs sorted by range."""
+    at, known = None, ()
+    for own, bodies in _gathered(batches):
+        if own != at:
+            at, known = own, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool))
+        known, out = _met(known, *_unpacked(bodies))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["sig", "doc_id", "whole"])
+
+
+def _signatures(
+    batches, k: int, low: np.ndarray, units: np.ndarray, merged: np.ndarray, spare: np.ndarray, percent: int, ranges: int
+):
+    """Packs of the signatures of each set in its band and, as the smaller side, in the next; equal sets of a task once."""
     seen: set[tuple[int, int]] = set()
     for got in batches:
         for first, stop in portions(got.column(1)):
@@ -189,14 +267,9 @@ def _signatures(batches, k: int, low: np.ndarray, units: np.ndarray, merged: np.
                 starts = np.concatenate([[0], np.cumsum(sizes[inside])])
                 own = band[inside]
                 rows += _signatures_of(doc[inside], starts, values[chosen], own, units[own], merged[own], spare[own])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([r[1] for r in rows]).view(np.int64)),
-                    pa.array(np.concatenate([r[0] for r in rows])),
-                    pa.array(np.concatenate([r[2] for r in rows])),
-                ],
-                ["sig", "doc_id", "whole"],
-            )
+            doc, sig, whole = (np.concatenate(c) for c in zip(*rows))
+            if len(sig):
+                yield _cut((sig >> np.uint64(64 - SIGNATURE_BITS)).astype(np.int64), doc, whole, ranges)
 
 
 def _stored_sets(batches, k: int, needed: np.ndarray):
@@ -212,6 +285,9 @@ def _stored_sets(batches, k: int, needed: np.ndarray):
             yield pa.RecordBatch.from_arrays([got.column(0).slice(first, stop - first), pa.array(sets, pa.binary())], ["doc_id", "items"])
 
 
+_PACKS = "range long, body binary"
+
+
 def _linked(batches, percent: int):
     for got in batches:
         keep = []
@@ -275,14 +351,23 @@ def _joined(rows: DataFrame, k: int, percent: int, row_cost: float) -> DataFrame
     units = apart + 1 + spare
     merged = np.array([merged_units(held.get(j, 0) + held.get(j - 1, 0), low[j], units[j], row_cost) for j in range(len(low))])
 
-    emitted = rows.where("doc_id IS NOT NULL").mapInArrow(
-        partial(_signatures, k=k, low=low, units=units, merged=merged, spare=spare, percent=percent), "sig long, doc_id long, whole boolean"
+    # Distinct signatures in all: a row per segment, and one per shingle of a merged segment.
+    each = units - merged + 2 * merged * (low / units + 1)
+    ranges = 1 + int(sum((held.get(j, 0) + held.get(j - 1, 0)) * each[j] for j in range(len(low))) / RANGE_ROWS)
+    by, now = Window.partitionBy("sig"), min(ranges, FAN)
+    sent = rows.where("doc_id IS NOT NULL").mapInArrow(
+        partial(_signatures, k=k, low=low, units=units, merged=merged, spare=spare, percent=percent, ranges=now), _PACKS
     )
-    by = Window.partitionBy("sig")
+    while now < ranges:  # so that no portion is cut into packs of next to nothing, more ranges are made step by step
+        now, salts = min(ranges, now * FAN), -(-min(ranges, now * FAN) // now)
+        salted = sent.withColumn("salt", F.pmod(F.xxhash64("body"), F.lit(salts)))
+        sent = written(
+            salted.repartition("range", "salt").select("range", "body").sortWithinPartitions("range")
+            .mapInArrow(partial(_finer, ranges=now), _PACKS), "packs"
+        )
     # Written by itself, so the shuffle of all signatures is gone before what is shared is joined.
     shared = written(
-        emitted.withColumn("x", F.min("doc_id").over(by)).withColumn("y", F.max("doc_id").over(by))
-        .where("x <> y").select("sig", "doc_id", "whole"), "shared"
+        sent.repartition("range").sortWithinPartitions("range").mapInArrow(_shared, "sig long, doc_id long, whole boolean"), "shared"
     )
     reps = members.select("doc_id", "rep").distinct()
     hits = written(shared.join(reps, "doc_id").groupBy("sig", "rep").agg(F.max("whole").alias("whole")), "hits")
