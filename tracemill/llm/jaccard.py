@@ -18,7 +18,8 @@ signatures, and a task that holds a range keeps one entry per signature, however
 Candidates are not multiplied out. Sets that are equal form a class with one representative. First
 each signature's sets are held against its smallest one only. After the components of these links
 are known, only pairs of one signature from different components remain, and these are tested as
-well. Every test first compares parity bitmaps, a sure bound of the difference, then the sets.
+well. Every test first compares parity bitmaps, a sure bound of the difference, for large sets also
+counts per class, a closer bound, and then the sets.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ MOST_BITS = 1 << 26
 
 #: Classes of shingles whose parity is kept per set, as longs; and equal sets that a task remembers.
 PARITY, SEEN = 16, 200_000
+#: Size beyond which parities tell little, so that shingles are counted as well, in so many classes.
+LARGE, CLASSES = 512, 4096
 
 #: Bits of a signature that travel, so that two share them by chance now and then, which the tests find; signatures
 #: that a task holds at a time; and ranges that a portion is cut into at once.
@@ -113,7 +116,7 @@ _BITS = [f"b{i}" for i in range(PARITY)]
 
 
 def _features(batches, k: int):
-    """Per document: set size, a 128-bit key of the set, and the parity of its shingles in 64 * PARITY classes."""
+    """Per document: set size, a 128-bit key of the set, the parity of its shingles in 64 * PARITY classes, and counts of large sets."""
     for got in batches:
         for first, stop in portions(got.column(1)):
             values, begins = _sets(got.column(1).slice(first, stop - first), k)
@@ -126,12 +129,33 @@ def _features(batches, k: int):
             parity = np.bincount(text * classes + (values & np.uint64(classes - 1)).astype(np.int64), minlength=n * classes) & 1
             bits = np.packbits(parity.astype(np.uint8).reshape(n, classes), axis=1).view(np.int64)
             columns = [np.diff(begins), *keys, *bits.T]
+            cuts = begins.tolist()
+            counts = [_counts(values[a:b]) if b - a > LARGE else None for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [got.column(0).slice(first, n), *[pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns]],
-                ["doc_id", "n", "ka", "kb", *_BITS],
+                [got.column(0).slice(first, n), *[pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], pa.array(counts, pa.binary())],
+                ["doc_id", "n", "ka", "kb", *_BITS, "counts"],
             )
 
 
+def _counts(values: np.ndarray) -> bytes:
+    """Shingles of a set per class, each number modulo 256."""
+    own = (values >> np.uint64(20) & np.uint64(CLASSES - 1)).astype(np.int64)
+    return np.bincount(own, minlength=CLASSES).astype(np.uint8).tobytes()
+
+
+def _near(batches, percent: int):
+    """The pairs that may be linked: sets differ in as many shingles as their counts per class do, at least."""
+    for got in batches:
+        keep = []
+        for n, m, x, y in zip(*(got.column(c).to_pylist() for c in range(2, 6))):
+            if x is None or y is None:
+                keep.append(True)
+                continue
+            apart = np.frombuffer(x, np.uint8) - np.frombuffer(y, np.uint8)  # wraps round as the counts do
+            keep.append(int(np.minimum(apart, -apart).sum(dtype=np.int64)) * (100 + percent) <= (n + m) * (100 - percent))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (got.column(0), got.column(1))], ["a", "b"])
+
+
 def _signatures_of(doc, begins, values, band, units, merged, spare):
     """(document, signature, whole) rows of sets in one band each; whole is false for a one-deletion."""
     out = []
@@ -334,7 +358,7 @@ def join(
 def _joined(rows: DataFrame, k: int, percent: int, row_cost: float) -> DataFrame:
     """The join of (doc_id, text)."""
     found = written(
-        rows.mapInArrow(partial(_features, k=k), ", ".join(f"{c} long" for c in ("doc_id", "n", "ka", "kb", *_BITS))), "sets"
+        rows.mapInArrow(partial(_features, k=k), ", ".join(f"{c} long" for c in ("doc_id", "n", "ka", "kb", *_BITS)) + ", counts binary"), "sets"
     )
     able = found.where("doc_id IS NOT NULL AND n > 0")
     classes = able.groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep"))
@@ -379,6 +403,19 @@ def _joined(rows: DataFrame, k: int, percent: int, row_cost: float) -> DataFrame
         .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
     )
 
+    same_id = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    # Counts of the large sets that pairs may name; an id with several sets has none, so its pairs pass.
+    counted = written(
+        able.where("counts IS NOT NULL").join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+        .join(same_id.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "n", "counts"), "counts"
+    )
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs without those whose sets are too far apart by their counts, so that no large set travels for them."""
+        x, y = (counted.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"c_{c}")) for c in "ab")
+        both = pairs.join(x, "a", "left").join(y, "b", "left").select("a", "b", "n_a", "n_b", "c_a", "c_b")
+        return both.mapInArrow(partial(_near, percent=percent), "a long, b long")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are linked. The sets of their documents are built again where the texts are read; no text is shuffled."""
         needed = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "needed")
@@ -400,12 +437,11 @@ def _joined(rows: DataFrame, k: int, percent: int, row_cost: float) -> DataFrame
         return both.mapInArrow(partial(_linked, percent=percent), "a long, b long").distinct()
 
     x, y = features.alias("x"), features.alias("y")
-    pairs = written(
+    pairs = written(near(
         pairs.alias("p").join(x, F.col("p.a") == F.col("x.rep")).join(y, F.col("p.b") == F.col("y.rep"))
-        .where(_alike("x", "y", percent)).select("p.a", "p.b").distinct(), "pairs"
+        .where(_alike("x", "y", percent)).select("p.a", "p.b").distinct()), "pairs"
     )
-    same_id = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    links = written(verified(pairs).unionByName(same_id), "links")
+    links = written(verified(pairs).unionByName(same_id.select("a", "b")), "links")
     labels = components(links)
 
     # What is left: pairs of one signature whose sets are in different components.
@@ -413,9 +449,9 @@ def _joined(rows: DataFrame, k: int, percent: int, row_cost: float) -> DataFrame
     open_ = named.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("c")).where("l <> h AND c > 2")
     rest = written(named.join(open_.select("sig"), "sig").join(features, "rep"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    more = written(
+    more = written(near(
         x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label")) & (F.col("x.whole") | F.col("y.whole")) & _alike("x", "y", percent))
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"),
+        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")),
         "pairs",
     )
     links = written(links.unionByName(verified(more)), "links")
@@ -432,10 +468,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     Rows of one id count as one document; of these the one with the smallest hash of its columns
     stays. Rows without an id take no part and stay.
     """
-    found = join(docs, id_col=id_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    own, least = line_rules.fresh("_row", docs), line_rules.fresh("_least", docs)
+    own, least, times = (line_rules.fresh(name, docs) for name in ("_row", "_least", "_times"))
     plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
     rows = docs.withColumn(own, F.xxhash64(*plain))
-    first = rows.groupBy(id_col).agg(F.min(own).alias(least))
-    chosen = rows.join(found, id_col, "left_semi").join(first, id_col).where(F.col(own) == F.col(least)).dropDuplicates([id_col])
-    return chosen.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    with scratch(docs.sparkSession) as keep:
+        found = join(docs, id_col=id_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+        # What stays is chosen among ids and hashes; whole rows meet the choice once, and only repeated ones are grouped.
+        each = rows.select(id_col, own).groupBy(id_col, own).agg(F.count("*").alias(times)).join(found, id_col, "left_semi")
+        chosen = each.groupBy(id_col).agg(F.min(F.struct(own, times)).alias(least)).select(id_col, f"{least}.*")
+        chosen = keep(chosen, "chosen")
+    once = rows.join(chosen.where(F.col(times) == 1), [id_col, own], "left_semi")
+    more = rows.join(chosen.where(F.col(times) > 1), [id_col, own], "left_semi").dropDuplicates([id_col])
+    return once.unionByName(more).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
