@@ -82,6 +82,36 @@ def test_every_reason_occurs(spark, tables):
     assert len({sum(r["n"] for r in rows if r["run"] == run) for run in ("all", "some")}) == 1
 
 
+def test_documents_stay_whole_when_joins_become_broadcasts(spark, tables, monkeypatch):
+    """Shuffled joins by size of the tables, small ones at run time: the plan that larger tables get."""
+    from tracemill.plans import flows
+
+    folders, write = [], flows.single_documents
+
+    def noted(*args):
+        folders.append(write(*args))
+        return folders[-1]
+
+    monkeypatch.setattr(flows, "single_documents", noted)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id")
+        messages = {r["task_id"]: r["n"] for r in QUERIES["document_messages"](spark, tables).groupBy("task_id").agg(F.count("*").alias("n")).collect()}
+        assert messages == {r["doc_id"]: 5 for r in ids.collect()}
+        rows = QUERIES["traces_to_files"](spark, tables).collect()
+        assert {run: sum(r["n"] for r in rows if r["run"] == run) for run in ("all", "some")} == dict.fromkeys(("all", "some"), ids.count())
+        for folder in folders:
+            files = spark.read.format("binaryFile").load(folder).select("path", F.decode("content", "UTF-8").alias("text")).collect()
+            assert files and all(set(json.loads(r["text"])) == {"about", "traces", "count"} for r in files)
+            assert sum(json.loads(r["text"])["count"] for r in files) == ids.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_token_counts_are_the_library_s(spark, tables):
     import public_tokenizers
     from tokenizers import Tokenizer

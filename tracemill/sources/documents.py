@@ -205,9 +205,11 @@ def ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Da
     )
 
 
-def _one_a_task(df: DataFrame) -> DataFrame:
-    """Rows that stand for much work, spread over as many tasks as there are rows."""
-    return df.repartition(max(1, min(df.count(), TASKS)), *df.columns[:2])
+def _spread(df: DataFrame, range_bytes: int) -> DataFrame:
+    """Ranges over as many tasks as make about RANGE_BYTES each, but some for every core."""
+    n = df.count()
+    tasks = max(-(-n * range_bytes // RANGE_BYTES), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(max(1, min(n, tasks, TASKS)), *df.columns[:2])
 
 
 def read_objects(spark: SparkSession, path: str, key: str = "traces", range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -217,7 +219,7 @@ def read_objects(spark: SparkSession, path: str, key: str = "traces", range_byte
     Items of the array that are no objects are passed over.
     """
     cut = ranges(spark, path, range_bytes)
-    change = written(_one_a_task(cut).mapInArrow(_changes(key), _CHANGE), "ranges")
+    change = written(_spread(cut, range_bytes).mapInArrow(_changes(key), _CHANGE), "ranges")
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     known = change.withColumn("quoted", (F.coalesce(F.sum("turns").over(before), F.lit(0)) % 2).cast("int"))
     for name in ("delta", "low", "key", "key_depth", "after"):
@@ -231,7 +233,7 @@ def read_objects(spark: SparkSession, path: str, key: str = "traces", range_byte
     fell = F.when(F.col("start") == F.col("array.start"), F.col("array.after") < 2).otherwise(F.col("depth") + F.col("low") < 2)
     known = known.withColumn("fallen", F.coalesce(F.max(fell.cast("int")).over(before), F.lit(0))).where("fallen = 0")
     tasks = known.select("path", "start", "stop", "quoted", "depth", F.col("array.at").alias("array"))
-    return _one_a_task(tasks).mapInArrow(_objects, "path string, at bigint, value string")
+    return _spread(tasks, range_bytes).mapInArrow(_objects, "path string, at bigint, value string")
 
 
 def read_items(spark: SparkSession, path: str, schema: str, key: str = "traces", range_bytes: int = RANGE_BYTES) -> DataFrame:
