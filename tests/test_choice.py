@@ -186,3 +186,13 @@ def test_pairs_per_arm(spark):
     counts = {side: sum(s == side for *_, s in by_arm["none"]) for side in ("train", "val")}
     assert all(row["arms"][a.name]["train"] == counts["train"] and row["arms"][a.name]["val"] == counts["val"] for a in arms)
     assert row["arms"]["none"]["question_append"] is None and row["arms"]["both"]["answer_append"] == "A"
+
+
+def test_draws_read_no_part_to_count_another(spark):
+    table = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "idx int, value string")
+    draws = spark.range(1000).withColumnRenamed("id", "draw")
+    drawn = B.draw_parts(draws, {"a": table, "b": table, "c": table}, 5)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3
+    rows = drawn.collect()
+    assert len(rows) == len({r["draw"] for r in rows}) == 1000 and len({r["a"] + r["b"] + r["c"] for r in rows}) == 125

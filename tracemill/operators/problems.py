@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
 from .choice import PREFIX_DIGITS, content_id, hash_of, ranks_in_groups
-from .skew import salted_join
+from .skew import HOT_ROWS
 from .turns import repeated_line
 
 
@@ -23,16 +23,24 @@ def draw_parts(draws: DataFrame, parts: Mapping[str, Sequence[str] | DataFrame],
     """Add one drawn value per part to every draw.
 
     A part is a short list, looked up in place, or a table (idx, value) with idx = 0..n-1,
-    joined on idx, few values of which stand for many draws, so these are cut into pieces; the
-    product of the parts is never built.
+    joined on idx; the product of the parts is never built. The hash gives each value about the
+    same number of draws, so where a part has few, every value is cut into as many pieces as
+    keep these near ``HOT_ROWS``. That needs the number of draws only, counted once.
     """
-    out = draws
+    out, total = draws, None
     for name, part in parts.items():
         if isinstance(part, DataFrame):
+            if total is None:
+                total = draws.agg(F.count(F.lit(1)).alias("n")).scalar()
             size = part.agg(F.count(F.lit(1)).alias("n")).scalar()
-            indexed = out.withColumn("_idx", drawn_index(seed, F.col(number), name, size))
-            looked_up = part.select(F.col("idx").cast("bigint").alias("_idx"), F.col("value").alias(name))
-            out = salted_join(indexed, looked_up, ["_idx"], [number], counted=indexed.select("_idx")).drop("_idx")
+            pieces = F.greatest(F.lit(1), F.ceil(total / F.greatest(size, F.lit(1)) / HOT_ROWS).cast("int"))
+            indexed = out.withColumn("_idx", drawn_index(seed, F.col(number), name, size)).withColumn(
+                "_salt", F.pmod(F.xxhash64(number), pieces).cast("int")
+            )
+            looked_up = part.select(F.col("idx").cast("bigint").alias("_idx"), F.col("value").alias(name)).withColumn(
+                "_salt", F.explode(F.sequence(F.lit(0), pieces - 1))
+            )
+            out = indexed.join(looked_up, ["_idx", "_salt"]).drop("_idx", "_salt")
         else:
             at = drawn_index(seed, F.col(number), name, len(part)).cast("int")
             out = out.withColumn(name, F.get(F.array(*map(F.lit, part)), at))
@@ -71,8 +79,9 @@ def first_unique(draws: DataFrame, n: int, tries: int = 20, number: str = "draw"
     limit = ranked.where(F.col("_rank") == edge.select("_nth").scalar()).agg(
         F.coalesce(F.min(number), F.lit(n * tries)).alias("limit")
     )
-    chosen = firsts.where(F.col(number) <= limit.scalar())
-    return tried.join(chosen, [number, key], "left_semi")
+    chosen = written(firsts.where(F.col(number) <= limit.scalar()), "chosen")
+    # By number alone first: Spark takes that below whatever the draws are made of, so only the chosen are made again.
+    return tried.join(chosen.select(number), number, "left_semi").join(chosen, [number, key], "left_semi")
 
 
 def numbered(df: DataFrame, hashed: Column, name: str = "idx") -> DataFrame:
