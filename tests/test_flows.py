@@ -133,6 +133,37 @@ def test_token_counts_are_the_library_s(spark, tables):
     assert found == {i: n for i, n in want.items() if n <= 2048} and len(found) < len(want)
 
 
+def test_pieces_that_come_again_are_encoded_once():
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tracemill.functions.tokens import Counter
+
+    library, sent = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    class Noted:
+        to_str = library.to_str
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    texts = ["one two three"] * 1000 + ["", " ", " one", "one ", "a  b", "a \nb", "a\n b c", "a\u3000 b", "it 's I'll 've", "x <|endoftext|> y", "é 😀 日本 12 3a", "w" * 5000 + " two"]
+    counter = Counter(Noted())
+    for _ in range(2):
+        assert counter.count(pa.array(texts)).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert sent.count(" two") == sent.count(" three") == 1
+    assert counter.count(pa.array([], pa.string())).tolist() == []
+
+
+def test_a_filter_does_not_count_tokens_again(spark, tables):
+    from tracemill.plans.flows import token_lengths
+
+    plan = token_lengths(spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_one_step_opens_one_file(spark, tmp_path):
     for step in (3, 12, 30):
         (tmp_path / f"global_step_{step}.jsonl").write_text('{"x": 1}\n')
