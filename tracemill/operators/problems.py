@@ -80,7 +80,7 @@ def first_unique(draws: DataFrame, n: int, tries: int = 20, number: str = "draw"
         F.coalesce(F.min(number), F.lit(n * tries)).alias("limit")
     )
     chosen = written(firsts.where(F.col(number) <= limit.scalar()), "chosen")
-    # By number alone first: Spark takes that below whatever the draws are made of, so only the chosen are made again.
+    # By number alone first, which Spark may take below what the draws are made of.
     return tried.join(chosen.select(number), number, "left_semi").join(chosen, [number, key], "left_semi")
 
 
