@@ -2,10 +2,12 @@
 
 Byte-level BPE never joins what lies before a single space and what follows it, when both
 neighbours of that space are not white space. Texts are therefore cut there, unless they hold an
-added token of the tokenizer, which the library finds first: these go to it whole. Of the others, the ids of
-each piece are looked up in a bounded cache; only pieces that are not in it reach the
-library: what such a piece holds is told apart by the tokenizer's own pattern and goes to its
-BPE model directly. The ids equal those of the whole text.
+added token of the tokenizer, which the library finds first: these go to it whole. Equal pieces
+are looked up once per run of texts, as Arrow strings, among those that came before. Of the others,
+those of Latin letters, digits and ASCII marks are told apart as the tokenizer's pattern does it, and each
+new part goes to its BPE model directly. The rest goes to the library in lines of pieces with single spaces
+between them. Only the first token of such a piece begins with the byte letter of a space, which tells the
+pieces of a line apart again. The ids equal those of the whole text.
 """
 
 from __future__ import annotations
@@ -13,34 +15,37 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
+from itertools import chain
 from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 from tracemill.llm.words import FORGET, release_memory
 
-#: Pieces per generation of the cache of a Python worker, about 60 MB; two generations are kept,
-#: and what the older one still serves moves to the younger.
-CACHED_PIECES = 260_000
-#: Longer pieces are encoded each time and not kept.
-LONGEST_CACHED = 48
-#: Bytes of texts that are tokenized at once.
-BYTES_AT_ONCE = 4_000_000
+#: Pieces that a Python worker remembers, about 50 MB. Once they are more, those that the last texts did not hold go.
+KNOWN_PIECES = 1_000_000
+#: Pieces of more bytes are encoded each time and not kept.
+LONGEST_KNOWN = 48
+#: Bytes of texts that are tokenized at once, and bytes of a line (a longer piece ends its line).
+BYTES_AT_ONCE, LINE = 12_000_000, 10_000
 
-#: Fixed value: the pattern by which byte-level BPE of this kind tells words apart.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-_PATTERN = regex.compile(PATTERN)
-_ODD_SPACE = re.compile(r"[^\S\n]")
-#: White space next to a space, for Arrow's expressions; each text that has it is cut in Python.
+#: White space, for Arrow's expressions. Each text that has it next to a space is cut in Python.
 _SPACES = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _BY_A_SPACE = f" {_SPACES}|{_SPACES} "
+#: Pieces that stand in no line: of more than one word, empty, or with white space at an end.
+_ALONE = f"^$|^{_SPACES}| |{_SPACES}$"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
+#: Characters that the pattern of byte-level BPE keeps together whatever its version of Unicode. An apostrophe may begin a part of its own.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+_PART = rf"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+"
+#: Pieces that are one part, and those of several, on lines one below the other.
+_ONE = rf"^(?: ?(?:{_PART})| \n)$"
+_SEVERAL = rf"^[{_LETTERS}0-9{_MARKS}](?:\n?[{_LETTERS}0-9{_MARKS}])+$"
+_PARTS = re.compile(rf" ?(?:{_PART})|\n")
+
 _ID = attrgetter("id")
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -53,142 +58,155 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Piece of text -> its ids, little-endian unsigned 32-bit.
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()  # a tenth of the time of to_pylist
 
-    A key that starts with a space stands for the text after that space (the first piece of a
-    text); any other key stands for the key with a space before it.
-    """
 
-    def __init__(self, tokenizer, direct: bool):
-        super().__init__()
-        self.tokenizer, self.model, self.direct, self.letters = tokenizer, tokenizer.model, direct, _byte_letters()
-        self.marks = {mark: self._plain(mark) for mark in ".,"} if direct else {}
-        self.older: dict[str, bytes] = {}
-
-    def _one(self, part: str) -> bytes:
-        """Ids of what the pattern gives as one part."""
-        letters = part.encode().decode("latin-1").translate(self.letters)
-        return array("I", map(_ID, self.model.tokenize(letters))).tobytes()
-
-    def age(self) -> None:
-        if len(self) > CACHED_PIECES:
-            self.older = dict(self)
-            self.clear()
-
-    def _plain(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, None, False, False).ids).tobytes()
-
-    def __missing__(self, key: str) -> bytes:
-        word, before = (key[1:], "") if key[:1] == " " else (key, " ")
-        if key in self.older:
-            ids = self.older[key]
-        elif self.direct and word.isalpha():
-            ids = self._one(before + word)
-        elif self.direct and word and not _ODD_SPACE.search(word):
-            parts = _PATTERN.findall(before + word)
-            ids = self._one(parts[0]) if len(parts) == 1 else b"".join(
-                [self[part[1:] if part[0] == " " and part != " " else " " + part] for part in parts]
-            )
-        else:
-            ids = self._plain(before + word)
-        if len(key) <= LONGEST_CACHED:
-            self[key] = ids
-        return ids
-
-    def all_of(self, keys: list[str]) -> list[bytes]:
-        """Ids of many keys. New words, also before a stop or comma, are spelt in byte letters all at once."""
-        found = list(map(self.get, keys))
-        new = [key for key, ids in zip(keys, found) if ids is None]
-        made: dict[str, bytes] = {}
-        if self.direct:
-            words = [key for key in new if key.isalpha()]
-            other = [key for key in new if not key.isalpha()]
-            marked = [key for key in other if key[-1:] in self.marks and key[:-1].isalpha()]
-            stems = {key[:-1] for key in marked}.difference(words)
-            words += [stem for stem in stems if stem not in self]
-            kept = {word: self.older[word] for word in words if word in self.older} if self.older else {}
-            words = [word for word in words if word not in kept] if kept else words
-            spelt = "\n".join([" " + word for word in words]).encode().decode("latin-1").translate(self.letters)
-            tokenize = self.model.tokenize
-            ids = [array("I", map(_ID, tokenize(letters))).tobytes() for letters in spelt.split(self.letters[10])] if words else []
-            made.update(zip(words, ids))
-            made.update(kept)
-            self.update(made)
-            rest = set(other).difference(marked)
-            for key in marked:
-                made[key] = self[key[:-1]] + self.marks[key[-1]]
-        else:
-            rest = new
-        for key in rest:
-            made[key] = self[key]
-        return [made[key] if ids is None else ids for key, ids in zip(keys, found)]
+def _other_form(piece: str) -> str:
+    """The text that a piece stands for, and the piece that stands for a text."""
+    return piece[1:] if piece[:1] == " " else " " + piece
+
+
+def _runs(ids: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ids one after the other."""
+    at = np.repeat(start - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return ids[at]
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, one bytes value per text."""
+    """Encodes texts to unsigned 32-bit ids.
+
+    A piece that starts with a space stands for the text after that space (the first piece of a
+    text); any other piece stands for itself with a space before it.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         self.added = [x["content"] for x in made.get("added_tokens") or [] if x["content"]]
         before = made.get("pre_tokenizer") or {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.byte_level = (
             made.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True
             and before.get("add_prefix_space") is False and not made["model"].get("continuing_subword_prefix")
-            and not made["model"].get("ignore_merges")
+            and not made["model"].get("ignore_merges") and "Ġ" in vocabulary
         )
-        self.pieces = _Pieces(self.tokenizer, self.byte_level)
+        # Lines bring pieces of several texts together, where no added token is to be found.
+        self.lines = Tokenizer(self.tokenizer.model)
+        self.lines.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        self.after_space = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.after_space[[k for word, k in vocabulary.items() if word[:1] == "Ġ"]] = True
+        self.letters = _byte_letters()
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def whole(self, text: str) -> bytes:
         """Ids of one text without any cutting."""
-        return self.pieces._plain(text)
+        return np.array(self.tokenizer.encode(text, None, False, False).ids, "<u4").tobytes()
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(self.tokenizer.encode(text, None, False, False).ids, np.uint32) for text in texts]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _line(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.lines.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        begins = np.flatnonzero(self.after_space[ids])
+        if len(begins) != len(words):  # not with a vocabulary that holds all byte letters
+            return self._one_by_one([" " + word for word in words])
+        return ids, np.diff(begins, append=len(ids))
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of one part."""
+        spelt = "\0".join(map(_other_form, parts)).encode().decode("latin-1").translate(self.letters)
+        found = list(map(self.tokenizer.model.tokenize, spelt.split(self.letters[0])))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(map(_ID, chain.from_iterable(found)), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Add pieces with their ids to the known ones. Where each of them lies there."""
+        place = np.empty(len(pieces), np.int64)
+
+        def add(at, found):
+            place[at] = np.arange(len(self.known), len(self.known) + len(at))
+            self.known = pa.concat_arrays([self.known, pieces.take(pa.array(at))])
+            self.ids, self.sizes = (np.concatenate([own, *more]) for own, more in zip((self.ids, self.sizes), zip(*found)))
+
+        one, several, alone = (pc.match_substring_regex(pieces, x).to_numpy(zero_copy_only=False) for x in (_ONE, _SEVERAL, _ALONE))
+        size = pc.binary_length(pieces).to_numpy() + 1
+        several &= ~one
+        alone &= ~one
+        for own, ids_of in ((one, self._parts), (~(one | several | alone), self._line)):
+            if len(at := np.flatnonzero(own)):
+                words, line = _strings(pieces.take(pa.array(at))), np.cumsum(size[at]) // LINE
+                cuts = [0, *(np.flatnonzero(np.diff(line)) + 1).tolist(), len(words)]
+                add(at, [ids_of(words[a:b]) for a, b in zip(cuts, cuts[1:])])
+        if len(at := np.flatnonzero(alone)):
+            add(at, [self._one_by_one([_other_form(x) for x in _strings(pieces.take(pa.array(at)))])])
+        if len(at := np.flatnonzero(several)):
+            words = _strings(pieces.take(pa.array(at)))
+            parts = pa.array(_PARTS.findall(" " + " ".join(words)), pa.large_string())
+            first = np.flatnonzero(pc.starts_with(parts, " ").to_numpy(zero_copy_only=False))
+            coded = parts.dictionary_encode()
+            own = self._places(pa.array(list(map(_other_form, _strings(coded.dictionary))), pa.large_string()))[coded.indices.to_numpy()]
+            start, sizes = (np.cumsum(self.sizes) - self.sizes)[own], self.sizes[own]
+            add(at, [(_runs(self.ids, start, sizes), np.add.reduceat(sizes, first))])
+        return place
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each of these different pieces lies among the known ones."""
+        found = pc.index_in(pieces, value_set=self.known)
+        place = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            place[place < 0] = self._learn(pieces.filter(found.is_null()))
+        return place
+
+    def _forget(self, used: np.ndarray) -> None:
+        """Drop long pieces and, if there are too many, those that are not used."""
+        kept = pc.less_equal(pc.binary_length(self.known), LONGEST_KNOWN).to_numpy(zero_copy_only=False)
+        if len(kept) > KNOWN_PIECES:
+            now = np.zeros(len(kept), bool)
+            now[used] = True
+            kept &= now
+        if not kept.all():
+            self.known, self.ids, self.sizes = self.known.filter(pa.array(kept)), self.ids[np.repeat(kept, self.sizes)], self.sizes[kept]
+
+    def _pieces(self, texts: pa.Array) -> pa.Array:
+        """A list of pieces for each text, one at least."""
+        holds = np.zeros(len(texts), bool)
+        for mark in self.added:
+            holds |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        odd = holds | pc.match_substring_regex(texts, _BY_A_SPACE).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(odd)
+        if not len(at):
+            return pc.split_pattern(texts, " ")
+        cut = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        own = [[text] if added else _CUT.split(text) for text, added in zip(texts.take(pa.array(at)).to_pylist(), holds[at])]
+        order = np.arange(len(texts))
+        order[at] = len(texts) + np.arange(len(at))
+        return pa.concat_arrays([cut, pa.array(own, cut.type)]).take(pa.array(order))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text begins (and the last one ends)."""
         texts = texts.cast(pa.large_string())
         if not self.byte_level:  # another kind of tokenizer may join across spaces
-            raw = [self.whole(text) for text in texts.to_pylist()]
-            return np.frombuffer(b"".join(raw), "<u4"), np.cumsum([0] + [len(x) // 4 for x in raw])
-        self.pieces.age()
-        holds = np.zeros(len(texts), bool)
-        for mark in self.added:
-            holds |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        added = set(np.flatnonzero(holds).tolist())
-        odd = np.flatnonzero(holds | pc.match_substring_regex(texts, _BY_A_SPACE).to_numpy(zero_copy_only=False))
-        cut = pc.split_pattern(texts, " ")
+            ids, sizes = self._one_by_one(texts.to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
+        cut = self._pieces(texts)
         begins = cut.offsets.to_numpy().astype(np.int64)
         begins -= begins[0]
-        coded = cut.flatten().dictionary_encode()
-        keys, word = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        # The first piece of each text has no space before it and gets a key of its own.
-        firsts = pa.array([" " + keys[k] for k in word[begins[:-1]]], pa.large_string()).dictionary_encode()
-        word[begins[:-1]] = firsts.indices.to_numpy(zero_copy_only=False) + len(keys)
-        ids = self.pieces.all_of(keys + firsts.dictionary.to_pylist())
-        if len(odd):  # their pieces are replaced by one entry with the ids of the whole text
-            whole = [
-                self.whole(texts[k].as_py()) if k in added else b"".join(map(self.pieces.__getitem__, self._cut(texts[k].as_py()))) for k in odd.tolist()
-            ]
-            kept = np.ones(len(word), bool)
-            for k in odd:
-                kept[begins[k] + 1 : begins[k + 1]] = False
-            word[begins[odd]] = len(ids) + np.arange(len(odd))
-            ids += whole
-            word, begins = word[kept], np.concatenate([[0], np.cumsum(kept)])[begins]
-        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start, sizes = np.cumsum(size) - size, size[word]
+        flat, first = cut.flatten(), np.zeros(begins[-1], bool)
+        first[begins[:-1]] = True  # no space lies before the first piece of a text
+        coded = pc.replace_with_mask(flat, pa.array(first), pc.binary_replace_slice(flat.filter(pa.array(first)), 0, 0, " ")).dictionary_encode()
+        place, word = self._places(coded.dictionary), coded.indices.to_numpy()
+        start, sizes = (np.cumsum(self.sizes) - self.sizes)[place], self.sizes[place][word]
+        ids = _runs(self.ids, start[word], sizes)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(start[word] - ends[:-1], sizes)
-        at += np.arange(len(at))
-        return flat[at], ends[begins]
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        cut = _CUT.split(text)
-        return [" " + cut[0], *cut[1:]]
+        self._forget(place)
+        return ids, ends[begins]
 
 
 def encoder(path: str) -> Encoder:
